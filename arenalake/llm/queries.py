@@ -6,16 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arenalake.llm import secrets, simhash, substrings
+from arenalake.llm import mixing, packing, pstable, quality, secrets, simhash, substrings, topk, toxicity, trie_tokens
 from arenalake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mix_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.TARGETS], "rate")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).select(*cols)
@@ -25,5 +54,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_substring_dedup, op9_secret_scan, op10_simhash_dedup)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_mix_domains, op2_substring_dedup, op3_toxicity, op4_quality, op5_best_fit_packing,
+        op6_embedding_dedup, op7_token_counts, op8_exact_top_k, op9_secret_scan, op10_simhash_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arenalake.llm.common import materialise, small_batches
 from arenalake.llm.components import connected_components
@@ -37,7 +38,7 @@ def fingerprint(text: str | None, chunk: int = 1 << 15) -> int:
     return int(set_bits.view("<u8")[0])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def fingerprint_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series(np.array([fingerprint(t) for t in batch], dtype=np.uint64).view(np.int64))
@@ -67,7 +68,7 @@ def golay_tables() -> tuple[np.ndarray, np.ndarray]:
     return decode(words), np.stack([decode(words)] + [decode(words ^ (1 << b)) for b in range(BITS)], axis=1)
 
 
-@F.pandas_udf("struct<own:array<bigint>,near:array<bigint>>")
+@F.pandas_udf(T.StructType().add("own", T.ArrayType(T.LongType())).add("near", T.ArrayType(T.LongType())))
 def golay_keys(fps: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Keys of a fingerprint: segment i exactly, with the codeword index of segment i+1.
 

@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arenalake.llm.common import materialise, small_batches
 
@@ -209,7 +210,7 @@ def _search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": pdf["key"].to_numpy()[which], "covered": pdf["covered"].to_numpy()[which], "frm": frm, "to": to}).astype("int64")
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _sample_grams(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     cache = _Hashes()
     for batch in texts:
@@ -243,7 +244,7 @@ def _runs_of(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "th", "text").mapInPandas(runs, "doc_id bigint, th int, key bigint, covered bigint, first int, size int")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Words first to first + size + WINDOW - 1 of each span."""
     for texts, spans in batches:
@@ -254,7 +255,7 @@ def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
-@F.pandas_udf("struct<n_words:bigint,n_removed:bigint,kept_sha256:string,kept:string>")
+@F.pandas_udf(T.StructType().add("n_words", T.LongType()).add("n_removed", T.LongType()).add("kept_sha256", T.StringType()).add("kept", T.StringType()))
 def _keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """What is left of each text without the words of the windows that start in [frm, to) of its ranges."""
     for texts, ranges in batches:
