@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Modules that register queries.
+MODULES = ("gold",)
 FLAGSHIP = "prior_form_head_to_head"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -26,9 +29,16 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"arenalake.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
