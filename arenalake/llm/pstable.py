@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,11 +13,22 @@ from arenalake.llm.common import materialise, small_batches
 from arenalake.llm.components import connected_components
 
 THRESHOLD = 0.95
-#: Tables, projections per table and bucket width. At cosine 0.95 (distance 0.316) one projection
-#: agrees with probability 0.748, a table with 0.175, one of the tables with 0.997.
-TABLES, PROJECTIONS, WIDTH, SEED = 30, 6, 1.0, 20240517
+WIDTH, SEED = 1.0, 20240517
+#: One projection agrees with this probability at cosine 0.95 (distance 0.316), and for unrelated vectors.
+NEAR, FAR = 0.748, 0.27
+#: At the threshold a pair meets in some table with at least this probability; closer pairs more often.
+RECALL = 0.985
 #: Rows of a bucket that are compared in one task; larger buckets are split into pairs of blocks.
 BLOCK = 1500
+#: Rows of small buckets that share a task's group, about.
+GROUP_ROWS = 6000
+
+
+def hash_plan(n: int) -> tuple[int, int]:
+    """(projections, tables) for n vectors: buckets of unrelated vectors keep their size as n grows,
+    and the tables make up for what longer keys lose."""
+    projections = 6 + max(0, math.ceil(math.log(max(n, 1) / 50_000) / math.log(1 / FAR)))
+    return projections, math.ceil(math.log(1 - RECALL) / math.log(1 - NEAR**projections))
 
 
 def usable(vector: str = "embedding"):
@@ -25,7 +38,7 @@ def usable(vector: str = "embedding"):
     return v.isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
-def bucket_keys(v: np.ndarray, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH) -> np.ndarray:
+def bucket_keys(v: np.ndarray, projections: int, tables: int, width: float = WIDTH) -> np.ndarray:
     """Bucket of each normalised row in each table: quantised Gaussian projections, hashed to 64 bits."""
     rng = np.random.default_rng(SEED)
     a = rng.standard_normal((v.shape[1], tables * projections))
@@ -54,33 +67,53 @@ def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             return root
 
 
-def _link_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of one bucket, or of two blocks of it: per vector their number, and the smallest
-    vector of its component among these links. A pair counts in the first table where its keys
-    agree, so no pair is counted twice.
+def _meeting(run: np.ndarray, part: np.ndarray, row: np.ndarray, col: np.ndarray):
+    """Index pairs (i, j) of rows that share a run, in bounded portions.
+
+    A whole bucket pairs each row with those after it; of a bucket's blocks (row, col) those of
+    one block meet those of the other.
+    """
+    n = len(run)
+    last = np.searchsorted(run, run, side="right")
+    if (row == col).all():
+        for step in range(1, int((last - np.arange(n)).max(initial=1))):
+            i = np.flatnonzero(np.arange(n) + step < last)
+            for at in range(0, len(i), 100_000):
+                yield i[at : at + 100_000], i[at : at + 100_000] + step
+    else:
+        left, right = np.flatnonzero(part == row), np.flatnonzero(part == col)
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            yield np.repeat(some, len(right)), np.tile(right, len(some))
+
+
+def _link_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links within buckets: per vector their number, and the smallest vector of its component among
+    these links. A pair counts in the first table where its keys agree, so none counts twice.
     """
-    t, row, col = (int(pdf[c].iloc[0]) for c in ("t", "row", "col"))
-    pdf = pdf.sort_values("vec_id")
-    ids, keys = pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["keys"].to_numpy())
-    v, part = _normalised(pdf["embedding"]), pdf["part"].to_numpy()
-    left, right = np.flatnonzero(part == row), np.flatnonzero(part == col)
-    xs, ys = [], []
-    for at in range(0, len(left), 250):
-        some = left[at : at + 250]
-        i, j = np.nonzero(v[some] @ v[right].T >= THRESHOLD - 1e-9)
-        i, j = some[i], right[j]
-        fresh = i < j if row == col else i != j
-        i, j = i[fresh], j[fresh]
-        for a in range(0, len(i), 50_000):
-            x, y = i[a : a + 50_000], j[a : a + 50_000]
-            ok = np.einsum("nd,nd->n", v[x], v[y]) >= THRESHOLD
-            if t:
-                ok &= ~(keys[x, :t] == keys[y, :t]).any(axis=1)
-            xs.append(x[ok].astype(np.int32))
-            ys.append(y[ok].astype(np.int32))
-    x, y = (np.concatenate(p) if p else np.zeros(0, np.int32) for p in (xs, ys))
-    count = np.bincount(x, minlength=len(ids)) + np.bincount(y, minlength=len(ids))
-    out = pd.DataFrame({"vec_id": ids, "n": count, "low": ids[_roots(len(ids), x, y)]})
+    pdf = pdf.sort_values(["t", "key", "vec_id"])
+    ids, t = pdf["vec_id"].to_numpy(np.int64), pdf["t"].to_numpy()
+    key = pdf["key"].to_numpy(np.int64)
+    run = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (t[1:] != t[:-1]))))
+    v = _normalised(pdf["embedding"])
+    earlier = np.zeros((len(ids), int(t.max(initial=0))), np.int64)  # keys in the tables before this one
+    for i, k in enumerate(pdf["earlier"]):
+        earlier[i, : len(k)] = k
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in _meeting(run, *(pdf[c].to_numpy() for c in ("part", "row", "col"))):
+        ok = np.einsum("nd,nd->n", v[i], v[j]) >= THRESHOLD
+        i, j = i[ok], j[ok]
+        if earlier.shape[1] and len(i):
+            before = np.arange(earlier.shape[1]) < t[i, None]
+            fresh = ~((earlier[i] == earlier[j]) & before).any(axis=1)
+            i, j = i[fresh], j[fresh]
+        xs.append(i)
+        ys.append(j)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    names, at = np.unique(ids, return_inverse=True)
+    x, y = at[x], at[y]
+    count = np.bincount(x, minlength=len(names)) + np.bincount(y, minlength=len(names))
+    out = pd.DataFrame({"vec_id": names, "n": count, "low": names[_roots(len(names), x, y)]})
     return out[out["n"] > 0]
 
 
@@ -95,17 +128,19 @@ def embedding_components(vectors: DataFrame) -> DataFrame:
     spark = vectors.sparkSession
     small_batches(spark, 2000)
     one = vectors.select("vec_id", "embedding").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    one = materialise(one.withColumn("embedding", F.col("embedding").cast("array<double>")), "vectors")
+    one = materialise(one, "vectors")
     fine = one.where(usable() & F.col("vec_id").isNotNull())
     size = fine.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     fine = fine.where(F.size("embedding") == (size["d"] if size else 0))
+    total = size["count"] if size else 0
+    projections, tables = hash_plan(total)
 
     def keys(batches):
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": b["embedding"], "keys": list(bucket_keys(_normalised(b["embedding"])))})
+                yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": b["embedding"], "keys": list(bucket_keys(_normalised(b["embedding"]), projections, tables))})
 
-    keyed = materialise(fine.mapInPandas(keys, "vec_id bigint, embedding array<double>, keys array<bigint>"), "keyed")
+    keyed = materialise(fine.mapInPandas(keys, f"vec_id bigint, embedding {fine.schema['embedding'].dataType.simpleString()}, keys array<bigint>"), "keyed")
     cell = keyed.select("vec_id", F.posexplode("keys").alias("t", "key"))
     crowded = cell.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -113,9 +148,12 @@ def embedding_components(vectors: DataFrame) -> DataFrame:
     dealt = cell.join(crowded, ["t", "key"]).withColumn("blocks", blocks).withColumn("part", part)
     # A row of block p meets every block: as the row side with blocks p.., as the column side with ..p.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "part").alias("row"), F.greatest(o, "part").alias("col")))
-    dealt = dealt.select("vec_id", "t", "key", "part", F.explode(meets).alias("m")).select("vec_id", "t", "key", "part", "m.*")
-    rows = dealt.join(keyed, "vec_id")
-    found = rows.groupBy("t", "key", "row", "col").applyInPandas(_link_block, "vec_id bigint, n bigint, low bigint")
+    dealt = dealt.select("vec_id", "t", "key", "part", "blocks", F.explode(meets).alias("m")).select("vec_id", "t", "key", "part", "blocks", "m.*")
+    # Small buckets share groups of bounded size; each pair of blocks of a large one is a group of its own.
+    shared = F.pmod(F.xxhash64("key"), F.lit(max(1, total // GROUP_ROWS)))
+    group = F.when(F.col("blocks") == 1, F.struct(F.col("t"), shared.alias("a"), F.lit(-1).alias("b"), F.lit(-1).alias("c"))).otherwise(F.struct("t", F.col("key").alias("a"), F.col("row").alias("b"), F.col("col").alias("c")))
+    rows = dealt.withColumn("g", group).join(keyed, "vec_id").withColumn("earlier", F.slice("keys", F.lit(1), F.col("t"))).drop("keys", "blocks")
+    found = rows.groupBy("g").applyInPandas(_link_group, "vec_id bigint, n bigint, low bigint")
     found = materialise(found, "embedding-links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     comps = connected_components(found.select(F.col("vec_id").alias("a"), F.col("low").alias("b")))
