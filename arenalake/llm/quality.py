@@ -19,18 +19,25 @@ ABSTAIN, ROUNDS = 2, 100
 
 
 def labellers() -> dict[str, Column]:
-    """Heuristics that vote 0 (poor), 1 (good) or 2 (abstain), over the columns of statistics()."""
-    vote = lambda poor, good: F.when(poor, 0).when(good, 1).otherwise(ABSTAIN)
+    """Heuristics that vote 0 (poor), 1 (good) or 2 (abstain), over the columns of statistics().
+
+    A lack of one fault says little, so fault finders abstain where they find nothing; the two
+    that attest prose look at several measures together.
+    """
     c = F.col
     per_word = lambda x: c(x) / F.greatest(c("n_words"), F.lit(1))
+    fault = lambda found: F.when(found, 0).otherwise(ABSTAIN)
+    varied = per_word("n_distinct") >= 0.25 + 5 / (c("n_words") + 10)
+    sober = (per_word("n_symbols") < 0.08) & (per_word("n_capitals") < 0.08) & (per_word("n_shouts") < 0.03)
     return {
-        "length": vote(c("n_words") < 8, c("n_words") >= 60),
-        "variety": vote(per_word("n_distinct") < 0.25 + 5 / (c("n_words") + 10), per_word("n_distinct") >= 0.4),
-        "symbols": vote(per_word("n_symbols") > 0.25, per_word("n_symbols") < 0.05),
-        "capitals": vote(per_word("n_capitals") > 0.3, per_word("n_capitals") < 0.05),
-        "shouting": vote(per_word("n_shouts") > 0.1, F.lit(False)),
-        "word_length": vote((per_word("n_chars") < 3) | (per_word("n_chars") > 14), per_word("n_chars").between(4, 10)),
-        "sentences": vote(per_word("n_stops") < 0.005, per_word("n_stops").between(0.02, 0.3)),
+        "empty": fault(c("n_words") < 1),
+        "repetition": fault(~varied),
+        "symbols": fault(per_word("n_symbols") > 0.25),
+        "capitals": fault(per_word("n_capitals") > 0.3),
+        "shouting": fault(per_word("n_shouts") > 0.1),
+        "word_length": fault((per_word("n_chars") < 3) | (per_word("n_chars") > 14)),
+        "prose": F.when(varied & sober & (c("n_words") >= 1), 1).when(~varied & ~sober, 0).otherwise(ABSTAIN),
+        "sentences": F.when(sober & per_word("n_stops").between(0.02, 0.4), 1).when(per_word("n_stops") < 0.005, 0).otherwise(ABSTAIN),
     }
 
 
@@ -85,7 +92,7 @@ def score_quality(docs: DataFrame) -> DataFrame:
     rules = labellers()
     pattern = F.concat(*[v.cast("string") for v in rules.values()])
     voted = statistics(docs).select("doc_id", "text", pattern.alias("votes"))
-    counted = materialise(voted.groupBy("votes").count(), "votes").collect()  # 3 ** 7 rows at most
+    counted = materialise(voted.groupBy("votes").count(), "votes").collect()  # 3 ** 8 rows at most
     if not counted:
         return spark.createDataFrame([], "doc_id long, votes string, posterior double, score double, predicted int")
     votes = np.array([[int(c) for c in r["votes"]] for r in counted])
