@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_own_dir: dict[str, str] = {}
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which executors share; a temporary one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="arenalake-"))
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of schema in order: missing ones null, others cast; bad values become null."""
     have = set(df.columns)

@@ -12,8 +12,15 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
-def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_events(spark: SparkSession, path: str, files_per_batch: int = 1, pattern: str = "*.parquet") -> DataFrame:
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(path)
+
+
+def to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Run an append-mode stream over what is there into Parquet under path, and read that back."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
