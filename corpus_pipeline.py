@@ -8,6 +8,10 @@ from arenalake.llm import mixing, packing, secrets, simhash, toxicity
 from arenalake.llm.common import materialise, table
 
 
+#: Shares of tokens after mixing. Clean texts have less than this before it, so their rates exceed 1 and none goes.
+MIX_TARGETS = {"clean": 0.95, "rough": 0.05, "toxic": 0.0}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled neighbours call toxic go."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -24,8 +28,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or thinned by their rates."""
-    return mixing.resample(docs, table(spark, sf_dir, "labels"))
+    """Rough documents are thinned and clean ones repeated until the tokens meet MIX_TARGETS."""
+    return mixing.resample(docs, table(spark, sf_dir, "labels"), MIX_TARGETS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
