@@ -77,7 +77,7 @@ class BlockMaxIndex:
     ids: np.ndarray
     labels: np.ndarray
     idf: np.ndarray
-    lists: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     maxima: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     @classmethod
@@ -91,7 +91,7 @@ class BlockMaxIndex:
         for p in postings:
             doc, w = np.array([d for d, _ in p], np.int64), np.array([x for _, x in p])
             block, first = np.unique(doc // BLOCK, return_index=True)
-            idx.lists.append((doc, w))
+            idx.lists.append((doc, w, doc // BLOCK))
             idx.maxima.append((block, np.maximum.reduceat(w, first) if len(w) else w))
         return idx
 
@@ -103,38 +103,34 @@ class BlockMaxIndex:
     def nearest(self, terms: list[int], k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine (position, cosine), ties to the smaller position.
 
-        Blocks are taken by their upper bound, the sum of their maxima, and scored in full, until
-        the bound falls under the k-th cosine found: what is left can't enter.
+        A block's bound is the sum of its maxima over the query's terms. The quarter of the blocks
+        with the largest bounds is scored first; then those whose bound still reaches the k-th
+        cosine found. What is left can't enter.
         """
         query = self.weights(terms)
-        n_blocks = -(-len(self.ids) // BLOCK)
-        bound = np.zeros(n_blocks)
+        bound = np.zeros(-(-len(self.ids) // BLOCK))
         for t, w in query:
             block, most = self.maxima[t]
             bound[block] += w * most
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        top_at, top_s = np.zeros(0, np.int64), np.zeros(0)
-        step = 4
-        for at in range(0, len(order), step):
-            some = np.sort(order[at : at + step])
-            if len(top_s) == k and bound[order[at]] < top_s[-1] - 1e-12:
-                break
-            score = np.zeros(step * BLOCK)
+        score = np.zeros(len(self.ids))
+
+        def add(active: np.ndarray) -> None:
             for t, w in query:
-                doc, x = self.lists[t]
-                lo, hi = np.searchsorted(doc, some * BLOCK), np.searchsorted(doc, (some + 1) * BLOCK)
-                for j in range(len(some)):
-                    part = slice(lo[j], hi[j])
-                    score[doc[part] - some[j] * BLOCK + j * BLOCK] += w * x[part]
-            hit = np.flatnonzero(score > 0)
-            docs = some[hit // BLOCK] * BLOCK + hit % BLOCK
+                doc, x, block = self.lists[t]
+                held = active[block]
+                score[doc[held]] += w * x[held]
             if without is not None:
-                hit, docs = hit[self.ids[docs] != without], docs[self.ids[docs] != without]
-            docs, s = np.concatenate((top_at, docs)), np.concatenate((top_s, score[hit]))
-            best = np.lexsort((docs, -s))[:k]
-            top_at, top_s = docs[best], s[best]
-        return top_at, top_s
+                score[self.ids == without] = 0.0
+
+        first = np.zeros(len(bound), bool)
+        first[order[: max(4, len(order) // 4)]] = True
+        add(first & (bound > 0))
+        kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
+        add(~first & (bound > 0) & (bound >= kth - 1e-12))
+        hit = np.flatnonzero(score > 0)
+        best = hit[np.lexsort((hit, -score[hit]))[:k]]
+        return best, score[best]
 
 
 @dataclass
@@ -197,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
-    held = texts.select("toxic", F.explode(_terms_udf("text")).alias("term"))
-    df = held.groupBy("term").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
+    each = texts.select("toxic", F.explode(_terms_udf("text")).alias("term"))
+    df = each.groupBy("term").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
     p1, p0, p = F.col("pos") / n[1], F.col("neg") / n[0], (F.col("pos") + F.col("neg")) / (n[0] + n[1])
     z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]) + 1e-12)
     best = df.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
@@ -211,7 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
 
     rows = sorted(texts.select("doc_id", "toxic", held_terms("text").alias("t")).collect(), key=lambda r: r["doc_id"])
     ids, y = np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows])
-    index = BlockMaxIndex.build(ids, y, [r["t"] for r in rows], len(terms))
+    # Examples with like terms share blocks, so that bounds differ; those without terms have cosine 0.
+    held = sorted((i for i, r in enumerate(rows) if r["t"]), key=lambda i: (rows[i]["t"], i))
+    index = BlockMaxIndex.build(ids[held], y[held], [rows[i]["t"] for i in held], len(terms))
     model = ToxicityModel(vocabulary, index, float(share), n[1] / (n[0] + n[1]), 1.0, 0.0)
     votes = np.array([model.vote(r["t"], without=r["doc_id"])[0] for r in rows])
     weight = np.where(y > 0, share / n[1], (1 - share) / n[0]) * len(rows)
