@@ -13,6 +13,8 @@ from arenalake.llm.common import materialise
 BUCKETS = 4096
 #: Labelled rows the classifier is fitted on: those with the smallest hash of their doc_id (bounded sample).
 LABELLED_MOST = 12_000
+#: Weight of the common word distribution in each domain's, in words.
+SMOOTHING = 2000
 #: A text speaks with at most this many words' worth of evidence, so long ones don't get certain.
 EVIDENCE = 40
 #: Expected shares of tokens by domain.
@@ -45,9 +47,10 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> tuple[dict[str, float], dict[str, list[float]]]:
     """Naive Bayes over hashed words: log prior of each domain, and log probability of each bucket in it.
 
-    labelled: doc_id, domain. Counts are smoothed, so a domain without examples is flat.
+    labelled: doc_id, domain; only documents of docs count. A domain without examples has the words of all.
     """
-    known = materialise(labelled.where(F.col("domain").isin(domains)), "domains")
+    known = labelled.where(F.col("domain").isin(domains)).join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = materialise(known, "domains")
     shares = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_MOST)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # LABELLED_MOST ids at most
@@ -57,14 +60,13 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) ->
     )  # fmt: skip  # at most BUCKETS rows per domain
     total = sum(shares.values()) + len(domains)
     prior = {d: math.log((shares.get(d, 0) + 1) / total) for d in domains}
-    logp = {}
-    for d in domains:
-        n = [0.5] * BUCKETS
-        for r in counted:
-            if r["domain"] == d:
-                n[r["b"] - 1] += r["n"]
-        s = sum(n)
-        logp[d] = [math.log(x / s) for x in n]
+    counts = {d: np.zeros(BUCKETS) for d in domains}
+    for r in counted:
+        counts[r["domain"]][r["b"] - 1] = r["n"]
+    common = sum(counts.values()) + 0.5
+    common /= common.sum()
+    # Towards the words of all domains, so that words a small domain lacks speak for no domain.
+    logp = {d: np.log((n + SMOOTHING * common) / (n.sum() + SMOOTHING)).tolist() for d, n in counts.items()}
     return prior, logp
 
 
