@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +21,14 @@ from arenalake.llm.common import materialise, small_batches
 
 #: Labelled examples kept per class, the ones with the smallest hash of their doc_id (bounded sample).
 EXAMPLES = {1: 2000, 0: 4000}
-#: Terms kept: those that toxic examples hold significantly more often than the others do.
-MOST_TERMS, LEAST_Z = 400, 5.0
+#: Every term that this many examples hold is indexed.
+LEAST_HELD = 2
+#: A term weighs its IDF times |z|, how far its shares among toxic and other examples differ; at least this, so that none weighs nothing.
+LEAST_STRENGTH = 0.1
+#: Terms held by more than one in SPREAD examples, the DENSE most frequent at most, are kept as dense columns; the others as inverted lists.
+SPREAD, DENSE = 24, 1024
+#: Texts whose cosines are made at once.
+AT_ONCE = 128
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 0.5
 #: Besides the word itself its first letters are terms, so inflected and compound words meet.
 PREFIXES = (4, 5, 6)
@@ -44,93 +53,149 @@ def _terms_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([[stepped(f, s) for f, n in c.items() for s in STEPS if s <= n] for c in counts])
 
 
+class _Hits(dict):
+    """Numbers of the kept words and beginnings of a word, found when it is first asked for."""
+
+    def __init__(self, base: dict[str, int]):
+        super().__init__()
+        self.base = base
+
+    def __reduce__(self):
+        return _Hits, (self.base,)
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        base = self.base
+        hits = self[word] = tuple([base[f] for f in terms_of(word) if f in base])
+        return hits
+
+
 class Vocabulary:
     """Numbers of the kept terms, found by the word or beginning that they count."""
 
     def __init__(self, terms: list[str]):
         number = {t: i for i, t in enumerate(terms)}
-        self.steps: dict[str, list[tuple[int, int]]] = {}
-        for base in {t.rpartition("#")[0] or t for t in terms} | set(terms):
-            held = [(s, number[stepped(base, s)]) for s in STEPS if stepped(base, s) in number]
-            if held:
-                self.steps[base] = held
-        self.cache: dict[str, list[str]] = {}
-
-    def terms(self, text: str | None) -> list[int]:
-        counts: dict[str, int] = {}
-        cache = self.cache
-        if len(cache) > 300_000:
-            cache.clear()
-        for w in (text or "").split():
-            hits = cache.get(w)
-            if hits is None:
-                hits = cache[w] = [f for f in terms_of(w) if f in self.steps]
-            for f in hits:
-                counts[f] = counts.get(f, 0) + 1
-        return sorted(i for f, n in counts.items() for s, i in self.steps[f] if s <= n)
+        bases = sorted({t.rpartition("#")[0] or t for t in terms} | set(terms))
+        self.base = {b: i for i, b in enumerate(bases)}
+        #: Term number by base and step, -1 where it isn't kept.
+        self.steps = np.array([[number.get(stepped(b, s), -1) for s in STEPS] for b in bases], np.int32).reshape(-1, len(STEPS))
+        self.cache = _Hits(self.base)
+
+    def terms(self, text: str | None) -> np.ndarray:
+        if len(self.cache) > 200_000:
+            self.cache.clear()
+        counts = Counter(chain.from_iterable(map(self.cache.__getitem__, (text or "").split())))
+        if not counts:
+            return np.zeros(0, np.int32)
+        found = self.steps[np.fromiter(counts, np.int64, len(counts))]
+        often = np.fromiter(counts.values(), np.int64, len(counts))
+        return np.sort(found[(found >= 0) & (np.array(STEPS) <= often[:, None])])
 
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted lists in blocks of consecutive examples, with each block's largest weight per term."""
+    """Rare terms as inverted lists; frequent ones as dense columns over blocks of consecutive
+    examples, with each block's largest weight per term."""
 
     ids: np.ndarray
     labels: np.ndarray
-    idf: np.ndarray
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    maxima: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    scale: np.ndarray
+    #: Column of a frequent term, -1 for a rare one.
+    column: np.ndarray
+    #: Inverted lists of the rare terms one after the other: start of each term's, example, weight.
+    start: np.ndarray
+    doc: np.ndarray
+    weight: np.ndarray
+    dense: np.ndarray
+    most: np.ndarray
 
     @classmethod
-    def build(cls, ids: np.ndarray, labels: np.ndarray, rows: list[list[int]], n_terms: int) -> BlockMaxIndex:
-        df = np.bincount([t for r in rows for t in r], minlength=n_terms)
-        idx = cls(ids, labels, np.log((1 + len(ids)) / (1 + df)) + 1)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for doc, r in enumerate(rows):
-            for t, w in idx.weights(r):
-                postings[t].append((doc, w))
-        for p in postings:
-            doc, w = np.array([d for d, _ in p], np.int64), np.array([x for _, x in p])
-            block, first = np.unique(doc // BLOCK, return_index=True)
-            idx.lists.append((doc, w, doc // BLOCK))
-            idx.maxima.append((block, np.maximum.reduceat(w, first) if len(w) else w))
-        return idx
-
-    def weights(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Normalised weights (term, weight). Frequency is in the terms' steps, so each weighs its IDF."""
-        raw = self.idf[terms]
-        return list(zip(terms, (raw / math.sqrt(float(raw @ raw))).tolist(), strict=True)) if terms else []
-
-    def nearest(self, terms: list[int], k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine (position, cosine), ties to the smaller position.
-
-        A block's bound is the sum of its maxima over the query's terms. The quarter of the blocks
-        with the largest bounds is scored first; then those whose bound still reaches the k-th
-        cosine found. What is left can't enter.
+    def build(cls, ids: np.ndarray, labels: np.ndarray, rows: list, n_terms: int, strength: np.ndarray | None = None) -> BlockMaxIndex:
+        """strength: what the terms' IDF is multiplied by, 1 if not given."""
+        term = np.concatenate([np.zeros(0, np.int32), *[np.asarray(r, np.int32) for r in rows]])
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        df = np.bincount(term, minlength=n_terms)
+        scale = (np.log((1 + len(ids)) / (1 + df)) + 1) * (1.0 if strength is None else strength)
+        norm = np.sqrt(np.bincount(doc, scale[term] ** 2, minlength=len(rows)))
+        weight = scale[term]
+        weight /= norm[doc]
+        column = np.full(n_terms, -1, np.int64)
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        often = often[df[often] * SPREAD > len(rows)]
+        column[often] = np.arange(len(often))
+        blocks = -(-len(rows) // BLOCK)
+        dense = np.zeros((blocks * BLOCK, len(often)))
+        held = column[term] >= 0
+        dense[doc[held], column[term[held]]] = weight[held]
+        dense = dense.reshape(blocks, BLOCK, len(often))
+        term, doc, weight = term[~held], doc[~held], weight[~held]
+        along = np.argsort(term, kind="stable")
+        start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=n_terms))))
+        return cls(ids, labels, scale, column, start, doc[along].astype(np.intp), weight[along], dense, dense.max(axis=1))
+
+    def _normed(self, terms: np.ndarray) -> np.ndarray:
+        raw = self.scale[terms]
+        return raw / math.sqrt(float(raw @ raw)) if len(raw) else raw
+
+    def weights(self, terms) -> list[tuple[int, float]]:
+        """Normalised weights (term, weight). Frequency is in the terms' steps, so each weighs its scale."""
+        terms = np.asarray(terms, np.int64)
+        return list(zip(terms.tolist(), self._normed(terms).tolist(), strict=True))
+
+    def _rare(self, queries: list) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over the queries' rare terms (query x example), and their weights of frequent terms."""
+        part, full = np.zeros((len(queries), len(self.dense) * BLOCK)), np.zeros((len(queries), self.dense.shape[2]))
+        for i, terms in enumerate(queries):
+            terms = np.asarray(terms, np.int64)
+            w, at = self._normed(terms), self.column[terms]
+            full[i, at[at >= 0]] = w[at >= 0]
+            rare, w = terms[at < 0], w[at < 0]
+            begin, n = self.start[rare], self.start[rare + 1] - self.start[rare]
+            lists = [slice(a, b) for a, b in zip(begin.tolist(), (begin + n).tolist(), strict=True)]
+            if lists:
+                weight = np.concatenate([self.weight[x] for x in lists])
+                weight *= np.repeat(w, n)
+                part[i] = np.bincount(np.concatenate([self.doc[x] for x in lists]), weight, minlength=part.shape[1])
+        return part, full
+
+    def nearest_of(self, queries: list, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the k examples of highest cosine (position, cosine), ties to the smaller position.
+
+        Rare terms are summed for all examples. A block's bound is its largest such sum and the sum
+        of its maxima over the query's frequent terms. The quarter of the blocks with the largest
+        bounds is completed first; then those whose bound still reaches the k-th cosine found. What
+        is left can't enter.
         """
-        query = self.weights(terms)
-        bound = np.zeros(-(-len(self.ids) // BLOCK))
-        for t, w in query:
-            block, most = self.maxima[t]
-            bound[block] += w * most
-        order = np.argsort(-bound, kind="stable")
-        score = np.zeros(len(self.ids))
-
-        def add(active: np.ndarray) -> None:
-            for t, w in query:
-                doc, x, block = self.lists[t]
-                held = active[block]
-                score[doc[held]] += w * x[held]
+        out = []
+        for begin in range(0, len(queries), AT_ONCE):
+            some = queries[begin : begin + AT_ONCE]
+            score, full = self._rare(some)
+            own = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if without is not None:
-                score[self.ids == without] = 0.0
-
-        first = np.zeros(len(bound), bool)
-        first[order[: max(4, len(order) // 4)]] = True
-        add(first & (bound > 0))
-        kth = np.partition(score, -k)[-k] if len(score) >= k else 0.0
-        add(~first & (bound > 0) & (bound >= kth - 1e-12))
-        hit = np.flatnonzero(score > 0)
-        best = hit[np.lexsort((hit, -score[hit]))[:k]]
-        return best, score[best]
+                own = np.nonzero(without[begin : begin + AT_ONCE, None] == self.ids)
+            bound = score.reshape(len(some), -1, BLOCK).max(axis=2, initial=0.0) + full @ self.most.T
+            first = np.zeros(bound.shape, bool)
+            np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, : max(4, bound.shape[1] // 4)], True, axis=1)
+            self._complete(score, full, first)
+            score[own] = 0.0
+            rank = min(k, score.shape[1])
+            kth = np.partition(score, -rank, axis=1)[:, -rank] if rank else np.zeros(len(some))
+            self._complete(score, full, ~first & (bound >= kth[:, None] - 1e-12))
+            score[own] = 0.0
+            for row in np.round(score[:, : len(self.ids)], 12):
+                hit = np.flatnonzero(row > 0) if len(row) <= k else np.flatnonzero((row > 0) & (row >= np.partition(row, -k)[-k]))
+                best = hit[np.lexsort((hit, -row[hit]))[:k]]
+                out.append((best, row[best]))
+        return out
+
+    def _complete(self, score: np.ndarray, full: np.ndarray, active: np.ndarray) -> None:
+        """Adds the frequent terms in the active blocks (query x block)."""
+        for b in range(active.shape[1]):
+            q = np.flatnonzero(active[:, b])
+            if len(q):
+                score[q, b * BLOCK : (b + 1) * BLOCK] += full[q] @ self.dense[b].T
+
+    def nearest(self, terms, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([terms], k, None if without is None else np.array([without]))[0]
 
 
 @dataclass
@@ -142,21 +207,43 @@ class ToxicityModel:
     slope: float
     shift: float
 
-    def vote(self, terms: list[int], without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of toxic examples among the neighbours, drawn to the prior. A neighbour weighs its
-        cosine, and makes up for the rate at which its class was sampled."""
-        if not terms:
-            return self.prior, np.zeros(0, np.int64), np.zeros(0)
-        at, cosine = self.index.nearest(terms, NEIGHBOURS, without)
-        toxic = self.index.labels[at]
-        cosine_of, cosine = cosine, cosine * np.where(toxic > 0, self.prior / self.sampled, (1 - self.prior) / (1 - self.sampled))
-        share = (float(cosine @ toxic) + PRIOR_WEIGHT * self.prior) / (float(cosine.sum()) + PRIOR_WEIGHT)
-        return share, at, cosine_of
+    def votes(self, queries: list, without: np.ndarray | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Share of toxic examples among each query's neighbours, drawn to the prior; the neighbours and
+        their cosines. A neighbour weighs its cosine, and makes up for the rate at which its class was sampled."""
+        out = []
+        for at, cosine in self.index.nearest_of(queries, NEIGHBOURS, without):
+            toxic = self.index.labels[at]
+            weight = cosine * np.where(toxic > 0, self.prior / self.sampled, (1 - self.prior) / (1 - self.sampled))
+            out.append(((float(weight @ toxic) + PRIOR_WEIGHT * self.prior) / (float(weight.sum()) + PRIOR_WEIGHT), at, cosine))
+        return out
+
+    def packed(self, terms: list[str], strength: np.ndarray, rows: list[np.ndarray]) -> bytes:
+        """What the model is built from, a fraction of its size."""
+        index = (self.index.ids, self.index.labels, np.array([len(r) for r in rows]), np.concatenate([np.diff(r, prepend=0) for r in rows]), strength)
+        return zlib.compress(pickle.dumps(("\n".join(terms), index, (self.prior, self.sampled, self.slope, self.shift))), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> ToxicityModel:
+        words, (ids, labels, size, steps, strength), numbers = pickle.loads(zlib.decompress(data))
+        terms = words.split("\n")
+        rows = [np.cumsum(r, dtype=np.int32) for r in np.split(steps, np.cumsum(size)[:-1])]
+        return cls(Vocabulary(terms), BlockMaxIndex.build(ids, labels, rows, len(terms), strength), *numbers)
 
     def calibrated(self, share: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * share + self.shift))))
 
 
+#: The model a Python worker built last, by its name: tasks of one worker build it once.
+_built: dict[str, ToxicityModel] = {}
+
+
+def _model(name: str, data: bytes) -> ToxicityModel:
+    if name not in _built:
+        _built.clear()
+        _built[name] = ToxicityModel.unpacked(data)
+    return _built[name]
+
+
 def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Logistic curve through (x, y) with row weights w, by Newton steps with a little ridge."""
     a, b = 1.0, 0.0
@@ -177,8 +264,9 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
-    """Fit on a bounded sample of labelled documents outside the held-out fold; None without both classes.
+def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
+    """A packed model fitted on a bounded sample of labelled documents outside the held-out fold; None
+    without both classes or without a term that two examples share.
 
     A doc_id with several labels counts as toxic if any of them says so.
     """
@@ -195,45 +283,52 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
         return None
     each = texts.select("toxic", F.explode(_terms_udf("text")).alias("term"))
     df = each.groupBy("term").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg"))
-    p1, p0, p = F.col("pos") / n[1], F.col("neg") / n[0], (F.col("pos") + F.col("neg")) / (n[0] + n[1])
-    z = (p1 - p0) / F.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]) + 1e-12)
-    best = df.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
-    terms = [r["term"] for r in best.select("term").collect()]
+    held = df.where(F.col("pos") + F.col("neg") >= LEAST_HELD).orderBy("term").toArrow()
+    terms = held["term"].to_pylist()  # bounded by EXAMPLES and the words of a text
+    pos, neg = (held[c].to_numpy().astype(float) for c in ("pos", "neg"))
+    p = (pos + neg) / (n[0] + n[1])
+    z = (pos / n[1] - neg / n[0]) / np.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]) + 1e-12)
+    if not terms:
+        return None
+    strength = np.maximum(np.abs(z), LEAST_STRENGTH)
     vocabulary = Vocabulary(terms)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def held_terms(batch: pd.Series) -> pd.Series:
-        return pd.Series([vocabulary.terms(t) for t in batch])
-
-    rows = sorted(texts.select("doc_id", "toxic", held_terms("text").alias("t")).collect(), key=lambda r: r["doc_id"])
-    ids, y = np.array([r["doc_id"] for r in rows], np.int64), np.array([r["toxic"] for r in rows])
-    # Examples with like terms share blocks, so that bounds differ; those without terms have cosine 0.
-    held = sorted((i for i, r in enumerate(rows) if r["t"]), key=lambda i: (rows[i]["t"], i))
-    index = BlockMaxIndex.build(ids[held], y[held], [rows[i]["t"] for i in held], len(terms))
+    def held_terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([vocabulary.terms(t) for t in batch])
+
+    found = texts.select("doc_id", "toxic", held_terms("text").alias("t")).toArrow().sort_by("doc_id").combine_chunks()
+    ids, y, lists = found["doc_id"].to_numpy(), found["toxic"].to_numpy(), [x.values.to_numpy() for x in found["t"]]
+    # Examples whose strongest terms are alike share blocks, so that bounds differ.
+    heaviest = [(r[np.argsort(-strength[r], kind="stable")[:4]]).tolist() for r in lists]
+    order = sorted(range(len(lists)), key=lambda i: (heaviest[i], i))
+    ids, y, lists = ids[order], y[order], [lists[i] for i in order]
+    index = BlockMaxIndex.build(ids, y, lists, len(terms), strength)
     model = ToxicityModel(vocabulary, index, float(share), n[1] / (n[0] + n[1]), 1.0, 0.0)
-    votes = np.array([model.vote(r["t"], without=r["doc_id"])[0] for r in rows])
-    weight = np.where(y > 0, share / n[1], (1 - share) / n[0]) * len(rows)
+    votes = np.array([v[0] for v in model.votes(lists, ids)])
+    weight = np.where(y > 0, share / n[1], (1 - share) / n[0]) * len(y)
     model.slope, model.shift = _platt(votes, y, weight)
-    return model
+    return model.packed(terms, strength, lists)
 
 
 def score_column(docs: DataFrame, labels: DataFrame) -> Column:
     """A column over docs.text with score and evidence, from a model fitted on docs and labels."""
     spark = docs.sparkSession
     small_batches(spark)
-    model = spark.sparkContext.broadcast(cloudpickle.dumps(fit(docs, labels)))  # bounded by EXAMPLES and MOST_TERMS
+    name, data = uuid.uuid4().hex, fit(docs, labels)
+    model = spark.sparkContext.broadcast(data)  # bounded by EXAMPLES and the words of a text
     evidence = T.ArrayType(T.StructType().add("doc_id", T.LongType()).add("toxic", T.IntegerType()).add("cosine", T.DoubleType()))
 
     @F.pandas_udf(T.StructType().add("score", T.DoubleType()).add("evidence", evidence))
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = cloudpickle.loads(model.value)
+        m = _model(name, model.value) if model.value is not None else None
         for batch in texts:
+            if m is None:
+                yield pd.DataFrame({"score": [0.0] * len(batch), "evidence": [[] for _ in batch]})
+                continue
             out = []
-            for t in batch:
-                if m is None:
-                    out.append((0.0, []))
-                    continue
-                share, at, cosine = m.vote(m.vocabulary.terms(t))
+            for share, at, cosine in m.votes([m.vocabulary.terms(t) for t in batch]):
                 seen = zip(m.index.ids[at[:3]].tolist(), m.index.labels[at[:3]].tolist(), cosine[:3].tolist(), strict=True)
                 out.append((m.calibrated(share), [dict(zip(("doc_id", "toxic", "cosine"), e, strict=True)) for e in seen]))
             yield pd.DataFrame(out, columns=["score", "evidence"])

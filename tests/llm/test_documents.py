@@ -307,3 +307,22 @@ def test_empty_documents_and_labels(spark):
     assert [r.score for r in toxicity.score_toxicity(some, labels).collect()] == [0.0]
     assert mixing.mix(some, labels).count() == 1 and mixing.resample(docs, labels).count() == 0
     assert toxicity.drop_toxic(some, labels).select(F.count("*")).first()[0] == 1
+
+
+def test_toxicity_searches_with_every_shared_term(spark):
+    # Words that clean examples favour, and one that few toxic ones hold, find their neighbours too.
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(300):
+        bad = i % 5 == 0
+        w = prose(rng, 30) + (["vilefoo"] * 3 if bad else ["kindlyword", "gardening"])
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    trained = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5]
+    rare = [i for i in trained if i % 5 == 0][:2]
+    docs = [(i, t + " zzyzxq" if i in rare else t) for i, t in docs] + [(1000, "kindlyword gardening"), (1001, "zzyzxq")]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(frame(spark, docs), table).collect()}
+    assert [e.toxic for e in got[1000].evidence] == [0, 0, 0]
+    assert sorted(e.doc_id for e in got[1001].evidence) == rare and got[1001].score > got[1000].score
+    assert all(got[i].evidence for i in range(300))
