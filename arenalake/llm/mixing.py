@@ -87,13 +87,23 @@ def posteriors(docs: DataFrame, prior: dict[str, float], logp: dict[str, list[fl
     return held.select(*docs.columns, "n_tokens", *[(part[d] / whole).alias(f"p_{d}") for d in domains])
 
 
-def fit_rates(held: DataFrame, targets: dict[str, float], rounds: int = ROUNDS) -> Column:
+def measured_targets(held: DataFrame, domains: list[str], keep: str, rest: float) -> dict[str, float]:
+    """Targets from the expected shares of held's tokens: the other domains get `rest` of what they
+    have, and keep all else, so never less than its present share."""
+    sums = held.agg(F.sum("n_tokens").alias("all"), *[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in domains]).first()
+    total = float(sums["all"] or 0)
+    out = {d: rest * float(sums[d]) / total if total and d != keep else 0.0 for d in domains}
+    return out | {keep: 1 - sum(out.values())}
+
+
+def fit_rates(held: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, keep: str | None = None) -> Column:
     """Column of nonnegative rates over held (n_tokens, p_<domain>), by projected gradient from rate 1.
 
     Minimises the squares of expected domain totals minus targets of the same sum. A document's
     gradient is divided by its tokens, so long and short ones of like posteriors move alike. Every
     round is one distributed sum per domain; only those sums come to the driver, and rates stay an
     expression over the posteriors. The fit ends within TOLERANCE of the total, or after `rounds`.
+    Rows that belong to the domain `keep` with probability 0.5 or more have rates of 1 or more.
     """
     domains = list(targets)
     p = {d: F.col(f"p_{d}") for d in domains}
@@ -106,26 +116,27 @@ def fit_rates(held: DataFrame, targets: dict[str, float], rounds: int = ROUNDS)
     gram = np.array([[first[f"g_{a}_{b}"] for b in domains] for a in domains]) / total
     step = 1.8 / float(np.linalg.eigvalsh(gram)[-1])
     scale = sum(targets.values())
+    least = F.when(p[keep] >= 0.5, 1.0).otherwise(0.0) if keep else F.lit(0.0)
     moves: list[list[float]] = []
     for _ in range(rounds):
-        rate = _descended([p[d] for d in domains], moves)
+        rate = _descended([p[d] for d in domains], moves, least)
         sums = held.agg(*[F.sum(n * p[d] * rate).alias(d) for d in domains]).first()
         off = [sums[d] / total - targets[d] / scale for d in domains]
         if max(map(abs, off)) <= TOLERANCE:
             break
         moves.append([step * x for x in off])
-    return _descended([p[d] for d in domains], moves)
+    return _descended([p[d] for d in domains], moves, least)
 
 
-def _descended(p: list[Column], moves: list[list[float]]) -> Column:
-    """Rate after the moves so far: from 1, each takes off its weights times the posteriors, down to 0 at least."""
+def _descended(p: list[Column], moves: list[list[float]], least: Column) -> Column:
+    """Rate after the moves so far: from 1, each takes off its weights times the posteriors, down to `least`."""
     if not moves:
         return F.lit(1.0)
-    state = lambda rate, post: F.struct(rate.alias("rate"), post.alias("post"))
+    state = lambda rate, post, low: F.struct(rate.alias("rate"), post.alias("post"), low.alias("low"))
     taken = lambda s, m: sum((s["post"][i] * m[i] for i in range(len(p))), F.lit(0.0))
     path = F.array(*[F.array(*map(F.lit, m)) for m in moves])
-    start = state(F.lit(1.0), F.array(*p))
-    return F.aggregate(path, start, lambda s, m: state(F.greatest(F.lit(0.0), s["rate"] - taken(s, m)), s["post"]), lambda s: s["rate"])
+    start = state(F.lit(1.0), F.array(*p), least)
+    return F.aggregate(path, start, lambda s, m: state(F.greatest(s["low"], s["rate"] - taken(s, m)), s["post"], s["low"]), lambda s: s["rate"])
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -141,14 +152,17 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     return held.withColumn("rate", fit_rates(held, targets))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """docs repeated by their rates: the whole part, and once more where a hash of the row falls under the rest."""
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: str | None = None, rest: float = 0.5) -> DataFrame:
+    """docs repeated by their rates: the whole part, and once more where a hash of the row falls under the rest.
+
+    With keep, targets only names the domains: see measured_targets. Rows mainly of that domain all stay then.
+    """
     # The texts stay out of the table of posteriors; equal (doc_id, text) have equal rates.
     keyed = docs.select(F.struct(*docs.columns).alias("__row"), "text", F.xxhash64("doc_id", "text").alias("__h"))
     prior, logp = fit_classifier(docs, label_domains(labels), list(targets))
     held = posteriors(keyed.select("__h", "text"), prior, logp).drop("text")
     held = materialise(held, "posteriors")
-    rate = fit_rates(held, targets)
+    rate = fit_rates(held, measured_targets(held, list(targets), keep, rest) if keep else targets, keep=keep)
     scored = posteriors(keyed, prior, logp).withColumn("__r", rate)
     draw = F.pmod(F.xxhash64(F.lit("draw"), "__h"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("__r") + 1 - draw).cast("int")

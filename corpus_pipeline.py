@@ -8,9 +8,9 @@ from arenalake.llm import mixing, packing, secrets, simhash, toxicity
 from arenalake.llm.common import materialise, table
 
 
-#: Shares of tokens after mixing. Clean texts have less than this before it, so their rates exceed 1 and none goes.
-#: Toxic documents have gone by then; the small share left to that domain keeps those it is unsure of.
-MIX_TARGETS = {"clean": 0.93, "rough": 0.05, "toxic": 0.02}
+#: What the domains other than clean keep of the tokens they are expected to hold in the stage's own input.
+#: Clean gets the rest, so never less than it has, and documents mainly clean have rates of 1 or more: none goes.
+MIX_REST = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rough documents are thinned and clean ones repeated until the tokens meet MIX_TARGETS."""
-    return mixing.resample(docs, table(spark, sf_dir, "labels"), MIX_TARGETS)
+    """Rough documents are thinned and clean ones repeated until the others hold MIX_REST of their present share."""
+    return mixing.resample(docs, table(spark, sf_dir, "labels"), keep="clean", rest=MIX_REST)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

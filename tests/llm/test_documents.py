@@ -326,3 +326,18 @@ def test_toxicity_searches_with_every_shared_term(spark):
     assert [e.toxic for e in got[1000].evidence] == [0, 0, 0]
     assert sorted(e.doc_id for e in got[1001].evidence) == rare and got[1001].score > got[1000].score
     assert all(got[i].evidence for i in range(300))
+
+
+def test_mixing_keeps_clean_documents_of_a_clean_corpus(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    docs, labels = [], []
+    for i in range(500):
+        clean = i % 50 != 0
+        w = [f"{'fine' if clean else 'junk'}{rng.randrange(30)}" for _ in range(rng.randrange(20, 80))]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(clean), 0))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {r.doc_id for r in corpus_pipeline.mix_domains(spark, frame(spark, docs), str(tmp_path)).collect()}
+    assert {i for i in range(500) if i % 50} <= left and len(left) < 500
