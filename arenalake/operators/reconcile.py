@@ -80,17 +80,20 @@ def model_core(reconciled: DataFrame, leagues: list[str]) -> DataFrame:
 def resolve_names(queries: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
     """Free-text names to entities: exact key, alias, then containment either way.
 
-    queries: query_id, name; known: entity_key, name. Containment is tested only among entities
-    that share a three-letter gram with the query. Status is exact, alias, contains, ambiguous or
+    queries: query_id, name; known: entity_key, name. Containment joins the distinct substrings
+    of each name with the whole names of the other side, so it is exact at every length. Status is exact, alias, contains, ambiguous or
     unknown; an ambiguous name has no entity.
     """
     q = queries.withColumn("norm", normalise(F.col("name"))).drop("name")
     k = known.select("entity_key", normalise(F.col("name")).alias("k_norm")).distinct()
     exact = q.join(k, q.norm == k.k_norm).select("query_id", "entity_key", F.lit(1).alias("step"))
     alias = q.join(aliases, q.norm == aliases["alias"]).join(k, F.col("canonical") == F.col("k_norm")).select("query_id", "entity_key", F.lit(2).alias("step"))
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))))
-    qg, kg = q.select("query_id", "norm", grams(F.col("norm")).alias("g")), k.select("entity_key", "k_norm", grams(F.col("k_norm")).alias("g"))
-    near = qg.join(kg, "g").where("norm <> '' and (contains(norm, k_norm) or contains(k_norm, norm))").select("query_id", "entity_key", F.lit(3).alias("step")).distinct()
+    parts = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n))))))
+    names, whole = q.where("norm <> ''").select("norm").distinct(), k.where("k_norm <> ''").select("k_norm").distinct()
+    inner = names.select("norm", parts(F.col("norm")).alias("k_norm")).join(whole, "k_norm")
+    outer = whole.select("k_norm", parts(F.col("k_norm")).alias("norm")).join(names, "norm")
+    met = inner.unionByName(outer).distinct()
+    near = q.join(met, "norm").join(k, "k_norm").select("query_id", "entity_key", F.lit(3).alias("step")).distinct()
     found = exact.unionByName(alias).unionByName(near)
     best = found.withColumn("first", F.min("step").over(W.partitionBy("query_id"))).where("step = first").groupBy("query_id", "step").agg(F.countDistinct("entity_key").alias("n"), F.min("entity_key").alias("entity_key"))
     name = F.when(F.col("n") > 1, "ambiguous").when(F.col("step") == 1, "exact").when(F.col("step") == 2, "alias").when(F.col("step") == 3, "contains").otherwise("unknown")

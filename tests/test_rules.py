@@ -112,3 +112,13 @@ def test_trailing_window_over_all_rows(spark):
     got = {r.n: r.trailing_mean for r in H.global_trailing(rows, ["event_date", "n"], "v", 40).collect()}
     v = [i * 37 % 101 for i in range(300)]
     assert got[0] is None and all(got[i] == pytest.approx(sum(v[max(0, i - 40) : i]) / len(v[max(0, i - 40) : i])) for i in range(1, 300))
+
+
+def test_short_names_resolve_by_containment(spark):
+    from arenalake.operators.reconcile import resolve_names
+
+    known = spark.createDataFrame([(1, "G2 Esports"), (2, "T1"), (3, "T1 Academy"), (4, "X")], "entity_key long, name string")
+    asked = spark.createDataFrame([(1, "G2"), (2, "T1 Rookies"), (3, "T1 Academy B"), (4, "Xy"), (5, "")], "query_id long, name string")
+    none = spark.createDataFrame([], "alias string, canonical string")
+    got = {r.query_id: (r.entity_key, r.status) for r in resolve_names(asked, known, none).collect()}
+    assert got == {1: (1, "contains"), 2: (2, "contains"), 3: (None, "ambiguous"), 4: (4, "contains"), 5: (None, "unknown")}
