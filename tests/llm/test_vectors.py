@@ -83,3 +83,11 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 100 for i in range(100, 160)) and got[201] == 200
+
+
+def test_pairs_at_the_threshold_meet_with_probability_0_997():
+    from arenalake.llm import pstable
+
+    for n in (1000, 60_000, 200_000):
+        projections, tables = pstable.hash_plan(n)
+        assert 1 - (1 - pstable.NEAR**projections) ** tables >= 0.997
