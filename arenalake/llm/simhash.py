@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arenalake.llm.common import materialise, small_batches
+from arenalake.llm.common import materialise, row_key, small_batches
 from arenalake.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -113,28 +113,34 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     are null. Null and blank texts have fingerprint zero and link like any other. Extra columns
     are ignored.
     """
+    fps, of_class = _grouped(docs)
+    return fps.join(of_class, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
+def _grouped(docs: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs (doc_id, carried columns, fp), and the classes (fp, component, component_id, n_links)."""
     small_batches(docs.sparkSession)
-    fps = materialise(docs.select("doc_id", fingerprint_udf(F.col("text")).alias("fp")), "simhash")
+    fps = materialise(docs.select("doc_id", *carried, fingerprint_udf(F.col("text")).alias("fp")), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     links = materialise(link_fingerprints(classes.select("fp")), "simhash-links")
     comps = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     grouped = classes.join(comps, classes.fp == comps.node, "left").withColumn("component", F.coalesce("component", "fp"))
     named = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = grouped.select("fp", "component").join(named, "component").join(degree, "fp", "left")
-    return fps.join(of_class, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
+    return fps, grouped.select("fp", "component").join(named, "component").join(degree, "fp", "left")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with the smallest doc_id of each component; of rows that repeat that doc_id, one stays.
+    """docs with one row of each component: the smallest by doc_id (null last), text hash and other columns' hash.
 
-    Rows with a null doc_id stay only if their component has no other.
+    Of equal rows one stays.
     """
-    parts = simhash_components(docs.select("doc_id", "text"))
-    kept = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    unknown = docs.where("doc_id is null").join(kept.where("__kept is null").limit(1), F.lit(True), "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(unknown)
+    key = F.concat_ws("|", row_key(F.col("doc_id"), F.col("text")), F.hex(F.xxhash64(*docs.columns)))
+    keyed = docs.withColumn("__key", key)
+    rows, of_class = _grouped(keyed, "__key")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__key")
+    first = rows.join(of_class, "fp").groupBy("component").agg(F.min(place).alias("p")).select("p.__key")
+    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

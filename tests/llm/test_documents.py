@@ -341,3 +341,11 @@ def test_mixing_keeps_clean_documents_of_a_clean_corpus(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     left = {r.doc_id for r in corpus_pipeline.mix_domains(spark, frame(spark, docs), str(tmp_path)).collect()}
     assert {i for i in range(500) if i % 50} <= left and len(left) < 500
+
+
+def test_keep_first_keeps_one_row_where_ids_repeat_or_lack(spark):
+    rng = random.Random(8)
+    one, two, three = prose(rng, 120), prose(rng, 120), prose(rng, 120)
+    docs = [(5, " ".join(one)), (5, " ".join(two)), (None, " ".join(three)), (None, " ".join(three)), (None, " ".join(one)), (9, " ".join(two))]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_first(frame(spark, docs)).collect())
+    assert kept == sorted([(5, " ".join(one)), (5, " ".join(two)), (0, " ".join(three))])
