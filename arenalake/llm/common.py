@@ -1,4 +1,4 @@
-"""Shared helpers: scratch tables, row keys, session settings."""
+"""Shared helpers: scratch tables, joins apart of hot keys, row keys."""
 
 from __future__ import annotations
 
@@ -27,17 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it back with the same schema.
 
-    A lost executor loses nothing of it. The files may be removed when the application ends.
+    A lost executor loses nothing of it. The files may be removed when the application ends, or
+    with discard() as soon as no frame reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arenalake/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the memory of Python workers: texts can be long, so Arrow batches hold few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def discard(table: DataFrame) -> None:
+    """Remove the files of a table that materialise() returned; nothing may read it afterwards."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_keys(rows: DataFrame, *keys: str, share: int = 1000) -> tuple[DataFrame, int]:
+    """Keys that hold more than one in `share` of the rows (at most `share` keys, so fit to be broadcast),
+    with their number of rows as n; and the number of rows that this is."""
+    limit = max(1000, rows.count() // share)
+    return materialise(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > limit), "hot"), limit
+
+
+def join_apart(rows: DataFrame, of_key: DataFrame, hot: DataFrame, *keys: str) -> DataFrame:
+    """rows.join(of_key, keys) where rows of the keys in `hot` (see hot_keys) are not shuffled to one task.
+
+    What of_key says of hot keys is broadcast; so of_key must hold few rows per key.
+    """
+    few = F.broadcast(hot.select(*keys))
+    of_hot = F.broadcast(of_key.join(few, list(keys), "left_semi"))
+    rest = rows.join(few, list(keys), "left_anti").join(of_key.join(few, list(keys), "left_anti"), list(keys))
+    return rows.join(of_hot, list(keys)).unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalake.llm.common import materialise
+from arenalake.llm.common import discard, materialise
+
+#: A node with more than one in HOT_SHARE of all sides of links, and more than HOT_LEAST of them, is joined by broadcast.
+HOT_SHARE, HOT_LEAST = 1000, 1000
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -16,21 +19,31 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _to_lowest(sides: DataFrame, links: int) -> DataFrame:
+    """sides (a, b) with m, the smallest b of each a.
+
+    Nodes with more than one in HOT_SHARE of the sides, HOT_SHARE at most, get m by broadcast, so
+    the links of a star's centre stay where they are; all others by a join on the node.
+    """
+    limit = max(HOT_LEAST, links // HOT_SHARE)
+    low = sides.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    if links <= HOT_LEAST:  # no node can have more
+        return sides.join(low.select("a", "m"), "a")
+    hot = F.broadcast(low.where(F.col("n") > limit).select("a", "m"))
+    cold = low.where(F.col("n") <= limit).select("a", "m")
+    return sides.join(hot, "a").unionByName(sides.join(hot, "a", "left_anti").join(cold, "a"))
+
+
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return (
-        both.where("b > a").join(low, "a")
-        .select(F.col("b").alias("a"), F.col("m").alias("b"))
-        .where("a <> b").distinct()
-    )
+    moved = _to_lowest(both, 2 * links).where("b > a")
+    return moved.select(F.col("b").alias("a"), F.least("m", "a").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    moved = _to_lowest(down, links)
+    return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(moved.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -38,15 +51,20 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Only linked nodes appear. Every step is a join on the node and an aggregation, so no
     neighbour list is ever gathered; the edge table is rewritten to the shared folder after
-    each round, which ends the loop once two rounds agree. Self links and repeated links are
-    dropped; an empty table gives an empty table. Raises if the rounds run out.
+    each round, and the one before it removed. The loop ends once two rounds agree. Self links
+    and repeated links are dropped; an empty table gives an empty table. Raises if the rounds run
+    out.
     """
     edges = materialise(edges.select("a", "b").where("a <> b").distinct(), "links")
     seen = _fingerprint(edges)
     if not seen[0]:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(rounds):
-        edges = materialise(_small_star(_large_star(edges)), "links")
+        before = edges
+        starred = materialise(_large_star(before, seen[0]), "links")
+        edges = materialise(_small_star(starred, starred.count()), "links")
+        discard(before)
+        discard(starred)
         now = _fingerprint(edges)
         if now == seen:
             roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

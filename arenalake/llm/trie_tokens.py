@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arenalake.llm.common import small_batches
+
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -80,7 +80,6 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     columns are ignored. Each task grows its own trie from the distinct pre-tokens it meets and
     remembers their counts, up to a bound, after which it starts anew; no row is shuffled.
     """
-    small_batches(docs.sparkSession)
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary))  # one vocabulary: fixed size
 
     @F.pandas_udf(T.StructType().add("n_words", T.LongType()).add("n_tokens", T.LongType()))
