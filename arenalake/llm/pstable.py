@@ -3,32 +3,43 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalake.llm.common import materialise, small_batches
+from arenalake.llm.common import hot_keys, join_apart, materialise
 from arenalake.llm.components import connected_components
 
 THRESHOLD = 0.95
-WIDTH, SEED = 1.0, 20240517
-#: One projection agrees with this probability at cosine 0.95 (distance 0.316), and for unrelated vectors.
-NEAR, FAR = 0.748, 0.27
+#: Width of a cell; about 2.2 needs the fewest tables for a recall.
+WIDTH, SEED = 2.2, 20240517
 #: At the threshold a pair meets in some table with at least this probability; closer pairs more often.
 RECALL = 0.997
+#: Unrelated vectors that a bucket holds, about.
+BUCKET = 20
 #: Rows of a bucket that are compared in one task; larger buckets are split into pairs of blocks.
 BLOCK = 1500
 #: Rows of small buckets that share a task's group, about.
 GROUP_ROWS = 6000
 
 
+def agreement(cosine: float, width: float = WIDTH) -> float:
+    """Probability that one projection puts two unit vectors of this cosine into one cell."""
+    c = math.sqrt(2 - 2 * cosine)
+    return math.erf(width / c / math.sqrt(2)) - 2 * c / (math.sqrt(2 * math.pi) * width) * (1 - math.exp(-(width**2) / (2 * c * c)))
+
+
 def hash_plan(n: int) -> tuple[int, int]:
-    """(projections, tables) for n vectors: buckets of unrelated vectors keep their size as n grows,
-    and the tables make up for what longer keys lose."""
-    projections = 6 + max(0, math.ceil(math.log(max(n, 1) / 50_000) / math.log(1 / FAR)))
-    return projections, math.ceil(math.log(1 - RECALL) / math.log(1 - NEAR**projections))
+    """(projections, tables) for n vectors: one rule at every size.
+
+    Projections keep the number of unrelated vectors in a bucket at about BUCKET; tables bring the
+    recall back that longer keys lose, so they grow with n to the power 0.19.
+    """
+    projections = max(8, math.ceil(math.log(max(n, 2) / BUCKET) / -math.log(agreement(0.0))))
+    return projections, math.ceil(math.log(1 - RECALL) / math.log(1 - agreement(THRESHOLD) ** projections))
 
 
 def usable(vector: str = "embedding"):
@@ -38,13 +49,17 @@ def usable(vector: str = "embedding"):
     return v.isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
-def bucket_keys(v: np.ndarray, projections: int, tables: int, width: float = WIDTH) -> np.ndarray:
-    """Bucket of each normalised row in each table: quantised Gaussian projections, hashed to 64 bits."""
+@lru_cache(2)
+def _projections(d: int, projections: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    a = rng.standard_normal((v.shape[1], tables * projections))
-    b = rng.uniform(0, width, tables * projections)
-    cells = np.floor((v @ a + b) / width).astype(np.int64).reshape(len(v), tables, projections)
-    mix = rng.integers(1, 1 << 62, projections, dtype=np.int64) | 1
+    a, b = rng.standard_normal((d, tables * projections)), rng.uniform(0, WIDTH, tables * projections)
+    return a, b, rng.integers(1, 1 << 62, projections, dtype=np.int64) | 1
+
+
+def bucket_keys(v: np.ndarray, projections: int, tables: int) -> np.ndarray:
+    """Bucket of each normalised row in each table: quantised Gaussian projections, hashed to 64 bits."""
+    a, b, mix = _projections(v.shape[1], projections, tables)
+    cells = np.floor((v @ a + b) / WIDTH).astype(np.int64).reshape(len(v), tables, projections)
     return (cells * mix).sum(axis=2)
 
 
@@ -87,79 +102,89 @@ def _meeting(run: np.ndarray, part: np.ndarray, row: np.ndarray, col: np.ndarray
             yield np.repeat(some, len(right)), np.tile(right, len(some))
 
 
-def _link_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links within buckets: per vector their number, and the smallest vector of its component among
-    these links. A pair counts in the first table where its keys agree, so none counts twice.
+def _link_group(pdf: pd.DataFrame, projections: int, tables: int) -> pd.DataFrame:
+    """Links within buckets of one table: per vector the vectors that its links lead to, and the smallest
+    of its component among these links. A pair counts in the first table where its keys agree, so
+    none counts twice; the keys of the tables before are made anew for the vectors of links.
     """
-    pdf = pdf.sort_values(["t", "key", "vec_id"])
-    ids, t = pdf["vec_id"].to_numpy(np.int64), pdf["t"].to_numpy()
+    pdf = pdf.sort_values(["key", "vec_id"])
+    ids, t, size = pdf["vec_id"].to_numpy(np.int64), int(pdf["t"].iloc[0]), pdf["size"].to_numpy(np.int64)
     key = pdf["key"].to_numpy(np.int64)
-    run = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (t[1:] != t[:-1]))))
+    run = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
     v = _normalised(pdf["embedding"])
-    earlier = np.zeros((len(ids), int(t.max(initial=0))), np.int64)  # keys in the tables before this one
-    for i, k in enumerate(pdf["earlier"]):
-        earlier[i, : len(k)] = k
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j in _meeting(run, *(pdf[c].to_numpy() for c in ("part", "row", "col"))):
         ok = np.einsum("nd,nd->n", v[i], v[j]) >= THRESHOLD
-        i, j = i[ok], j[ok]
-        if earlier.shape[1] and len(i):
-            before = np.arange(earlier.shape[1]) < t[i, None]
-            fresh = ~((earlier[i] == earlier[j]) & before).any(axis=1)
-            i, j = i[fresh], j[fresh]
-        xs.append(i)
-        ys.append(j)
+        xs.append(i[ok])
+        ys.append(j[ok])
     x, y = np.concatenate(xs), np.concatenate(ys)
+    if t and len(x):
+        linked, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+        keys = bucket_keys(v[linked], projections, tables)[:, :t]
+        fresh = _differ(keys, at[: len(x)], at[len(x) :])
+        x, y = x[fresh], y[fresh]
     names, at = np.unique(ids, return_inverse=True)
+    weight = np.zeros(len(names), np.int64)
+    weight[at] = size
     x, y = at[x], at[y]
-    count = np.bincount(x, minlength=len(names)) + np.bincount(y, minlength=len(names))
+    count = np.zeros(len(names), np.int64)
+    np.add.at(count, x, weight[y])
+    np.add.at(count, y, weight[x])
     out = pd.DataFrame({"vec_id": names, "n": count, "low": names[_roots(len(names), x, y)]})
     return out[out["n"] > 0]
 
 
-def embedding_components(vectors: DataFrame) -> DataFrame:
+def _differ(keys: np.ndarray, i: np.ndarray, j: np.ndarray, portion: int = 50_000) -> np.ndarray:
+    """Where no key of rows i and j agrees."""
+    return np.concatenate([(keys[i[b : b + portion]] != keys[j[b : b + portion]]).all(axis=1) for b in range(0, len(i), portion)])
+
+
+def embedding_components(vectors: DataFrame, planned: int | None = None) -> DataFrame:
     """One row per vector (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors of cosine 0.95 or more are linked where at least one hash table puts them into one
-    bucket. Vectors that are null, zero, or hold null or non-finite components link with nothing,
-    as do rows with a null vec_id or a length other than the most common one. Rows that repeat a
-    vec_id count as one vector, the least of them. Extra columns are ignored.
+    bucket; vectors of different lengths never are. Vectors that are null, zero, empty, or hold
+    null or non-finite components link with nothing, as do rows with a null vec_id. Rows that
+    repeat a vec_id count as one vector, the least of them. Equal vectors (by 128 bits of hash)
+    are one class with a size, so copies never meet in pairs. Extra columns are ignored. planned:
+    the number of vectors that the tables are laid out for, the classes' own if None.
     """
-    spark = vectors.sparkSession
-    small_batches(spark, 2000)
     one = vectors.select("vec_id", "embedding").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    one = materialise(one, "vectors")
-    fine = one.where(usable() & F.col("vec_id").isNotNull())
-    size = fine.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    fine = fine.where(F.size("embedding") == (size["d"] if size else 0))
-    total = size["count"] if size else 0
-    projections, tables = hash_plan(total)
+    fine = usable() & F.col("vec_id").isNotNull()
+    one = materialise(one.withColumn("h", F.when(fine, F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit("second"), "embedding").alias("b")))), "vectors")
+    classes = one.where("h is not null").groupBy("h").agg(F.min(F.struct("vec_id", "embedding")).alias("m"), F.count("*").alias("size"))
+    classes = materialise(classes.select("h", F.col("m.vec_id").alias("vec_id"), F.col("m.embedding").alias("embedding"), "size", F.size("m.embedding").alias("d")), "classes")
+    total = classes.count()
+    projections, tables = hash_plan(planned or total)
 
     def keys(batches):
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": b["embedding"], "keys": list(bucket_keys(_normalised(b["embedding"]), projections, tables))})
+        for batch in batches:
+            for _, b in batch.groupby("d"):
+                yield pd.DataFrame({"vec_id": b["vec_id"], "d": b["d"], "keys": list(bucket_keys(_normalised(b["embedding"]), projections, tables))})
 
-    keyed = materialise(fine.mapInPandas(keys, f"vec_id bigint, embedding {fine.schema['embedding'].dataType.simpleString()}, keys array<bigint>"), "keyed")
-    cell = keyed.select("vec_id", F.posexplode("keys").alias("t", "key"))
-    crowded = cell.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = materialise(classes.select("vec_id", "d", "embedding").mapInPandas(keys, "vec_id bigint, d int, keys array<bigint>"), "keyed")
+    cell = keyed.select("vec_id", "d", F.posexplode("keys").alias("t", "key"))
+    crowded = cell.groupBy("t", "d", "key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    dealt = cell.join(crowded, ["t", "key"]).withColumn("blocks", blocks).withColumn("part", part)
+    dealt = cell.join(crowded, ["t", "d", "key"]).withColumn("blocks", blocks).withColumn("part", part)
     # A row of block p meets every block: as the row side with blocks p.., as the column side with ..p.
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "part").alias("row"), F.greatest(o, "part").alias("col")))
-    dealt = dealt.select("vec_id", "t", "key", "part", "blocks", F.explode(meets).alias("m")).select("vec_id", "t", "key", "part", "blocks", "m.*")
+    dealt = dealt.select("vec_id", "t", "d", "key", "part", "blocks", F.explode(meets).alias("m")).select("vec_id", "t", "d", "key", "part", "blocks", "m.*")
     # Small buckets share groups of bounded size; each pair of blocks of a large one is a group of its own.
     shared = F.pmod(F.xxhash64("key"), F.lit(max(1, total // GROUP_ROWS)))
-    group = F.when(F.col("blocks") == 1, F.struct(F.col("t"), shared.alias("a"), F.lit(-1).alias("b"), F.lit(-1).alias("c"))).otherwise(F.struct("t", F.col("key").alias("a"), F.col("row").alias("b"), F.col("col").alias("c")))
-    rows = dealt.withColumn("g", group).join(keyed, "vec_id").withColumn("earlier", F.slice("keys", F.lit(1), F.col("t"))).drop("keys", "blocks")
-    found = rows.groupBy("g").applyInPandas(_link_group, "vec_id bigint, n bigint, low bigint")
+    group = F.when(F.col("blocks") == 1, F.struct("t", "d", shared.alias("a"), F.lit(-1).alias("b"), F.lit(-1).alias("c"))).otherwise(F.struct("t", "d", F.col("key").alias("a"), F.col("row").alias("b"), F.col("col").alias("c")))
+    rows = dealt.withColumn("g", group).drop("blocks", "d").join(classes.select("vec_id", "embedding", "size"), "vec_id")
+    found = rows.groupBy("g").applyInPandas(lambda pdf: _link_group(pdf, projections, tables), "vec_id bigint, n bigint, low bigint")
     found = materialise(found, "embedding-links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    comps = connected_components(found.select(F.col("vec_id").alias("a"), F.col("low").alias("b")))
-    return (
-        one.select("vec_id").join(counts, "vec_id", "left")
-        .join(comps.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    counts = found.groupBy("vec_id").agg(F.sum("n").alias("others"))
+    comps = connected_components(found.select(F.col("vec_id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "vec_id")
+    of_class = (
+        classes.select("h", "vec_id", "size").join(counts, "vec_id", "left").join(comps, "vec_id", "left")
+        .select("h", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     )
+    known = one.where("h is not null").select("vec_id", "h")
+    hot, _ = hot_keys(known, "h")
+    linked = join_apart(known, of_class, hot, "h").select("vec_id", "n_links", "component_id")
+    alone = one.where("h is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
