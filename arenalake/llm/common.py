@@ -45,22 +45,20 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hot_keys(rows: DataFrame, *keys: str, share: int = 1000) -> tuple[DataFrame, int]:
-    """Keys that hold more than one in `share` of the rows (at most `share` keys, so fit to be broadcast),
-    with their number of rows as n; and the number of rows that this is."""
-    limit = max(1000, rows.count() // share)
-    return materialise(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > limit), "hot"), limit
+def join_apart(rows: DataFrame, of_key: DataFrame, keys: list[str], n: str, limit: int) -> DataFrame:
+    """rows.join(of_key, keys), where rows of keys with n over `limit` stay where they are.
 
+    What of_key says of such keys is broadcast: at most (sum of n) / limit keys, so a limit that is
+    a share of all rows bounds it. All other keys are joined by a shuffle.
+    """
+    hot = F.broadcast(of_key.where(F.col(n) > limit))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(of_key.where(F.col(n) <= limit), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
-def join_apart(rows: DataFrame, of_key: DataFrame, hot: DataFrame, *keys: str) -> DataFrame:
-    """rows.join(of_key, keys) where rows of the keys in `hot` (see hot_keys) are not shuffled to one task.
 
-    What of_key says of hot keys is broadcast; so of_key must hold few rows per key.
-    """
-    few = F.broadcast(hot.select(*keys))
-    of_hot = F.broadcast(of_key.join(few, list(keys), "left_semi"))
-    rest = rows.join(few, list(keys), "left_anti").join(of_key.join(few, list(keys), "left_anti"), list(keys))
-    return rows.join(of_hot, list(keys)).unionByName(rest)
+def hot_limit(rows: int) -> int:
+    """Rows of one key that are too many for one task: one in a thousand, so at most a thousand keys have them."""
+    return max(1000, rows // 1000)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalake.llm.common import discard, materialise
-
-#: A node with more than one in HOT_SHARE of all sides of links, and more than HOT_LEAST of them, is joined by broadcast.
-HOT_SHARE, HOT_LEAST = 1000, 1000
+from arenalake.llm.common import discard, hot_limit, join_apart, materialise
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -20,18 +17,12 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 def _to_lowest(sides: DataFrame, links: int) -> DataFrame:
-    """sides (a, b) with m, the smallest b of each a.
-
-    Nodes with more than one in HOT_SHARE of the sides, HOT_SHARE at most, get m by broadcast, so
-    the links of a star's centre stay where they are; all others by a join on the node.
-    """
-    limit = max(HOT_LEAST, links // HOT_SHARE)
+    """sides (a, b) with m, the smallest b of each a; the links of a star's centre stay where they are."""
+    limit = hot_limit(links)
     low = sides.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    if links <= HOT_LEAST:  # no node can have more
-        return sides.join(low.select("a", "m"), "a")
-    hot = F.broadcast(low.where(F.col("n") > limit).select("a", "m"))
-    cold = low.where(F.col("n") <= limit).select("a", "m")
-    return sides.join(hot, "a").unionByName(sides.join(hot, "a", "left_anti").join(cold, "a"))
+    if links <= limit:  # no node can have more
+        return sides.join(low, "a").drop("n")
+    return join_apart(sides, low, ["a"], "n", limit).drop("n")
 
 
 def _large_star(edges: DataFrame, links: int) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arenalake.llm.common import hot_keys, join_apart, materialise
+from arenalake.llm.common import hot_limit, join_apart, materialise
 from arenalake.llm.components import connected_components
 
 THRESHOLD = 0.95
@@ -181,10 +181,9 @@ def embedding_components(vectors: DataFrame, planned: int | None = None) -> Data
     comps = connected_components(found.select(F.col("vec_id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "vec_id")
     of_class = (
         classes.select("h", "vec_id", "size").join(counts, "vec_id", "left").join(comps, "vec_id", "left")
-        .select("h", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        .select("h", F.col("size").alias("n"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     )
     known = one.where("h is not null").select("vec_id", "h")
-    hot, _ = hot_keys(known, "h")
-    linked = join_apart(known, of_class, hot, "h").select("vec_id", "n_links", "component_id")
+    linked = join_apart(known, of_class, ["h"], "n", hot_limit(total)).select("vec_id", "n_links", "component_id")
     alone = one.where("h is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
