@@ -3,7 +3,8 @@
 A window is 50 consecutive words. Windows are dealt to shards by the smallest of their 8-word
 hashes, so equal windows always meet, and a shard holds only passages whose key occurs in two
 documents or more. Each shard builds an FM-index (word alphabet, wavelet matrix over the
-Burrows-Wheeler transform) of its passages and streams them through it by backward search.
+Burrows-Wheeler transform) of its passages and streams them through it by backward search. What
+goes from a document is what the interval of its window says: the smallest document in it.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arenalake.llm.common import materialise
+from arenalake.llm.common import discard, hot_limit, join_apart, materialise
 
 WINDOW, GRAM = 50, 8
 #: A passage holds the windows of one run of equal keys, this many at most.
 RUN = 64
 #: 8-word hashes found this often in the sample of one document in SAMPLE give way to rarer ones.
 HOT, SAMPLE, HOT_MOST = 60, 50, 50_000
-#: Passages of a shard, about.
-SHARD_ROWS = 12_000
+#: Passages of a shard, about; keys with more than that are broadcast, MOST_CROWDED of them at most.
+SHARD_ROWS, MOST_CROWDED = 12_000, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,14 +160,15 @@ class FMIndex:
         return self.class_start[k], self.class_end[k]
 
 
-def matched_windows(passages: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each passage the starts of windows that also stand in a passage with a smaller owner.
+def matched_windows(split: list[list[bytes]], owners: np.ndarray, highest: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each passage the starts of its windows that some document of the passage, highest at most, has
+    to give up, and the smallest owner of each such window.
 
     All passages stream through the index of all, one word per step and from the right, each
-    keeping its interval and the length of its match. Where the match reaches the window, the
-    interval is cut back to the window's length and its smallest owner is read.
+    keeping its interval and the length of its match. A passage's own text is in the index, so no
+    interval is empty. Where the match reaches the window, the interval is cut back to the window's
+    length and its smallest owner is read.
     """
-    split = [p.split() for p in passages]
     codes: dict[bytes, int] = {}
     lengths = np.array([len(w) for w in split], np.int64)
     text = np.zeros(int(lengths.sum()) + len(split), np.int64)
@@ -178,8 +180,8 @@ def matched_windows(passages: list[bytes], owners: np.ndarray) -> list[np.ndarra
     least = np.minimum.reduceat(owners[owner_of[index.sa]], index.class_start)
     order = np.argsort(-lengths, kind="stable")
     lo, hi = np.zeros(len(split), np.int64), np.full(len(split), len(text), np.int64)
-    found_p: list[np.ndarray] = []
-    found_at: list[np.ndarray] = []
+    none = np.zeros(0, np.int64)
+    found_p, found_at, found_least = [none], [none], [none]
     sorted_len = -lengths[order]
     for step in range(int(lengths.max(initial=0))):
         live = order[: np.searchsorted(sorted_len, -step, side="left")]
@@ -187,27 +189,38 @@ def matched_windows(passages: list[bytes], owners: np.ndarray) -> list[np.ndarra
         lo[live], hi[live] = index.extend(text[begins[live] + at], lo[live], hi[live])
         if step + 1 >= WINDOW:
             lo[live], hi[live] = index.at_most(lo[live])
-            hit = least[index.class_of[lo[live]]] < owners[live]
+            smallest = least[index.class_of[lo[live]]]
+            hit = smallest < highest[live]
             found_p.append(live[hit])
             found_at.append(at[hit])
-    which = np.concatenate(found_p) if found_p else np.zeros(0, np.int64)
-    at = np.concatenate(found_at) if found_at else np.zeros(0, np.int64)
+            found_least.append(smallest[hit])
+    which, at, smallest = np.concatenate(found_p), np.concatenate(found_at), np.concatenate(found_least)
     by = np.lexsort((at, which))
-    which, at = which[by], at[by]
+    which, at, smallest = which[by], at[by], smallest[by]
     cuts = np.searchsorted(which, np.arange(len(split) + 1))
-    return [at[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(at[a:b], smallest[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _digest(words: list[bytes]) -> int:
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
 
 def _search_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    starts = matched_windows([p.encode() for p in pdf["passage"]], pdf["owner"].to_numpy(np.int64))
-    which, frm, to = [], [], []
-    for i, s in enumerate(starts):
-        if len(s):
-            cut = np.flatnonzero(np.diff(s) != 1)
-            frm += s[np.concatenate(([0], cut + 1))].tolist()
-            to += (s[np.concatenate((cut, [len(s) - 1]))] + 1).tolist()
-            which += [i] * (len(cut) + 1)
-    return pd.DataFrame({"key": pdf["key"].to_numpy()[which], "covered": pdf["covered"].to_numpy()[which], "frm": frm, "to": to}).astype("int64")
+    """Of each passage the runs of windows with one smallest owner, and a digest of the words they cover."""
+    split = [p.encode().split() for p in pdf["passage"]]
+    which, out = [], {"frm": [], "to": [], "least": [], "words": []}
+    for i, (at, least) in enumerate(matched_windows(split, pdf["owner"].to_numpy(np.int64), pdf["highest"].to_numpy(np.int64))):
+        if len(at):
+            new = np.flatnonzero((np.diff(at) != 1) | (np.diff(least) != 0)) + 1
+            first, last = np.concatenate(([0], new)), np.concatenate((new, [len(at)])) - 1
+            frm, to = at[first].tolist(), (at[last] + 1).tolist()
+            which += [i] * len(frm)
+            out["frm"] += frm
+            out["to"] += to
+            out["least"] += least[first].tolist()
+            out["words"] += [_digest(split[i][a : b + WINDOW - 1]) for a, b in zip(frm, to, strict=True)]
+    held = {c: pdf[c].to_numpy()[which] for c in ("key", "covered", "n")}
+    return pd.DataFrame(held | out).astype("int64")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -266,6 +279,8 @@ def _keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
             if cover is not None and len(cover):
                 edge = np.zeros(len(words) + 1, np.int64)
                 for r in cover:
+                    if _digest(words[r["frm"] : r["to"] + WINDOW - 1]) != r["words"]:
+                        raise ValueError("two passages agree in all 127 bits of their hashes")
                     edge[r["frm"]] += 1
                     edge[r["to"] + WINDOW - 1] -= 1
                 kept = [w for w, n in zip(words, np.cumsum(edge).tolist(), strict=False) if n <= 0]
@@ -274,33 +289,57 @@ def _keep(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
         yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def covered_ranges(docs: DataFrame) -> DataFrame:
-    """Window starts to remove as (doc_id, th, frm, to). docs has doc_id, th, text, none of them null.
+def covered_ranges(docs: DataFrame, share_equal: bool = True) -> DataFrame:
+    """Window starts to remove as (doc_id, th, frm, to, words). docs has doc_id, th, text, none of them null.
 
-    A passage is written once per text it has, with the smallest doc_id that holds it (its owner):
-    all of it goes from documents with a larger one, and the index decides for the owner.
+    Equal passages (by two hashes) are indexed and streamed once, with the smallest doc_id that holds
+    them (the owner); the smallest owner that the index gives for a window decides for all documents
+    that hold the passage, and the words it decided on are compared by digest before they go. Without
+    share_equal every run is a passage of its own; the result is the same.
     """
-    spark = docs.sparkSession
-    runs = materialise(_runs_of(docs, hot_grams(docs)), "runs")
-    shared = runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    runs = materialise(runs.join(shared, "key"), "runs-shared")
-    owned = runs.groupBy("key", "covered").agg(F.min(F.struct("doc_id", "th", "first", "size")).alias("o"))
-    owned = materialise(owned.select("key", "covered", "o.*"), "passages")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-owned.count() // SHARD_ROWS))
-    wanted = owned.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "size", "key", "covered")).alias("spans"))
+    runs = _runs_of(docs, hot_grams(docs))
+    if not share_equal:
+        runs = runs.withColumn("covered", F.xxhash64("covered", "doc_id", "th", "first"))
+    runs = materialise(runs, "runs")
+    keys = runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    keys = materialise(keys.select("key", "n"), "keys")
+    limit = hot_limit(runs.count())
+    shared = materialise(join_apart(runs, keys, ["key"], "n", limit).drop("n"), "runs-shared")
+    discard(runs)
+    owned = shared.groupBy("key", "covered").agg(F.min(F.struct("doc_id", "th", "first", "size")).alias("o"), F.max("doc_id").alias("highest"), F.count("*").alias("n"))
+    owned = materialise(owned.select("key", "covered", "highest", "n", "o.*"), "passages")
+    wanted = owned.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "size", "key", "covered", "highest", "n")).alias("spans"))
     cut = docs.join(wanted, ["doc_id", "th"]).select(
         F.col("doc_id").alias("owner"), F.explode(F.arrays_zip(_cut("text", "spans").alias("passage"), F.col("spans").alias("span"))).alias("p")
     )
-    cut = cut.select("owner", F.col("p.passage").alias("passage"), F.col("p.span.key").alias("key"), F.col("p.span.covered").alias("covered"))
-    found = (
-        cut.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-        .groupBy("shard").applyInPandas(_search_shard, "key bigint, covered bigint, frm bigint, to bigint")
+    cut = cut.select("owner", F.col("p.passage").alias("passage"), *[F.col(f"p.span.{c}").alias(c) for c in ("key", "covered", "highest", "n")])
+    found = _in_shards(cut, owned).groupBy("g").applyInPandas(
+        _search_shard, "key bigint, covered bigint, n bigint, frm bigint, to bigint, least bigint, words bigint"
+    )
+    found = materialise(found, "found")
+    gone = join_apart(shared, found, ["key", "covered"], "n", limit).where(F.col("least") < F.col("doc_id"))
+    return gone.select("doc_id", "th", (F.col("first") + F.col("frm")).alias("frm"), (F.col("first") + F.col("to")).alias("to"), "words")
+
+
+def _in_shards(cut: DataFrame, owned: DataFrame) -> DataFrame:
+    """Passages with the group g in which they are indexed together, SHARD_ROWS of them, about.
+
+    Keys share shards. The passages of a key with more than a shard are split into blocks, and every
+    two blocks (and every block by itself) make a group, so that all of them meet.
+    """
+    total = owned.count()
+    many = max(SHARD_ROWS, total // MOST_CROWDED)
+    crowded = owned.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > many)  # MOST_CROWDED keys at most
+    blocks = F.coalesce(F.ceil(2 * F.col("held") / SHARD_ROWS), F.lit(1)).cast("int")
+    part = F.pmod(F.xxhash64("covered"), F.col("blocks")).cast("int")
+    dealt = cut.join(F.broadcast(crowded), "key", "left").withColumn("blocks", blocks).withColumn("part", part)
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "part").alias("row"), F.greatest(o, "part").alias("col")))
+    shard = F.pmod(F.xxhash64("key"), F.lit(-(-max(1, total) // SHARD_ROWS)))
+    none = F.lit(-1)
+    alone = F.struct(shard.alias("a"), none.alias("row"), none.alias("col"))
+    return dealt.withColumn("m", F.explode(meets)).select(
+        *cut.columns, F.when(F.col("blocks") == 1, alone).otherwise(F.struct(F.col("key").alias("a"), "m.row", "m.col")).alias("g")
     )
-    copies = runs.join(owned.select("key", "covered", F.col("doc_id").alias("owner")), ["key", "covered"])
-    whole = copies.where("doc_id > owner").select("doc_id", "th", F.col("first").cast("bigint").alias("frm"), (F.col("first") + F.col("size")).cast("bigint").alias("to"))
-    # The owner may hold the passage more than once, so the index's answer meets all its runs.
-    own = copies.where("doc_id = owner").join(found, ["key", "covered"]).select("doc_id", "th", (F.col("first") + F.col("frm")).alias("frm"), (F.col("first") + F.col("to")).alias("to"))
-    return whole.unionByName(own)
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -314,7 +353,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     base = base.where("doc_id is not null")
-    ranges = covered_ranges(base).groupBy("doc_id", "th").agg(F.collect_set(F.struct("frm", "to")).alias("ranges"))
+    ranges = covered_ranges(base).groupBy("doc_id", "th").agg(F.collect_set(F.struct("frm", "to", "words")).alias("ranges"))
     done = base.join(ranges, ["doc_id", "th"], "left").select("doc_id", _keep("text", "ranges").alias("k"))
-    alone = docs.where("doc_id is null").select("doc_id", _keep("text", F.lit(None).cast("array<struct<frm:bigint,to:bigint>>")).alias("k"))
+    alone = docs.where("doc_id is null").select("doc_id", _keep("text", F.lit(None).cast("array<struct<frm:bigint,to:bigint,words:bigint>>")).alias("k"))
     return done.unionByName(alone).select("doc_id", "k.*")

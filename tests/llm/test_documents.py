@@ -72,6 +72,17 @@ def test_substring_keys_may_be_hot(spark, texts, monkeypatch):
     assert sorted(map(repr, plain)) == sorted(map(repr, substrings.dedup_substrings(frame(spark, texts)).drop("kept").collect()))
 
 
+def test_substrings_decided_by_the_index_alone(spark, texts, monkeypatch):
+    # Neither grouping equal passages, nor shards, nor the split of a crowded key changes what goes.
+    want = sorted(map(repr, substrings.dedup_substrings(frame(spark, texts)).drop("kept").collect()))
+    base = frame(spark, [x for x in texts if x[0] is not None and x[1] is not None]).withColumn("th", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    starts = lambda rows: sorted({(r.doc_id, r.th, a) for r in rows for a in range(r.frm, r.to)})
+    together = starts(substrings.covered_ranges(base).collect())
+    monkeypatch.setattr(substrings, "SHARD_ROWS", 6)
+    assert starts(substrings.covered_ranges(base, share_equal=False).collect()) == together
+    assert sorted(map(repr, substrings.dedup_substrings(frame(spark, texts)).drop("kept").collect())) == want
+
+
 def simhash_of(text):
     w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in words(text)]
     shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
