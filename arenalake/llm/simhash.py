@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arenalake.llm.common import materialise, row_key
+from arenalake.llm.common import hot_limit, materialise, row_key
 from arenalake.llm.components import connected_components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
 SEGMENTS, BITS = 4, 16
+#: Fingerprints decoded in one task, about.
+FINGERPRINTS = 20_000
 
 
 def fingerprint(text: str | None, chunk: int = 1 << 15) -> int:
@@ -87,21 +89,31 @@ def golay_keys(fps: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"own": list(np.stack(own, 1)), "near": [np.unique(r) for r in np.concatenate(near, 1)]})
 
 
-def link_fingerprints(distinct: DataFrame) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, rows: int = 0) -> DataFrame:
     """Links (a, b), a < b, between distinct fingerprints (column fp) at Hamming distance 3 or less.
 
     Three errors over four segments leave some segment i exact whose successor has one error at
     most: were it not so, each exact segment would need a successor with two or more errors of its
     own, and the errors run out. Then the successor's codeword index is among the other side's
     near keys, so joining near keys with own keys meets every link; the join condition
-    verifies the distance, so only links leave it.
+    verifies the distance, so only links leave it. A fingerprint has 43,744 neighbours at most.
+    Of a key that many fingerprints own, the near side is dealt to parts and the owning side
+    copied to each, so no task compares all of them. rows: about how many fingerprints there are.
     """
-    keyed = distinct.select("fp", golay_keys("fp").alias("k"))
+    # Decoding is work for its few bytes, so the number of tasks is named.
+    spread = distinct.repartition(1 + (rows or distinct.count()) // FINGERPRINTS, "fp")
+    keyed = spread.select("fp", golay_keys("fp").alias("k"))
     keyed = materialise(keyed.select("fp", "k.own", "k.near"), "golay")
     near = keyed.select(F.col("fp").alias("a"), F.explode("near").alias("key"))
     own = keyed.select(F.col("fp").alias("b"), F.explode("own").alias("key"))
+    total = SEGMENTS * keyed.count()
+    held = own.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_limit(total))
+    hot = F.broadcast(materialise(held, "hot"))  # a thousand keys at most
+    parts = F.coalesce(F.ceil(F.col("n") / hot_limit(total)), F.lit(1)).cast("int")
+    near = near.join(hot, "key", "left").select("a", "key", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
+    own = own.join(hot, "key", "left").select("b", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    return near.join(own, (near.key == own.key) & (near.a < own.b) & close).select("a", "b").distinct()
+    return near.join(own, ["key", "part"]).where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -124,7 +136,7 @@ def _grouped(docs: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
     """Rows of docs (doc_id, carried columns, fp), and the classes (fp, component, component_id, n_links)."""
     fps = materialise(docs.select("doc_id", *carried, fingerprint_udf(F.col("text")).alias("fp")), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    links = materialise(link_fingerprints(classes.select("fp")), "simhash-links")
+    links = materialise(link_fingerprints(classes.select("fp"), fps.count()), "simhash-links")
     comps = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     grouped = classes.join(comps, classes.fp == comps.node, "left").withColumn("component", F.coalesce("component", "fp"))
@@ -135,11 +147,13 @@ def _grouped(docs: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the smallest by doc_id (null last), text hash and other columns' hash.
 
-    Of equal rows one stays.
+    Of equal rows one stays. Null and blank texts have fingerprint zero, so one of them stays. An
+    empty table gives an empty table; a column of docs named like the working column is kept apart.
     """
     key = F.concat_ws("|", row_key(F.col("doc_id"), F.col("text")), F.hex(F.xxhash64(*docs.columns)))
-    keyed = docs.withColumn("__key", key)
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", key.alias("__key"))
     rows, of_class = _grouped(keyed, "__key")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__key")
     first = rows.join(of_class, "fp").groupBy("component").agg(F.min(place).alias("p")).select("p.__key")
-    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    kept = keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"])
+    return kept.select("__row.*")

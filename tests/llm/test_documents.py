@@ -117,7 +117,9 @@ def test_simhash_against_brute_force(spark, texts):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
-def test_golay_keys_find_every_pair_within_three_bits(spark):
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_golay_keys_find_every_pair_within_three_bits(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "hot_limit", lambda rows: limit)
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(40)]
     near = set(base)
