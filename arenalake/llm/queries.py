@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from arenalake.llm import mixing, oracle, packing, pstable, quality, secrets, simhash, substrings, topk, toxicity, trie_tokens
 from arenalake.llm.common import table
 
+#: A public vocabulary of 32,000 pieces.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -38,7 +40,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_tokens.token_counts(table(spark, sf_dir, "documents"))
+    return trie_tokens.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

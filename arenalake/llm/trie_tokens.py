@@ -12,16 +12,16 @@ from pyspark.sql import types as T
 
 
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Distinct pre-tokens that a worker remembers before it starts anew.
-MEMORY = 300_000
+#: Nodes of a worker's trie, and distinct pre-tokens it remembers, before it starts anew.
+NODES, MEMORY = 1_000_000, 300_000
 
 
-def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
-    """Pieces of a public vocabulary with unigram log-probabilities, by Zipf's law on their rank.
+def load_pieces(path: str) -> dict[str, float]:
+    """Pieces of a public vocabulary file with unigram log-probabilities, by Zipf's law on their rank.
 
-    Special and byte pieces are left out: what no piece covers falls back to bytes.
+    The file's own scores are merge ranks, no probabilities, so the r-th piece gets 1 / (r + 3) of
+    the mass, as word frequencies fall by rank. Special and byte pieces are left out: what no piece covers falls back to bytes.
     """
     import sentencepiece
 
@@ -31,69 +31,78 @@ def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
     return {p: -math.log(r + 3) - norm for r, p in enumerate(names)}
 
 
-class PrefixCounter:
-    """Forward scores along a trie of pre-tokens.
+class PieceTrie:
+    """A trie of pre-tokens with forward scores.
 
-    A node is a prefix; it holds the best log-probability of the prefix and the number of tokens
-    on that path (fewest, among equally likely ones). Pre-tokens are inserted in sorted order, so
-    the trie is walked depth first and only the current path is kept: a prefix shared by many
-    pre-tokens is scored once. The count at the node that ends a pre-token is stored.
+    A node is a prefix of some pre-token; it holds the best log-probability of the prefix and the
+    number of tokens on that path (fewest, among equally likely ones). A pre-token is inserted along
+    the nodes that are there already; only the nodes it adds are scored, so a prefix shared by many
+    pre-tokens is scored once, whenever they come. The count at a pre-token's last node is its own.
     """
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
+        #: All endings of pieces: what is none can't end a longer piece either.
+        self.endings = {p[i:] for p in pieces for i in range(len(p))}
         #: A byte costs more than any piece.
         self.byte = min(pieces.values(), default=-1.0) - 1.0
-
-    def counts(self, words: list[str]) -> dict[str, int]:
-        path, scores, tokens = "", [0.0], [0]
-        pieces, longest, out = self.pieces, self.longest, {}
-        for word in sorted(words):
-            shared = 0
-            for a, b in zip(path, word, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del scores[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                size = len(word[end - 1].encode())
-                best, fewest = scores[end - 1] + size * self.byte, tokens[end - 1] + size
-                for begin in range(max(0, end - longest), end):
-                    gain = pieces.get(word[begin:end])
+        self.clear()
+
+    def clear(self) -> None:
+        #: Child by parent and character, as one number.
+        self.child: dict[int, int] = {}
+        self.scores, self.tokens = [0.0], [0]
+
+    def count(self, word: str) -> int:
+        child, scores, tokens, pieces, endings = self.child, self.scores, self.tokens, self.pieces, self.endings
+        node, path = 0, [0]
+        for end, letter in enumerate(word, 1):
+            place = node << 21 | ord(letter)
+            held = child.get(place)
+            if held is None:
+                size = len(letter.encode())
+                best, fewest = scores[node] + size * self.byte, tokens[node] + size
+                for begin in range(end - 1, -1, -1):
+                    piece = word[begin:end]
+                    if piece not in endings:
+                        break
+                    gain = pieces.get(piece)
                     if gain is not None:
-                        s = scores[begin] + gain
-                        if s > best or s == best and tokens[begin] + 1 < fewest:
-                            best, fewest = s, tokens[begin] + 1
+                        s, n = scores[path[begin]] + gain, tokens[path[begin]] + 1
+                        if s > best or s == best and n < fewest:
+                            best, fewest = s, n
+                held = child[place] = len(scores)
                 scores.append(best)
                 tokens.append(fewest)
-            path = word
-            out[word] = tokens[-1]
-        return out
+            node = held
+            path.append(node)
+        return tokens[node]
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_words, n_tokens.
+def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_words, n_tokens. vocabulary: path of its file.
 
     Pre-tokens are the words between ASCII white space, each with the vocabulary's space mark
     in front. Null and blank texts count zero. Repeated rows and null ids keep their rows; extra
-    columns are ignored. Each task grows its own trie from the distinct pre-tokens it meets and
-    remembers their counts, up to a bound, after which it starts anew; no row is shuffled.
+    columns are ignored. Each task grows a trie of the distinct pre-tokens it meets, in batches of
+    rows, and remembers their counts; past a bound of nodes or words it starts anew. No row is shuffled.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary))  # one vocabulary: fixed size
 
     @F.pandas_udf(T.StructType().add("n_words", T.LongType()).add("n_tokens", T.LongType()))
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        trie, known = PrefixCounter(pieces.value), {}
+        trie, known = PieceTrie(pieces.value), {}
         for batch in texts:
             rows = []
-            for part in (batch.iloc[i : i + 50] for i in range(0, len(batch), 50)):
-                words = [[w.decode() for w in (t or "").encode().split()] for t in part]
+            for t in batch:
+                words = (t or "").encode().split()
                 if len(known) > MEMORY:
                     known.clear()
-                fresh = {w for ws in words for w in ws} - known.keys()
-                known.update((w[len(SPACE) :], n) for w, n in trie.counts([SPACE + w for w in fresh]).items())
-                rows += [(len(ws), sum(map(known.__getitem__, ws))) for ws in words]
+                if len(trie.scores) > NODES:
+                    trie.clear()
+                for w in [w for w in set(words) if w not in known]:
+                    known[w] = trie.count(SPACE + w.decode())
+                rows.append((len(words), sum(map(known.__getitem__, words))))
             yield pd.DataFrame(rows, columns=["n_words", "n_tokens"])
 
     return docs.select("doc_id", count("text").alias("c")).select("doc_id", "c.*")
