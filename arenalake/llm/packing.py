@@ -12,7 +12,9 @@ from arenalake.llm.common import materialise
 #: Permitted sequence lengths in words, ascending.
 LENGTHS = (512, 1024, 2048, 4096)
 #: Pieces of a shard, about; a shard is packed in one task.
-SHARD_PIECES = 25_000
+SHARD_PIECES = 10_000
+#: Copies of one row that are numbered at once.
+COPIES = 1000
 
 
 def sequence_cost(length: int) -> float:
@@ -85,16 +87,21 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndar
 
 
 def pieces_of(docs: DataFrame, longest: int = LENGTHS[-1]) -> DataFrame:
-    """doc_id, copy, piece, first_word, n_words: whole texts, cut where they outgrow the longest sequence.
+    """doc_id, text_hash, copy, piece, first_word, n_words: whole texts, cut where they outgrow the longest sequence.
 
-    copy tells rows with the same doc_id and text length apart as well as Spark can: it is only a
-    salt against one task receiving all of them.
+    copy numbers the rows of one doc_id and text: they are counted first, so a row that repeats
+    very often is never gathered, and its copies are numbered COPIES at a time.
     """
-    counted = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("salt"), word_count(F.col("text")).alias("total"))
-    last = F.floor((F.greatest("total", F.lit(1)) - 1) / longest).cast("int")
-    cut = counted.where("total > 0").select("doc_id", "salt", "total", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("total"))
+    grouped = counted.where("total > 0").groupBy("doc_id", "text_hash", "total").agg(F.count("*").alias("n"))
+    portion = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))
+    dealt = grouped.select("*", portion.alias("portion"))
+    most = F.least(F.col("n"), (F.col("portion") + 1) * COPIES) - 1
+    each = dealt.select("doc_id", "text_hash", "total", F.explode(F.sequence(F.col("portion") * COPIES, most)).alias("copy"))
+    last = F.floor((F.col("total") - 1) / longest).cast("int")
+    cut = each.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     first = F.col("piece").cast("long") * longest
-    return cut.select("doc_id", "salt", "piece", first.alias("first_word"), F.least(F.col("total") - first, F.lit(longest)).cast("int").alias("n_words"))
+    return cut.select("doc_id", "text_hash", "copy", "piece", first.alias("first_word"), F.least(F.col("total") - first, F.lit(longest)).cast("int").alias("n_words"))
 
 
 def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
@@ -102,16 +109,17 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataF
 
     A document longer than the longest permitted sequence is cut into pieces; every word of every
     text lands in exactly one sequence. Texts that are null or have no words take no room and give
-    no row; repeated rows are packed as often as they occur. Pieces are dealt to shards by a hash,
-    and each shard is packed by itself, larger pieces first and ties by doc_id, so the result
-    does not depend on how the input was partitioned. Extra columns are ignored.
+    no row; repeated rows are packed as often as they occur. Pieces are dealt to shards by a hash of
+    row, copy and piece, and each shard is packed by itself, larger pieces first and ties by doc_id
+    and text hash. The number of shards follows the number of pieces alone, so the result depends
+    neither on how the input was partitioned nor on the session. Null doc_ids are packed like
+    others. Extra columns are ignored; an empty table gives no row.
     """
-    spark = docs.sparkSession
     pieces = materialise(pieces_of(docs, lengths[-1]), "pieces")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // SHARD_PIECES))
+    shards = max(1, -(-pieces.count() // SHARD_PIECES))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_words", "doc_id", "salt", "piece"], ascending=[False, True, True, True], kind="stable", na_position="first")
+        pdf = pdf.sort_values(["n_words", "doc_id", "text_hash", "copy", "piece"], ascending=[False, True, True, True, True], kind="stable", na_position="first")
         sizes = pdf["n_words"].to_numpy(np.int64)
         bin_of, offset, length = pack(sizes, lengths)
         used = np.bincount(bin_of, weights=sizes, minlength=len(length)).astype(np.int64)
@@ -122,4 +130,4 @@ def pack_documents(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataF
         })
 
     schema = "sequence_id string, length int, used int, doc_id bigint, piece int, first_word bigint, n_words int, offset int"
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("salt", "piece"), F.lit(shards))).groupBy("shard").applyInPandas(place, schema)
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", "copy", "piece"), F.lit(shards))).groupBy("shard").applyInPandas(place, schema)

@@ -1,5 +1,6 @@
 """Text operators against brute force on small fixtures: nulls, blanks, ties, repeats, long texts, empty tables."""
 
+import functools
 import hashlib
 import random
 import re
@@ -184,10 +185,14 @@ def test_redaction_leaves_the_rest(spark):
     assert by[3] == [("[SECRET] and [SECRET]", 21)]
 
 
-def test_token_counts_against_plain_dynamic_programming(spark, texts):
-    pieces = trie_tokens.load_pieces()
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def test_token_counts_against_plain_dynamic_programming(spark, texts, monkeypatch):
+    pieces = trie_tokens.load_pieces(VOCABULARY)
     low = min(pieces.values()) - 1.0
 
+    @functools.cache
     def plain(word):
         best = [(0.0, 0)]
         for end in range(1, len(word) + 1):
@@ -198,10 +203,16 @@ def test_token_counts_against_plain_dynamic_programming(spark, texts):
             best.append((s, -n))
         return best[-1][1]
 
-    some = [x for x in texts if x[0] != 42]
-    got = [(r.doc_id, r.n_words, r.n_tokens) for r in trie_tokens.token_counts(frame(spark, some)).collect()]
-    want = [(i, len(words(t)), sum(plain(trie_tokens.SPACE + w.decode()) for w in words(t))) for i, t in some]
-    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    want = sorted(repr((i, len(words(t)), sum(plain(trie_tokens.SPACE + w.decode()) for w in words(t)))) for i, t in texts)
+    run = lambda: sorted(repr((r.doc_id, r.n_words, r.n_tokens)) for r in trie_tokens.token_counts(frame(spark, texts), VOCABULARY).collect())
+    assert run() == want
+
+
+def test_trie_scores_a_prefix_once():
+    trie = trie_tokens.PieceTrie({"▁a": -1.0, "b": -2.0, "ab": -2.5, "▁": -3.0})
+    assert [trie.count(w) for w in ("▁ab", "▁abb", "▁ab")] == [2, 3, 2] and len(trie.scores) == 5
+    trie.clear()
+    assert trie.count("▁abb") == 3 and len(trie.scores) == 5
 
 
 def test_packing_places_every_word_once(spark, texts):
@@ -220,6 +231,48 @@ def test_packing_places_every_word_once(spark, texts):
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
 
 
+def test_packing_ignores_the_session_and_splits_repeats(spark, texts, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 8)
+    monkeypatch.setattr(packing, "COPIES", 3)
+    docs = frame(spark, texts + [(77, "again and again")] * 40)
+    rows = sorted(map(repr, packing.pack_documents(docs).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    assert sorted(map(repr, packing.pack_documents(docs).collect())) == rows
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum("doc_id=77" in r for r in rows) == 40 and len({r.split("-")[0] for r in rows if "doc_id=77" in r}) > 3
+
+
+def plain_best_fit(sizes, lengths):
+    """Best fit decreasing over plain lists, the length of least cost per word that it can come to hold."""
+    bins, placed = [], []
+    for i, size in enumerate(sizes):
+        fits = [(b["room"], -b["touched"], n) for n, b in enumerate(bins) if b["room"] >= size]
+        if fits:
+            n = min(fits)[2]
+        else:
+            later = sizes[i + 1 :]
+            per = lambda c: (packing.sequence_cost(c) / (size + min(c - size, sum(s for s in later if s <= c - size))), c)
+            length = min((c for c in lengths if c >= size), key=per)
+            bins.append({"length": length, "room": length, "touched": -1})
+            n = len(bins) - 1
+        placed.append((n, bins[n]["length"] - bins[n]["room"]))
+        bins[n]["room"] -= size
+        bins[n]["touched"] = i
+    return placed, [min(c for c in lengths if c >= b["length"] - b["room"]) for b in bins]
+
+
+def test_packing_against_plain_best_fit():
+    import numpy as np
+
+    rng = random.Random(9)
+    for most in (60, 600, 4096):
+        sizes = sorted((rng.randrange(1, most + 1) for _ in range(300)), reverse=True)
+        bin_of, offset, length = packing.pack(np.array(sizes))
+        placed, lengths = plain_best_fit(sizes, packing.LENGTHS)
+        assert list(zip(bin_of.tolist(), offset.tolist(), strict=True)) == placed and length.tolist() == lengths
+
+
 def test_best_fit_takes_the_fullest_bin():
     import numpy as np
 
@@ -307,7 +360,7 @@ def test_em_recovers_labeller_accuracy():
 
 @pytest.mark.parametrize("operator", [
     substrings.dedup_substrings, simhash.simhash_components, simhash.keep_first, secrets.scan_secrets, secrets.redact,
-    packing.pack_documents, trie_tokens.token_counts, quality.score_quality,
+    packing.pack_documents, lambda docs: trie_tokens.token_counts(docs, VOCABULARY), quality.score_quality,
 ])
 def test_empty_documents(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
