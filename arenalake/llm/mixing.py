@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -15,11 +16,10 @@ BUCKETS = 4096
 LABELLED_MOST = 12_000
 #: Weight of the common word distribution in each domain's, in words.
 SMOOTHING = 2000
-#: A text speaks with at most this many words' worth of evidence, so long ones don't get certain.
-EVIDENCE = 40
 #: Expected shares of tokens by domain.
 TARGETS = {"clean": 0.90, "rough": 0.08, "toxic": 0.02}
-ROUNDS, TOLERANCE = 30, 1e-3
+#: Steps of the fit, and how near a domain's share must come to its target.
+ROUNDS, TOLERANCE = 40, 1e-3
 
 
 def words(text: Column) -> Column:
@@ -71,16 +71,14 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) ->
 
 
 def posteriors(docs: DataFrame, prior: dict[str, float], logp: dict[str, list[float]]) -> DataFrame:
-    """docs with n_tokens and p_<domain>: what Bayes' rule gives for the words, tempered to EVIDENCE words."""
+    """docs with n_tokens and p_<domain>: what Bayes' rule gives for the words, independent of each other."""
     tokens = words(F.col("text"))
     held = docs.withColumn("__b", _buckets(tokens)).withColumn("n_tokens", F.size("__b").cast("long"))
     domains = list(prior)
-    weight = F.least(F.col("n_tokens"), F.lit(EVIDENCE)) / F.greatest(F.col("n_tokens"), F.lit(1))
     base = np.array(logp[domains[0]])
     for d in domains[1:]:
         ratio = F.lit(np.array(logp[d]) - base)
-        mean = _sum_at(ratio) * weight
-        held = held.withColumn(f"__l_{d}", mean + (prior[d] - prior[domains[0]]))
+        held = held.withColumn(f"__l_{d}", _sum_at(ratio) + (prior[d] - prior[domains[0]]))
     top = F.greatest(F.lit(0.0), *[F.col(f"__l_{d}") for d in domains[1:]]) if len(domains) > 1 else F.lit(0.0)
     part = {d: F.exp((F.col(f"__l_{d}") if d != domains[0] else F.lit(0.0)) - top) for d in domains}
     whole = sum(part.values(), F.lit(0.0))
@@ -96,36 +94,49 @@ def measured_targets(held: DataFrame, domains: list[str], keep: str, rest: float
     return out | {keep: 1 - sum(out.values())}
 
 
-def fit_rates(held: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, keep: str | None = None) -> Column:
-    """Column of nonnegative rates over held (n_tokens, p_<domain>), by projected gradient from rate 1.
+def fit_rates(held: DataFrame, targets: dict[str, float], rounds: int = ROUNDS, keep: str | None = None) -> tuple[Column, bool]:
+    """Column of nonnegative rates over held (n_tokens, p_<domain>), by projected gradient from rate 1; and
+    whether every domain's expected total is within TOLERANCE of its target share of all tokens.
 
-    Minimises the squares of expected domain totals minus targets of the same sum. A document's
-    gradient is divided by its tokens, so long and short ones of like posteriors move alike. Every
-    round is one distributed sum per domain; only those sums come to the driver, and rates stay an
-    expression over the posteriors. The fit ends within TOLERANCE of the total, or after `rounds`.
-    Rows that belong to the domain `keep` with probability 0.5 or more have rates of 1 or more.
+    Minimises the squares of expected domain totals minus targets of the same sum. The gradient of
+    a document is its posteriors times the totals' errors, preconditioned by the Gram matrix of the
+    documents that are free to move, and projected on rates of 0 or more; a step that does not
+    lessen the squares is halved. Each step is one distributed sum per domain and pair of domains;
+    only those sums come to the driver, and rates stay an expression over the posteriors. Rows that
+    belong to the domain `keep` with probability 0.5 or more have rates of 1 or more. Targets that
+    no rates can meet leave the nearest totals found, and False.
     """
     domains = list(targets)
     p = {d: F.col(f"p_{d}") for d in domains}
-    n = F.col("n_tokens")
-    grams = [F.sum(n * p[a] * p[b]).alias(f"g_{a}_{b}") for a in domains for b in domains]
-    first = held.agg(F.sum("n_tokens").alias("all"), *grams).first()
-    total = float(first["all"] or 0)
-    if not total:
-        return F.lit(1.0)
-    gram = np.array([[first[f"g_{a}_{b}"] for b in domains] for a in domains]) / total
-    step = 1.8 / float(np.linalg.eigvalsh(gram)[-1])
-    scale = sum(targets.values())
+    n, scale = F.col("n_tokens"), sum(targets.values())
     least = F.when(p[keep] >= 0.5, 1.0).otherwise(0.0) if keep else F.lit(0.0)
-    moves: list[list[float]] = []
-    for _ in range(rounds):
+
+    def measured(moves: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Errors of the totals after the moves, Gram matrix of the rows above their least rate; both by token."""
         rate = _descended([p[d] for d in domains], moves, least)
-        sums = held.agg(*[F.sum(n * p[d] * rate).alias(d) for d in domains]).first()
-        off = [sums[d] / total - targets[d] / scale for d in domains]
-        if max(map(abs, off)) <= TOLERANCE:
+        free = F.when(F.col("__rate") > least, n).otherwise(0) if moves else n
+        sums = [F.sum(n * p[d] * F.col("__rate")).alias(d) for d in domains]
+        grams = [F.sum(free * p[a] * p[b]).alias(f"g_{a}_{b}") for a in domains for b in domains]
+        row = held.withColumn("__rate", rate).agg(F.sum("n_tokens").alias("all"), *sums, *grams).first()
+        total = float(row["all"] or 0)
+        off = np.array([(row[d] or 0.0) / total - targets[d] / scale for d in domains]) if total else np.zeros(len(domains))
+        gram = np.array([[(row[f"g_{a}_{b}"] or 0.0) / max(total, 1.0) for b in domains] for a in domains])
+        return off, gram, total
+
+    moves: list[list[float]] = []
+    off, gram, total = measured(moves)
+    part = 1.0
+    for _ in range(rounds if total else 0):
+        if np.abs(off).max() <= TOLERANCE or part < 1 / 64:
             break
-        moves.append([step * x for x in off])
-    return _descended([p[d] for d in domains], moves, least)
+        step = part * np.linalg.solve(gram + 1e-3 * np.eye(len(domains)), off)
+        tried = measured([*moves, step.tolist()])
+        if tried[0] @ tried[0] < 0.98 * (off @ off):
+            moves.append(step.tolist())
+            off, gram, part = tried[0], tried[1], 1.0
+        else:
+            part /= 2
+    return _descended([p[d] for d in domains], moves, least), bool(np.abs(off).max() <= TOLERANCE)
 
 
 def _descended(p: list[Column], moves: list[list[float]], least: Column) -> Column:
@@ -140,29 +151,35 @@ def _descended(p: list[Column], moves: list[list[float]], least: Column) -> Colu
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, p_<domain>, rate.
+    """One row per row of docs: doc_id, n_tokens, p_<domain>, rate, on_target.
 
     Rates are nonnegative, and rate x tokens x posterior sums to each domain's target share of
-    all tokens. Null and blank texts have no tokens and the prior as posterior. Repeated rows
-    count as often as they occur; extra columns are ignored. Without labelled rows all
-    domains are alike.
+    all tokens, within TOLERANCE; on_target is false in every row where no such rates were found.
+    Null and blank texts have no tokens and the prior as posterior. Repeated rows count as often as
+    they occur; null ids keep their rows and have no label; extra columns are ignored. Without
+    labelled rows all domains are alike. An empty table gives an empty table.
     """
     prior, logp = fit_classifier(docs, label_domains(labels), list(targets))
     held = materialise(posteriors(docs.select("doc_id", "text"), prior, logp).drop("text"), "posteriors")
-    return held.withColumn("rate", fit_rates(held, targets))
+    rate, met = fit_rates(held, targets)
+    return held.withColumn("rate", rate).withColumn("on_target", F.lit(met))
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep: str | None = None, rest: float = 0.5) -> DataFrame:
     """docs repeated by their rates: the whole part, and once more where a hash of the row falls under the rest.
 
-    With keep, targets only names the domains: see measured_targets. Rows mainly of that domain all stay then.
+    With keep, targets only names the domains: see measured_targets. Rows mainly of that domain all
+    stay then. Equal rows are repeated or go alike; null ids and null and blank texts have no label
+    and are drawn like others. Warns where the targets can't be met. Columns stay as they are.
     """
     # The texts stay out of the table of posteriors; equal (doc_id, text) have equal rates.
     keyed = docs.select(F.struct(*docs.columns).alias("__row"), "text", F.xxhash64("doc_id", "text").alias("__h"))
     prior, logp = fit_classifier(docs, label_domains(labels), list(targets))
     held = posteriors(keyed.select("__h", "text"), prior, logp).drop("text")
     held = materialise(held, "posteriors")
-    rate = fit_rates(held, measured_targets(held, list(targets), keep, rest) if keep else targets, keep=keep)
+    rate, met = fit_rates(held, measured_targets(held, list(targets), keep, rest) if keep else targets, keep=keep)
+    if not met:
+        warnings.warn("mixing: no rates meet the targets; the nearest found are used", stacklevel=2)
     scored = posteriors(keyed, prior, logp).withColumn("__r", rate)
     draw = F.pmod(F.xxhash64(F.lit("draw"), "__h"), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("__r") + 1 - draw).cast("int")

@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_mix_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return mixed.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.TARGETS], "rate")
+    return mixed.select("doc_id", "n_tokens", *[f"p_{d}" for d in mixing.TARGETS], "rate", "on_target")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,22 +317,70 @@ def test_block_max_search_is_exact():
         assert np.allclose(s, np.sort(full)[::-1][:10])
 
 
-def test_mixing_meets_targets(spark):
+def mixture():
     rng = random.Random(4)
     docs, labels = [], []
     for i in range(400):
         kind = i % 10
         w = [f"{'bad' if kind == 0 else 'junk' if kind in (1, 2) else 'fine'}{rng.randrange(30)}" for _ in range(rng.randrange(20, 80))]
-        docs.append((i, " ".join(w)))
+        docs.append((i, " ".join(w + prose(rng, 30))))
         if i % 2 == 0 or kind == 1:
             labels.append((i, 0 if kind in (1, 2) else 1, 1 if kind == 0 else 0))
-    docs += [(9001, None), (None, "fine1 fine2"), (3, docs[3][1])]
+    docs += [(9001, None), (9002, ""), (None, "fine1 fine2"), (3, docs[3][1]), (9003, "fine5 bad3 " * 8000)]
+    return docs, labels
+
+
+def test_mixing_against_plain_bayes_and_least_squares(spark):
+    import numpy as np
+
+    docs, labels = mixture()
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = mixing.mix(frame(spark, docs), table).toPandas()
-    total = got["n_tokens"].sum()
-    assert len(got) == len(docs) and (got["rate"] >= 0).all()
-    for d, share in mixing.TARGETS.items():
-        assert abs((got["n_tokens"] * got[f"p_{d}"] * got["rate"]).sum() / total - share) < 0.01
+    names = list(mixing.TARGETS)
+    domain = {i: "toxic" if t else "rough" if not q else "clean" for i, q, t in labels}
+    bucket = lambda w: (lambda h: (h - (1 << 64) if h >> 63 else h) % mixing.BUCKETS)(xxhash.xxh64_intdigest(w, 42))
+    held = {d: np.zeros(mixing.BUCKETS) for d in names}
+    for i, t in docs:
+        if i in domain:
+            for b in {bucket(w) for w in words(t)}:
+                held[domain[i]][b] += 1
+    common = sum(held.values()) + 0.5
+    common /= common.sum()
+    sizes = [sum(x == d for x in domain.values()) for d in names]
+    prior = np.log((np.array(sizes) + 1) / (len(domain) + len(names)))
+    logp = np.array([np.log((held[d] + mixing.SMOOTHING * common) / (held[d].sum() + mixing.SMOOTHING)) for d in names])
+    want = []
+    for i, t in docs:
+        l = prior + sum((logp[:, bucket(w)] for w in words(t)), np.zeros(3))
+        p = np.exp(l - l.max())
+        want.append((i, len(words(t)), *(p / p.sum())))
+    order = lambda rows: sorted(rows, key=lambda r: (-1 if r[0] is None or r[0] != r[0] else r[0], r[1:]))
+    ours = order(got[["doc_id", "n_tokens", *[f"p_{d}" for d in names], "rate"]].itertuples(index=False, name=None))
+    want = order(want)
+    assert np.allclose([r[1:5] for r in ours], [r[1:] for r in want], atol=1e-9)
+    # Rates: nonnegative, the totals of least squares, and of all such the gradient path's from 1.
+    n, p, rate = np.array([r[1] for r in want]), np.array([r[2:] for r in want]), np.array([r[5] for r in ours])
+    target = np.array(list(mixing.TARGETS.values()))
+    assert (rate >= 0).all() and np.abs((p * (n * rate)[:, None]).sum(0) / n.sum() - target).max() <= mixing.TOLERANCE and got["on_target"].all()
+    plain = np.ones(len(n))
+    for _ in range(20_000):
+        plain = np.maximum(0, plain - p @ ((p * (n * plain)[:, None]).sum(0) / n.sum() - target))
+    assert np.abs((p * (n * plain)[:, None]).sum(0) / n.sum() - target).max() <= mixing.TOLERANCE
+    assert np.abs(rate - plain).max() < 0.1
+
+
+def test_mixing_says_where_targets_are_out_of_reach(spark):
+    docs = [(i, f"only{i % 3} words{i % 5}") for i in range(30)]
+    table = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    got = mixing.mix(frame(spark, docs), table, {"clean": 0.1, "rough": 0.1, "toxic": 0.8}).toPandas()
+    assert not got["on_target"].any() and (got["rate"] >= 0).all()
+    with pytest.warns(UserWarning, match="targets"):
+        mixing.resample(frame(spark, docs), table, {"clean": 0.1, "rough": 0.1, "toxic": 0.8}).count()
+
+
+def test_resampling_repeats_rows_by_their_rates(spark):
+    docs, labels = mixture()
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     copies = mixing.resample(frame(spark, docs), table)
     assert copies.columns == frame(spark, docs).columns and copies.where("doc_id % 10 = 3").count() >= 40
 
