@@ -44,8 +44,9 @@ def labellers() -> dict[str, Column]:
 def statistics(docs: DataFrame) -> DataFrame:
     """Counts per text that the labellers look at; docs keeps its columns doc_id and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id", "text", F.size(words(F.col("text"))).alias("n_words"), F.size(F.array_distinct(words(F.col("text")))).alias("n_distinct"),
+    split = docs.select("doc_id", "text", words(F.col("text")).alias("__w"))  # once, for both sizes
+    return split.select(
+        "doc_id", "text", F.size("__w").alias("n_words"), F.size(F.array_distinct("__w")).alias("n_distinct"),
         F.length(text).alias("n_chars"), F.regexp_count(text, F.lit(r"[#$%&*|<>{}=_~^]+")).alias("n_symbols"),
         F.regexp_count(text, F.lit(r"[A-ZÄÖÜÉÑ]{3,}")).alias("n_capitals"), F.regexp_count(text, F.lit("!{2,}")).alias("n_shouts"),
         F.regexp_count(text, F.lit(r"[.?!](?=\s|$)")).alias("n_stops"),
@@ -55,7 +56,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
     """Posterior of class 1 per vote pattern, its prior, and P(vote | class) as (labeller, class, vote).
 
-    Labellers are independent given the class. Starts from the majority of the votes.
+    Labellers are independent given the class. Starts from the majority of the votes; class 1 is the
+    one where the labellers vote 1 more, whichever way the rounds turned.
     """
     ones, zeros = (votes == 1).sum(1), (votes == 0).sum(1)
     post = (ones + 1) / (ones + zeros + 2)
@@ -72,6 +74,8 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if len(post) == 0 or np.abs(post - before).max() < 1e-9:
             break
+    if (table[:, 1, 1] - table[:, 0, 1] + table[:, 0, 0] - table[:, 1, 0]).sum() < 0:
+        return 1 - post, 1 - prior, table[:, ::-1]
     return post, prior, table
 
 
@@ -86,7 +90,8 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
     posterior is the label model's for the pattern of votes over all documents, score the linear
     model's. No gold label is read. Null text is empty text. Repeated rows count as often as they
-    occur; null ids keep their rows; extra columns are ignored.
+    occur; null ids keep their rows; extra columns are ignored. Where all posteriors agree there is
+    nothing to fit, and the score is the posterior. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     rules = labellers()

@@ -394,6 +394,62 @@ def test_quality_scores_follow_the_labellers(spark):
     assert 5000 in got and got[5000].posterior == got[5001].posterior
 
 
+def test_quality_against_plain_em_and_logistic_regression(spark):
+    import numpy as np
+
+    rng = random.Random(12)
+    docs = [(i, " ".join(f"word{rng.randrange(60)}" + ("." if k % 12 == 0 else "") for k in range(60))) for i in range(60)]
+    docs += [(100 + i, " ".join(rng.choice(["BUY!!", "NOW!!", "$$$", "###", "word7"]) for _ in range(40))) for i in range(25)]
+    docs += [(200 + i, "same thing " * 30) for i in range(6)] + [(None, docs[0][1]), (7, docs[7][1]), (300, None), (301, "word1. word2 " * 6000)]
+    got = quality.score_quality(frame(spark, docs)).toPandas()
+    assert sorted(map(str, got["doc_id"].fillna(-1).astype(int))) == sorted(str(-1 if i is None else i) for i, _ in docs)
+    # EM over documents one by one, in probabilities.
+    votes = [tuple(map(int, v)) for v in got["votes"]]
+    post = [(v.count(1) + 1) / (v.count(0) + v.count(1) + 2) for v in votes]
+    for _ in range(quality.ROUNDS):
+        prior = (sum(post) + 1) / (len(post) + 2)
+        rate = {}
+        for j in range(len(votes[0])):
+            for c in (0, 1):
+                w = [p if c else 1 - p for p in post]
+                for x in range(3):
+                    rate[j, c, x] = (sum(a for a, v in zip(w, votes, strict=True) if v[j] == x) + 1) / (sum(w) + 3)
+        new = []
+        for v in votes:
+            good, bad = prior, 1 - prior
+            for j, x in enumerate(v):
+                good, bad = good * rate[j, 1, x], bad * rate[j, 0, x]
+            new.append(good / (good + bad))
+        post = new
+    assert np.allclose(got["posterior"], post, atol=1e-6)
+    # Weighted logistic regression with the same penalty, by Newton steps over the terms themselves.
+    text = {i: t for i, t in docs}
+    terms = [set(t.split()) | {"~" + w[-3:] for w in t.split()} for t in ((text[None] if i != i or i is None else text[int(i)]) or "" for i in got["doc_id"])]
+    names = {t: k for k, t in enumerate(sorted(set().union(*terms)))}
+    x = np.zeros((len(terms), len(names) + 1))
+    for r, ts in enumerate(terms):
+        x[r, [names[t] for t in ts]] = 1
+    x[:, -1] = 1
+    known = got["doc_id"].notna().to_numpy()  # the sample holds named documents
+    xs, ps = x[known], np.array(post)[known]
+    penalty = np.full(x.shape[1], 0.01)
+    penalty[-1] = 0
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        q = 1 / (1 + np.exp(-xs @ w))
+        w -= np.linalg.solve(xs.T @ (xs * (q * (1 - q))[:, None]) / len(xs) + np.diag(penalty + 1e-9), xs.T @ (q - ps) / len(xs) + penalty * w)
+    assert np.abs(got["score"] - 1 / (1 + np.exp(-x @ w))).max() < 0.03
+
+
+def test_em_names_the_good_class_by_the_votes():
+    import numpy as np
+
+    votes = np.array([[1, 1], [0, 0], [1, 0]])
+    for counts in ([90.0, 10.0, 5.0], [10.0, 90.0, 5.0]):
+        post, _, table = quality.expectation_maximisation(votes, np.array(counts))
+        assert post[0] > 0.5 > post[1] and table[0, 1, 1] > table[0, 0, 1]
+
+
 def test_em_recovers_labeller_accuracy():
     import numpy as np
 
