@@ -16,6 +16,9 @@ BUCKETS = 4096
 LABELLED_MOST = 12_000
 #: Weight of the common word distribution in each domain's, in words.
 SMOOTHING = 2000
+#: Words of a text are no independent witnesses: its mean log-probability ratio per word, over the whole
+#: text, counts as often as it has words, but this often at most, so that long texts don't get certain.
+EVIDENCE = 300
 #: Expected shares of tokens by domain.
 TARGETS = {"clean": 0.90, "rough": 0.08, "toxic": 0.02}
 #: Steps of the fit, and how near a domain's share must come to its target.
@@ -71,14 +74,15 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) ->
 
 
 def posteriors(docs: DataFrame, prior: dict[str, float], logp: dict[str, list[float]]) -> DataFrame:
-    """docs with n_tokens and p_<domain>: what Bayes' rule gives for the words, independent of each other."""
+    """docs with n_tokens and p_<domain>: what Bayes' rule gives for the words, tempered to EVIDENCE of them."""
     tokens = words(F.col("text"))
     held = docs.withColumn("__b", _buckets(tokens)).withColumn("n_tokens", F.size("__b").cast("long"))
     domains = list(prior)
+    weight = F.least(F.col("n_tokens"), F.lit(EVIDENCE)) / F.greatest(F.col("n_tokens"), F.lit(1))
     base = np.array(logp[domains[0]])
     for d in domains[1:]:
         ratio = F.lit(np.array(logp[d]) - base)
-        held = held.withColumn(f"__l_{d}", _sum_at(ratio) + (prior[d] - prior[domains[0]]))
+        held = held.withColumn(f"__l_{d}", _sum_at(ratio) * weight + (prior[d] - prior[domains[0]]))
     top = F.greatest(F.lit(0.0), *[F.col(f"__l_{d}") for d in domains[1:]]) if len(domains) > 1 else F.lit(0.0)
     part = {d: F.exp((F.col(f"__l_{d}") if d != domains[0] else F.lit(0.0)) - top) for d in domains}
     whole = sum(part.values(), F.lit(0.0))

@@ -351,7 +351,8 @@ def test_mixing_against_plain_bayes_and_least_squares(spark):
     logp = np.array([np.log((held[d] + mixing.SMOOTHING * common) / (held[d].sum() + mixing.SMOOTHING)) for d in names])
     want = []
     for i, t in docs:
-        l = prior + sum((logp[:, bucket(w)] for w in words(t)), np.zeros(3))
+        n = len(words(t))
+        l = prior + sum((logp[:, bucket(w)] for w in words(t)), np.zeros(3)) * min(n, mixing.EVIDENCE) / max(n, 1)
         p = np.exp(l - l.max())
         want.append((i, len(words(t)), *(p / p.sum())))
     order = lambda rows: sorted(rows, key=lambda r: (-1 if r[0] is None or r[0] != r[0] else r[0], r[1:]))
