@@ -119,16 +119,18 @@ def first_text(*candidates: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in candidates])
 
 
-def infer_split(text: Column) -> Column:
-    """Split from free text: a season word, 'split N', or a special event; else null."""
+def infer_split(text: Column, league_code: Column | None = None) -> Column:
+    """Split from free text: a season word, 'split N', the season finals; else the league's code if given."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    number = F.regexp_extract(t, r"split\s*([0-9]+)", 1)
-    out = F.when(t.contains("winter"), "Winter").when(t.contains("spring"), "Spring").when(t.contains("summer"), "Summer").when(t.contains("fall"), "Fall")
-    return out.when(number != "", F.concat(F.lit("Split "), number)).when(t.contains("invitational") | t.contains("championship"), "Event")
+    number = F.regexp_extract(t, r"split\s+([0-9])", 1)
+    out = F.when(t.contains("winter"), "Winter").when(t.contains("spring"), "Spring").when(t.contains("summer"), "Summer")
+    out = out.when(number != "", F.concat(F.lit("Split "), number)).when(t.contains("season finals"), "Season Finals")
+    return out if league_code is None else out.otherwise(league_code)
 
 
 def is_playoffs(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit(""))).rlike("playoff|final|bracket|knockout|elimination")
+    # Fixed words of late rounds.
+    return F.lower(F.coalesce(text, F.lit(""))).rlike("bracket|elimination|final|gauntlet|knockout|playoff|quarter|semi")
 
 
 def wiki_league(page: Column) -> Column:

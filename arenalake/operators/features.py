@@ -11,7 +11,8 @@ from arenalake.functions.columns import first_text, infer_split, is_playoffs
 from arenalake.operators import history as H
 
 #: Default lines of the totals markets.
-LINES = {"kills": 51.5, "dragons": 4.5, "towers": 11.5, "barons": 1.5, "inhibitors": 2.5}
+# Fixed values, as published.
+LINES = {"kills": 29.5, "dragons": 4.5, "towers": 12.5, "barons": 1.5, "inhibitors": 1.5}
 
 
 def player_experience(facts: DataFrame) -> DataFrame:
@@ -34,13 +35,13 @@ def prematch(pairs: DataFrame, future: DataFrame | None = None) -> DataFrame:
     if future is not None:
         rows = rows.unionByName(future.withColumn("is_future", F.lit(True)), allowMissingColumns=True)
     sides = H.sides(rows).join(rows.select("game_id", "is_future"), "game_id")
-    form = H.recent_and_streak(H.prior_totals(sides.withColumn("win", F.coalesce("win", F.lit(0))), ["team_key"]))
+    form = H.recent_and_streak(H.prior_totals(sides, ["team_key"]))
     cols = ("prior_games", "prior_win_rate", "prior_days_since", "recent_rate", "streak")
     wide = form.groupBy("game_id").agg(*[F.max(F.when(F.col("slot") == i, F.col(c))).alias(f"team{i}_{c}") for i in (1, 2) for c in cols])
     diffs = {f"diff_{c}": F.col(f"team1_{c}") - F.col(f"team2_{c}") for c in cols}
-    base = H.head_to_head(rows.withColumn("team1_win_known", F.col("team1_win")).withColumn("team1_win", F.coalesce("team1_win", F.lit(0))))
+    base = H.head_to_head(rows)
     out = base.join(wide, "game_id").withColumns(diffs)
-    return out.select("game_id", "event_date", "league_code", "team1_key", "team2_key", "is_future", *wide.columns[1:], *diffs, "h2h_games", "h2h_team1_rate", F.col("team1_win_known").alias("label_team1_win"))
+    return out.select("game_id", "event_date", "league_code", "team1_key", "team2_key", "is_future", *wide.columns[1:], *diffs, "h2h_games", "h2h_team1_rate", F.col("team1_win").alias("label_team1_win"))
 
 
 def totals_features(pairs: DataFrame, n: int = 10) -> DataFrame:
@@ -83,9 +84,9 @@ def match_context(matches: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     text = F.concat_ws(" ", "phase", "league")
     known = matches.join(F.broadcast(aliases.withColumnRenamed("code", "alias_code")), "slug", "left")
+    code = first_text(F.col("league_code"), F.col("alias_code"), F.upper("league"))
     return known.select(
-        "match_id", first_text(F.col("league_code"), F.col("alias_code"), F.upper("league")).alias("league_code"),
-        F.coalesce(first_text(F.col("split_name")), infer_split(text)).alias("split_name"), is_playoffs(text).alias("playoffs"),
+        "match_id", code.alias("league_code"), F.coalesce(first_text(F.col("split_name")), infer_split(text, code)).alias("split_name"), is_playoffs(text).alias("playoffs"),
         F.greatest(F.coalesce("best_of", F.lit(3)), F.lit(1)).alias("best_of"),
     )
 

@@ -24,10 +24,13 @@ def sides(pairs: DataFrame) -> DataFrame:
 
 
 def prior_totals(rows: DataFrame, keys: list[str], prefix: str = "prior") -> DataFrame:
-    """Games, wins and win rate of the keys before each row, and days since the last one."""
+    """Games, wins and win rate of the keys before each row, and days since the last one.
+
+    Rows without a result (win null) look back like others and are seen by none.
+    """
     w = before(keys)
-    games, wins = F.count("*").over(w), F.coalesce(F.sum("win").over(w), F.lit(0))
-    last = F.max("event_date").over(w)
+    games, wins = F.count("win").over(w), F.coalesce(F.sum("win").over(w), F.lit(0))
+    last = F.max(F.when(F.col("win").isNotNull(), F.col("event_date"))).over(w)
     out = rows.withColumns({f"{prefix}_games": games, f"{prefix}_wins": wins, f"{prefix}_days_since": F.datediff("event_date", last)})
     return out.withColumn(f"{prefix}_win_rate", rate(F.col(f"{prefix}_wins"), F.col(f"{prefix}_games")))
 
@@ -35,18 +38,18 @@ def prior_totals(rows: DataFrame, keys: list[str], prefix: str = "prior") -> Dat
 def recent_and_streak(rows: DataFrame, n: int = 5) -> DataFrame:
     """Win rate of the last n games and the signed streak before each row's day.
 
-    Rows are numbered along a total order; what a row may know is read at the last number before
-    its day, so that a game of the same day is never seen.
+    Rows with a result are numbered along a total order; what a row may know is read at the last
+    number before its day, so that a game of the same day is never seen, nor one without a result.
     """
     order = ["event_date", "game_number", "game_id"]
     along = W.partitionBy("team_key").orderBy(*order)
     running = along.rowsBetween(W.unboundedPreceding, 0)
-    state = rows.withColumns({"idx": F.row_number().over(along), "cum": F.sum("win").over(running), "turn": F.coalesce((F.lag("win").over(along) != F.col("win")).cast("int"), F.lit(0))})
+    state = rows.where("win is not null").withColumns({"idx": F.row_number().over(along), "cum": F.sum("win").over(running), "turn": F.coalesce((F.lag("win").over(along) != F.col("win")).cast("int"), F.lit(0))})
     state = state.withColumn("island", F.sum("turn").over(running))
     run = F.row_number().over(W.partitionBy("team_key", "island").orderBy(*order))
     state = state.withColumn("run", F.when(F.col("win") == 1, run).otherwise(-run))
-    known = state.withColumn("n_prior", F.count("*").over(before(["team_key"])))
-    at = known.select(F.col("team_key").alias("k"), F.col("idx").alias("i"), F.col("cum").alias("c"), F.col("run").alias("r"))
+    known = rows.withColumn("n_prior", F.count("win").over(before(["team_key"])))
+    at = state.select(F.col("team_key").alias("k"), F.col("idx").alias("i"), F.col("cum").alias("c"), F.col("run").alias("r"))
     now, then = at.alias("now"), at.alias("then")
     joined = known.join(now, (F.col("team_key") == F.col("now.k")) & (F.col("n_prior") == F.col("now.i")), "left").join(then, (F.col("team_key") == F.col("then.k")) & (F.col("n_prior") - n == F.col("then.i")), "left")
     wins = F.coalesce("now.c", F.lit(0)) - F.coalesce("then.c", F.lit(0))
@@ -54,9 +57,9 @@ def recent_and_streak(rows: DataFrame, n: int = 5) -> DataFrame:
 
 
 def head_to_head(pairs: DataFrame) -> DataFrame:
-    """Games and wins of the first side over the same pair before each game."""
+    """Games and wins of the first side over the same pair before each game; games without a result are not seen."""
     w = before(["team1_key", "team2_key"])
-    out = pairs.withColumns({"h2h_games": F.count("*").over(w), "h2h_team1_wins": F.coalesce(F.sum("team1_win").over(w), F.lit(0))})
+    out = pairs.withColumns({"h2h_games": F.count("team1_win").over(w), "h2h_team1_wins": F.coalesce(F.sum("team1_win").over(w), F.lit(0))})
     return out.withColumn("h2h_team1_rate", rate(F.col("h2h_team1_wins"), F.col("h2h_games")))
 
 
@@ -72,38 +75,46 @@ def rolling(rows: DataFrame, measures: list[str], spans: tuple[int, ...] = (5, 1
     return rows.withColumns(cols)
 
 
-def numbered(df: DataFrame, order: list[str], out: str = "position") -> DataFrame:
-    """Global row number by a total order, without one task holding all rows.
+def numbered(df: DataFrame, order: list[str], out: str = "position", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Row number by a total order within the keys (over all rows without any), in no single task.
 
     Rows are numbered within a day, and days get the count of all earlier days: the only
-    single-partition window is over one row per day.
+    wider window is over one row per key and day. Null keys count as a key.
     """
     day = order[0]
-    per_day = df.groupBy(day).agg(F.count("*").alias("n_day"))
-    offset = per_day.withColumn("offset", F.coalesce(F.sum("n_day").over(W.orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n_day")
-    return df.withColumn("in_day", F.row_number().over(W.partitionBy(day).orderBy(*order[1:]))).join(F.broadcast(offset), day).withColumn(out, F.col("in_day") + F.col("offset")).drop("in_day", "offset")
+    named = df.withColumns({f"__{k}": F.struct(k) for k in keys})  # a struct is never null, so it can be joined on
+    by = [f"__{k}" for k in keys]
+    per_day = named.groupBy(*by, day).agg(F.count("*").alias("n_day"))
+    earlier = W.partitionBy(*by).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
+    offset = per_day.withColumn("offset", F.coalesce(F.sum("n_day").over(earlier), F.lit(0))).drop("n_day")
+    placed = named.withColumn("in_day", F.row_number().over(W.partitionBy(*by, day).orderBy(*order[1:]))).join(offset, [*by, day])
+    return placed.withColumn(out, F.col("in_day") + F.col("offset")).drop("in_day", "offset", *by)
 
 
-def global_trailing(df: DataFrame, order: list[str], value: str, size: int = 400) -> DataFrame:
-    """Mean and count of value over the `size` rows before each row, over all rows.
+def trailing(df: DataFrame, order: list[str], value: str, size: int = 400, keys: tuple[str, ...] = (), prefix: str = "trailing") -> DataFrame:
+    """Mean and count of value over the `size` rows of the keys before each row (over all rows without keys).
 
     Halo buckets: every row stands in its own bucket of `size` rows and in the next one, so a
-    bucket holds all that its own rows look back on, and windows run bucket by bucket.
+    bucket holds all that its own rows look back on, and a large key is many buckets. Within a
+    bucket the mean is a difference of two running sums, `size` rows apart.
     """
-    at = numbered(df, order).withColumn("own", F.floor((F.col("position") - 1) / size))
+    at = numbered(df, order, keys=keys).withColumn("own", F.floor((F.col("position") - 1) / size))
     halo = at.withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    w = W.partitionBy("bucket").orderBy("position").rowsBetween(-size, -1)
-    out = halo.withColumns({"trailing_mean": F.avg(value).over(w), "trailing_count": F.count(value).over(w)})
-    return out.where("own = bucket").drop("own", "bucket", "position")
+    along = W.partitionBy(*keys, "bucket").orderBy("position")
+    running = along.rowsBetween(W.unboundedPreceding, -1)
+    sums = halo.withColumns({"__s": F.coalesce(F.sum(value).over(running), F.lit(0)), "__n": F.count(value).over(running)})
+    then = {c: F.coalesce(F.lag(c, size).over(along), F.lit(0)) for c in ("__s", "__n")}
+    out = sums.withColumns({"__s": F.col("__s") - then["__s"], "__n": F.col("__n") - then["__n"]}).where("own = bucket")
+    mean = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n"))
+    return out.withColumns({f"{prefix}_mean": mean, f"{prefix}_count": F.col("__n")}).drop("own", "bucket", "position", "__s", "__n")
 
 
 def baseline(games: DataFrame, value: str, size: int = 400, enough: int = 50) -> DataFrame:
     """Trailing mean of the patch if it has enough games, else of the league, else of all."""
     order = ["event_date", "game_number", "game_id"]
-    out = global_trailing(games, order, value, size)
+    out = trailing(games, order, value, size)
     for level, key in (("patch", "patch_version"), ("league", "league_code")):
-        w = W.partitionBy(key).orderBy(*order).rowsBetween(-size, -1)
-        out = out.withColumns({f"{level}_mean": F.avg(value).over(w), f"{level}_count": F.count(value).over(w)})
+        out = trailing(out, order, value, size, (key,), level)
     best = F.when(F.col("patch_count") >= enough, F.col("patch_mean")).when(F.col("league_count") >= enough, F.col("league_mean")).otherwise(F.coalesce("trailing_mean", F.lit(0.0)))
     source = F.when(F.col("patch_count") >= enough, "patch").when(F.col("league_count") >= enough, "league").otherwise("global")
     return out.withColumns({"baseline_mean": best, "baseline_source": source})
@@ -146,7 +157,7 @@ def elo(pairs: DataFrame, pool: str = "league_code") -> DataFrame:
     """Ratings before each game: game_id, pool, both ratings, expected share of the first side.
 
     The recurrence runs through all games of a pool in time order, so a pool is one group; pools
-    run in parallel. margin (0 to 1) enlarges a step. A pool too large for a task needs elo_by_day.
+    run in parallel. margin (0 to 1) enlarges a step. A pool's games must fit a task: some 100 bytes each.
     """
     rows = pairs.select(F.col(pool).alias("pool"), "game_id", "event_date", "team1_key", "team2_key", "team1_win", "margin")
     return rows.groupBy("pool").applyInPandas(_fold, "pool string, game_id string, team1_rating double, team2_rating double, team1_expected double")

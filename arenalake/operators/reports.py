@@ -167,11 +167,18 @@ def roster_overlap(rosters: DataFrame, back: int = 3) -> DataFrame:
 
 
 def draft_pool(facts: DataFrame, games: int = 25) -> DataFrame:
-    """Per team and game: different champions in the last 10 and `games` games before it, and the share of the five most played."""
-    picks = facts.where("team_key is not null").groupBy("team_key", "event_date", "game_id").agg(F.array_sort(F.collect_list("champion_name")).alias("picks"))
-    along = W.partitionBy("team_key").orderBy("event_date", "game_id")
-    flat = lambda n: F.flatten(F.collect_list("picks").over(along.rowsBetween(-n, -1)))
-    out = picks.withColumns({"last10": flat(10), "last": flat(games)})
-    counts = F.transform(F.array_distinct("last"), lambda c: F.size(F.filter("last", lambda x: x == c)))
-    top5 = F.aggregate(F.slice(F.reverse(F.array_sort(counts)), 1, 5), F.lit(0), lambda a, x: a + x)
-    return out.select("team_key", "game_id", F.size(F.array_distinct("last10")).alias("unique_10"), F.size(F.array_distinct("last")).alias("unique_25"), F.when(F.size("last") > 0, top5 / F.size("last")).otherwise(F.lit(0.0)).alias("top5_share"))
+    """Per team and game: different champions in the last 10 and `games` games before it, and the share of the five most played.
+
+    Every pick is sent to the `games` games that look back on it and counted there by champion, so the
+    work grows with the picks and no list of picks is searched.
+    """
+    picks = facts.where("team_key is not null").groupBy("team_key", "event_date", "game_id").agg(F.collect_list("champion_name").alias("picks"))
+    at = picks.withColumn("idx", F.row_number().over(W.partitionBy("team_key").orderBy("event_date", "game_id")))
+    each = at.select("team_key", "idx", F.explode("picks").alias("champion"))
+    sent = each.select("team_key", "champion", F.col("idx"), F.explode(F.sequence(F.lit(1), F.lit(games))).alias("back")).withColumn("idx", F.col("idx") + F.col("back"))
+    counted = sent.groupBy("team_key", "idx", "champion").agg(F.count("*").alias("n"), F.min("back").alias("nearest"))
+    most = F.aggregate(F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 5), F.lit(0).cast("long"), lambda a, x: a + x)
+    seen = counted.groupBy("team_key", "idx").agg(F.count_if(F.col("nearest") <= 10).alias("u10"), F.count("*").alias("u25"), (most / F.sum("n")).alias("top5"))
+    return at.join(seen, ["team_key", "idx"], "left").select(
+        "team_key", "game_id", F.coalesce("u10", F.lit(0)).cast("int").alias("unique_10"), F.coalesce("u25", F.lit(0)).cast("int").alias("unique_25"), F.coalesce("top5", F.lit(0.0)).alias("top5_share")
+    )

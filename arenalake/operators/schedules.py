@@ -66,7 +66,7 @@ def series_winner(team1: Column, team2: Column, w1: Column, w2: Column) -> Colum
 
 
 def normalise_events(events: DataFrame) -> DataFrame:
-    """Flat match rows of official events (column e of type EVENT), one per event id, the first by page order."""
+    """Flat match rows of official events (column e of type EVENT), one per event; see first_by_id for events that pages repeat."""
     teams, games = F.col("e.match.teams"), F.col("e.games")
     a, b = teams[0], teams[1]
     s1, s2 = series_score(a, b, games)

@@ -30,9 +30,9 @@ def player_experience(spark, sf_dir):
 _FUTURE = "event_date >= DATE '2001-01-01'"
 _PREMATCH = f"""{HP._NPAIRS.replace('pairs AS', 'all_pairs AS')},
 pairs AS (SELECT * REPLACE (CASE WHEN {_FUTURE} THEN NULL ELSE team1_win END AS team1_win, CASE WHEN {_FUTURE} THEN NULL ELSE team2_win END AS team2_win) FROM all_pairs),
-side AS (SELECT game_id, event_date, team1_key AS team_key, coalesce(team1_win, 0) AS win FROM pairs UNION ALL SELECT game_id, event_date, team2_key, coalesce(team2_win, 0) FROM pairs),
-form AS (SELECT s.game_id, s.team_key, count(p.game_id) AS n, coalesce(sum(p.win), 0) AS w, CAST(s.event_date - max(p.event_date) AS INT) AS days FROM side s LEFT JOIN side p ON p.team_key = s.team_key AND p.event_date < s.event_date GROUP BY s.game_id, s.team_key, s.event_date),
-h AS (SELECT s.game_id, count(p.game_id) AS n, coalesce(sum(p.team1_win), 0) AS w FROM pairs s LEFT JOIN pairs p ON p.team1_key = s.team1_key AND p.team2_key = s.team2_key AND p.event_date < s.event_date GROUP BY 1)"""
+side AS (SELECT game_id, event_date, team1_key AS team_key, team1_win AS win FROM pairs UNION ALL SELECT game_id, event_date, team2_key, team2_win FROM pairs),
+form AS (SELECT s.game_id, s.team_key, count(p.game_id) AS n, coalesce(sum(p.win), 0) AS w, CAST(s.event_date - max(p.event_date) AS INT) AS days FROM side s LEFT JOIN side p ON p.team_key = s.team_key AND p.event_date < s.event_date AND p.win IS NOT NULL GROUP BY s.game_id, s.team_key, s.event_date),
+h AS (SELECT s.game_id, count(p.game_id) AS n, coalesce(sum(p.team1_win), 0) AS w FROM pairs s LEFT JOIN pairs p ON p.team1_key = s.team1_key AND p.team2_key = s.team2_key AND p.event_date < s.event_date AND p.team1_win IS NOT NULL GROUP BY 1)"""
 
 
 @query(f"""{_PREMATCH} SELECT g.game_id, {_FUTURE} AS is_future, a.n AS team1_prior_games, b.n AS team2_prior_games, a.days - b.days AS diff_prior_days_since,
@@ -70,7 +70,7 @@ def totals_quotes(spark, sf_dir):
 
 @query("""WITH m AS (SELECT o_orderkey AS match_id, o_orderpriority AS league, 's' || o_orderkey % 5 AS slug, CASE WHEN o_orderkey % 7 = 0 THEN 'XX' ELSE '' END AS league_code, CASE WHEN o_orderkey % 6 = 0 THEN 'Own' END AS split_name,
 CASE o_orderkey % 4 WHEN 0 THEN 'Summer Playoffs' WHEN 1 THEN 'Split 4' WHEN 2 THEN 'Grand Final' ELSE 'Week 2' END AS phase, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 5 END AS best_of FROM orders)
-SELECT match_id, CASE WHEN league_code <> '' THEN league_code WHEN slug = 's1' THEN 'ONE' WHEN slug = 's2' THEN 'TWO' ELSE upper(league) END AS league_code, CASE WHEN split_name IS NOT NULL THEN split_name WHEN phase LIKE 'Summer%' THEN 'Summer' WHEN phase = 'Split 4' THEN 'Split 4' END AS split_name,
+SELECT match_id, CASE WHEN league_code <> '' THEN league_code WHEN slug = 's1' THEN 'ONE' WHEN slug = 's2' THEN 'TWO' ELSE upper(league) END AS league_code, CASE WHEN split_name IS NOT NULL THEN split_name WHEN phase LIKE 'Summer%' THEN 'Summer' WHEN phase = 'Split 4' THEN 'Split 4' WHEN league_code <> '' THEN league_code WHEN slug = 's1' THEN 'ONE' WHEN slug = 's2' THEN 'TWO' ELSE upper(league) END AS split_name,
 phase IN ('Summer Playoffs', 'Grand Final') AS playoffs, greatest(coalesce(best_of, 3), 1) AS best_of FROM m""")
 def match_context(spark, sf_dir):
     k = F.col("o_orderkey")

@@ -22,6 +22,24 @@ def csv_box_scores(spark, sf_dir):
     return B.typed_entrants(rows).select("game_id", "side", "team_key", "season_year", "split_name", "win", "dragons")
 
 
+@query(f"{GP.E_SQL} SELECT game_id, side, team_key, season_year, split_name, win, dragons FROM entrants")
+def csv_mixed_headers(spark, sf_dir):
+    """One folder whose files have their columns in different orders."""
+    bronze, path = S.bronze_entrants(spark, sf_dir, "region"), files.scratch_dir(spark, "csv")
+    bronze.where("year < '1998'").drop("inhibitors").write.option("header", True).csv(path)
+    bronze.where("year >= '1998'").select(*reversed(bronze.columns)).write.mode("append").option("header", True).csv(path)
+    return B.typed_entrants(files.read_box_scores(spark, [path])).select("game_id", "side", "team_key", "season_year", "split_name", "win", "dragons")
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS day, o_totalprice, o_orderpriority FROM orders")
+def csv_inferred_types(spark, sf_dir):
+    """Files of a name pattern, types inferred over all their rows."""
+    path = files.scratch_dir(spark, "csv")
+    orders = S.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice", "o_orderpriority")
+    orders.write.option("header", True).csv(path)
+    return files.read_typed_csv(spark, path, "part-*.csv").select("o_orderkey", "day", "o_totalprice", "o_orderpriority")
+
+
 @query("SELECT 'M' || o_orderkey AS id, o_orderpriority AS league, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END::INT AS teams FROM orders")
 def nested_json_matches(spark, sf_dir):
     """Nested match documents as JSON, read by an explicit schema at any depth."""

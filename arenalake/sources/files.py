@@ -34,17 +34,43 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def read_box_scores(spark: SparkSession, paths: list[str], pattern: str = "*.csv") -> DataFrame:
     """CSV files whose headers differ: every column a string, union by name, bad lines tolerated, with the file's name.
 
-    Headers are read file by file (one line each); rows are read by Spark.
+    Headers are read file by file (one line each), within one folder too, and files of one header are
+    read together, so a column never takes the place of another. Files without a line give no rows.
     """
-    parts = []
+    by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
-        header = spark.read.option("header", True).option("pathGlobFilter", pattern).csv(path)
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
-        rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("pathGlobFilter", pattern).csv(path)
+        for file in spark.read.option("pathGlobFilter", pattern).text(path).inputFiles():
+            by_header.setdefault(tuple(spark.read.option("header", True).csv(file).columns), []).append(file)
+    by_header.pop((), None)
+    if not by_header:
+        return spark.createDataFrame([], "source_file string")
+    parts = []
+    for header, files in by_header.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(files)
         parts.append(rows.withColumn("source_file", F.element_at(F.split("_metadata.file_path", "/"), -1)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def read_typed_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
+    """CSV files of a name pattern with inferred types, united by name, with the file's name.
+
+    Types are inferred over all rows of the files that share a header; where two headers disagree on
+    a column's type, it is a string.
+    """
+    rows = read_box_scores(spark, [path], pattern)
+    typed = {}
+    for c in (c for c in rows.columns if c != "source_file"):
+        x = F.nullif(F.trim(f"`{c}`"), F.lit(""))
+        known = F.count(x)
+        typed[c] = [known.alias(f"{c}|n"), F.count(x.try_cast("bigint")).alias(f"{c}|bigint"), F.count(x.try_cast("double")).alias(f"{c}|double"), F.count(x.try_cast("date")).alias(f"{c}|date")]
+    if not typed:
+        return rows
+    seen = rows.agg(*[a for parts in typed.values() for a in parts]).first()
+    kind = {c: next((t for t in ("bigint", "double", "date") if seen[f"{c}|n"] and seen[f"{c}|{t}"] == seen[f"{c}|n"]), "string") for c in typed}
+    return rows.select(*[F.nullif(F.trim(f"`{c}`"), F.lit("")).try_cast(t).alias(c) if t != "string" else F.col(f"`{c}`") for c, t in kind.items()], "source_file")
+
+
 def read_nested_json(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False) -> DataFrame:
     """Nested JSON documents under path, at any depth, by an explicit schema."""
     return spark.read.schema(schema).option("recursiveFileLookup", True).option("multiLine", multi_line).json(path)

@@ -19,6 +19,22 @@ def test_box_scores_with_different_headers(spark, tmp_path):
     assert sorted((r.gameid, r.side, r.patch, r.source_file) for r in rows) == [("g1", "blue", None, "2023.csv"), ("g1", "red", None, "2023.csv"), ("g2", "blue", "14.1", "2024.csv")]
 
 
+def test_box_scores_of_one_folder_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("gameid,side,patch\ng1,blue,14.1\n")
+    (tmp_path / "b.csv").write_text("gameid,patch,side\ng2,14.2,red\n")
+    (tmp_path / "c.csv").write_text("side,gameid\nblue,g3\n")
+    rows = files.read_box_scores(spark, [str(tmp_path)]).collect()
+    assert sorted((r.gameid, r.side, r.patch or "") for r in rows) == [("g1", "blue", "14.1"), ("g2", "red", "14.2"), ("g3", "blue", "")]
+
+
+def test_types_are_inferred_over_all_files(spark, tmp_path):
+    (tmp_path / "x1.csv").write_text("id,score,day,name\n1,2,2024-01-01,a\n")
+    (tmp_path / "x2.csv").write_text("score,id,day,name\n2.5,3,2024-01-02,7\n")
+    (tmp_path / "other.txt").write_text("id\nno\n")
+    rows = files.read_typed_csv(spark, str(tmp_path), "x*.csv")
+    assert dict(rows.dtypes) == {"id": "bigint", "score": "double", "day": "date", "name": "string", "source_file": "string"} and rows.count() == 2
+
+
 def test_schedule_payload_shapes(spark, tmp_path):
     (tmp_path / "list.json").write_text(json.dumps([{"MatchId": "a"}, {"MatchId": "b"}]))
     (tmp_path / "rows.json").write_text(json.dumps({"rows": [{"MatchId": "c"}]}))

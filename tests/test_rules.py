@@ -109,7 +109,7 @@ def test_publish_gate(spark):
 
 def test_trailing_window_over_all_rows(spark):
     rows = spark.range(300).select((F.lit("2024-01-01").cast("date") + (F.col("id") / 7).cast("int")).alias("event_date"), F.col("id").alias("n"), (F.col("id") * 37 % 101).alias("v"))
-    got = {r.n: r.trailing_mean for r in H.global_trailing(rows, ["event_date", "n"], "v", 40).collect()}
+    got = {r.n: r.trailing_mean for r in H.trailing(rows, ["event_date", "n"], "v", 40).collect()}
     v = [i * 37 % 101 for i in range(300)]
     assert got[0] is None and all(got[i] == pytest.approx(sum(v[max(0, i - 40) : i]) / len(v[max(0, i - 40) : i])) for i in range(1, 300))
 
@@ -122,3 +122,33 @@ def test_short_names_resolve_by_containment(spark):
     none = spark.createDataFrame([], "alias string, canonical string")
     got = {r.query_id: (r.entity_key, r.status) for r in resolve_names(asked, known, none).collect()}
     assert got == {1: (1, "contains"), 2: (2, "contains"), 3: (None, "ambiguous"), 4: (4, "contains"), 5: (None, "unknown")}
+
+
+def test_future_games_add_nothing(spark):
+    import datetime
+
+    from arenalake.operators import features as X
+
+    cols = "game_id string, game_number long, league_code string, season_year int, split_name string, patch_version string, event_date date, game_length_seconds int, team1_key string, team2_key string, team1_win int, team2_win int, team1_kills int, team2_kills int, team1_gold int, team2_gold int"
+    row = lambda i, won: (f"g{i}", i, "L", 2024, None, "14.1", datetime.date(2024, 1, 1 + i), 1800, "a", "b", won, None if won is None else 1 - won, 5, 5, 1, 1)
+    got = X.prematch(spark.createDataFrame([row(0, 1), row(1, 1)], cols), spark.createDataFrame([row(i, None) for i in (2, 3, 4)], cols)).orderBy("game_id").collect()
+    assert [(r.team1_prior_games, r.team1_prior_win_rate, r.team1_streak, r.h2h_games) for r in got[2:]] == [(2, 1.0, 2, 2)] * 3
+    assert [r.team1_prior_days_since for r in got[2:]] == [1, 2, 3] and [r.is_future for r in got] == [False, False, True, True, True]
+
+
+def test_over_probability_of_high_lines(spark):
+    import math
+
+    from arenalake.functions import market as M
+
+    poisson = lambda mu, line: 1 - sum(math.exp(-mu + k * math.log(mu) - math.lgamma(k + 1)) for k in range(int(line) + 1))
+    df = spark.createDataFrame([(260.0, 250.5), (900.0, 890.5), (3.0, 2.5), (3.0, -1.0), (3.0, 1e6)], "mu double, line double")
+    got = [r.p for r in df.select(M.over_probability(F.col("mu"), F.col("mu") * 0.9, F.col("line")).alias("p")).collect()]
+    assert [round(x, 6) for x in got[:3]] == [round(poisson(260, 250.5), 6), round(poisson(900, 890.5), 6), round(poisson(3, 2.5), 6)]
+    assert got[3] > 0.99 and got[4] is None
+
+
+def test_published_split_and_playoff_rules(spark):
+    text = {"2026 First Stand Groups Day 2": ("FST", False), "Season Finals": ("Season Finals", True), "LTA Split 2 Quarters": ("Split 2", True), "Regional Gauntlet": ("FST", True), "Fall Week 1": ("FST", False)}
+    rows = spark.createDataFrame(list(text), "string").select("value", C.infer_split(F.col("value"), F.lit("FST")).alias("s"), C.is_playoffs(F.col("value")).alias("p")).collect()
+    assert {r.value: (r.s, r.p) for r in rows} == text
