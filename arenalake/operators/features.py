@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from arenalake.functions import market as M
 from arenalake.functions.columns import first_text, infer_split, is_playoffs
 from arenalake.operators import history as H
+from arenalake.operators import reports as R
 
 #: Default lines of the totals markets.
 # Fixed values, as published.
@@ -44,15 +45,66 @@ def prematch(pairs: DataFrame, future: DataFrame | None = None) -> DataFrame:
     return out.select("game_id", "event_date", "league_code", "team1_key", "team2_key", "is_future", *wide.columns[1:], *diffs, "h2h_games", "h2h_team1_rate", F.col("team1_win").alias("label_team1_win"))
 
 
-def totals_features(pairs: DataFrame, n: int = 10) -> DataFrame:
-    """Both sides' rolling kills, averages and differences, and the trailing baseline; rows without a target go."""
-    roll = H.rolling(H.sides(pairs), ["kills", "kills_against"], (n,))
-    names = [f"{m}_{a}_{n}" for m in ("kills", "kills_against") for a in ("mean", "var")]
-    wide = roll.groupBy("game_id").agg(*[F.max(F.when(F.col("slot") == i, F.col(c))).alias(f"team{i}_{c}") for i in (1, 2) for c in names])
-    target = pairs.withColumn("target_total_kills", F.col("team1_kills") + F.col("team2_kills")).where("target_total_kills is not null")
-    out = H.baseline(target, "target_total_kills").join(wide, "game_id")
+def assembled(pairs: DataFrame, facts: DataFrame, future: DataFrame | None = None) -> DataFrame:
+    """prematch() with ratings, form on the patch and in the split, roster overlap, experience and draft pools.
+
+    facts: game_id, side, team_key, event_date, player_key, champion_name of played games. What only a
+    played game has (players, picks) is null for future rows.
+    """
+    base = prematch(pairs, future)
+    rows = pairs if future is None else pairs.unionByName(future, allowMissingColumns=True)
+    margin = F.least(F.abs(F.col("team1_kills") - F.col("team2_kills")), F.lit(10)) / 10.0
+    ratings = H.elo(rows.withColumn("margin", margin)).drop("pool").withColumn("diff_rating", F.col("team1_rating") - F.col("team2_rating"))
+    sides = H.sides(rows)
+    form = H.prior_totals(H.prior_totals(sides, ["team_key", "patch_version"], "patch"), ["team_key", "split_name"], "split")
+    rosters = facts.groupBy(F.col("game_id").alias("series_key"), "event_date", "team_key").agg(F.array_sort(F.collect_set("player_key")).alias("roster"))
+    overlap = R.roster_overlap(rosters).select(F.col("series_key").alias("game_id"), "team_key", F.col("overlap_previous").alias("roster_shared"), F.col("overlap_mean").alias("roster_shared_mean"))
+    players = player_experience(facts).join(facts.select("game_id", "side", "team_key").distinct(), ["game_id", "side"]).drop("side")
+    each = form.join(overlap, ["game_id", "team_key"], "left").join(players, ["game_id", "team_key"], "left").join(R.draft_pool(facts), ["game_id", "team_key"], "left")
+    cols = ["patch_games", "patch_win_rate", "split_games", "split_win_rate", "roster_shared", "roster_shared_mean", "mean_experience", "new_players", "unique_10", "unique_25", "top5_share"]
+    wide = each.groupBy("game_id").agg(*[F.max(F.when(F.col("slot") == i, F.col(c))).alias(f"team{i}_{c}") for i in (1, 2) for c in cols])
+    diffs = {f"diff_{c}": F.col(f"team1_{c}") - F.col(f"team2_{c}") for c in cols}
+    return base.join(ratings, "game_id").join(wide, "game_id").withColumns(diffs)
+
+
+#: What the totals features roll: markets for and against, and the length of games.
+METRICS = tuple(f"{m}{x}" for m in LINES for x in ("", "_against")) + ("game_length_seconds",)
+
+
+def totals_features(pairs: DataFrame, spans: tuple[int, ...] = (5, 10, 30), metrics: tuple[str, ...] = METRICS, markets: tuple[str, ...] = tuple(LINES), future: DataFrame | None = None) -> DataFrame:
+    """Both sides' rolling metrics, averages and differences, targets and trailing baselines of the markets.
+
+    Rows without a target go, but for the rows of future, whose targets are null; those look back on
+    the last played games, and their baseline is the mean of the last 400 games of all.
+    """
+    rolled = H.rolling(H.sides(pairs), list(metrics), spans).withColumn("is_future", F.lit(False))
+    games = pairs.withColumn("is_future", F.lit(False))
+    if future is not None:
+        ahead = H.rolling_ahead(H.sides(pairs), H.sides(future), list(metrics), spans).withColumn("is_future", F.lit(True))
+        rolled = rolled.unionByName(ahead, allowMissingColumns=True)
+        games = games.unionByName(future.withColumn("is_future", F.lit(True)), allowMissingColumns=True)
+    names = [f"{m}_{a}_{n}" for n in spans for m in metrics for a in ("mean", "var")] + [f"games_{n}" for n in spans]
+    wide = rolled.groupBy("game_id").agg(*[F.max(F.when(F.col("slot") == i, F.col(c))).alias(f"team{i}_{c}") for i in (1, 2) for c in names])
+    targets = {f"target_total_{m}": F.col(f"team1_{m}") + F.col(f"team2_{m}") for m in markets}
+    out = games.withColumns(targets).where(F.col("is_future") | F.col(f"target_total_{markets[0]}").isNotNull())
+    for m in markets:
+        out = H.baseline(out, f"target_total_{m}").withColumnsRenamed({"baseline_mean": f"baseline_{m}", "baseline_source": f"baseline_{m}_source"})
+        out = out.drop("trailing_mean", "trailing_count", "patch_mean", "patch_count", "league_mean", "league_count")
     pairwise = {f"avg_{c}": (F.col(f"team1_{c}") + F.col(f"team2_{c}")) / 2 for c in names} | {f"diff_{c}": F.col(f"team1_{c}") - F.col(f"team2_{c}") for c in names}
-    return out.withColumns(pairwise).select("game_id", *wide.columns[1:], *pairwise, "baseline_mean", "baseline_source", "target_total_kills")
+    kept = [c for m in markets for c in (f"baseline_{m}", f"baseline_{m}_source", f"target_total_{m}")]
+    return out.join(wide, "game_id").withColumns(pairwise).select("game_id", "event_date", "league_code", "is_future", *wide.columns[1:], *pairwise, *kept)
+
+
+def model_quotes(predicted: DataFrame, alpha: dict[str, float], lines: dict[str, float] = LINES) -> DataFrame:
+    """Quotes of totals models: one row per match and market, from predicted means mu_<market>.
+
+    The variance is mu + alpha mu^2, alpha being the market's overdispersion on the rows it was fitted on.
+    """
+    market = lambda m, x: F.struct(F.lit(m).alias("market"), F.lit(x).alias("line"), F.greatest(F.col(f"mu_{m}"), F.lit(0.01)).alias("mu"), F.lit(float(alpha[m])).alias("alpha"))
+    rows = predicted.select("game_id", F.explode(F.array(*[market(m, x) for m, x in lines.items()])).alias("q")).select("game_id", "q.*")
+    variance = F.col("mu") + F.col("alpha") * F.col("mu") ** 2
+    quoted = rows.withColumns({"variance": variance, "over": M.over_probability(F.col("mu"), variance, F.col("line"))})
+    return quoted.withColumns({"fair_over": M.fair_odds(F.col("over")), "fair_under": M.fair_odds(1 - F.col("over"))}).drop("alpha")
 
 
 def totals_quotes(stats: DataFrame, lines: dict[str, float] = LINES) -> DataFrame:

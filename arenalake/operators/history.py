@@ -15,11 +15,16 @@ def before(keys: list[str], time: str = "event_date"):
     return W.partitionBy(*keys).orderBy(F.datediff(F.col(time), F.lit("1970-01-01").cast("date"))).rangeBetween(W.unboundedPreceding, -1)
 
 
+#: Objectives of a game beside kills.
+MEASURES = ("dragons", "towers", "barons", "inhibitors")
+
+
 def sides(pairs: DataFrame) -> DataFrame:
-    """Team-centric rows: each game once per side, with what it scored and gave up."""
+    """Team-centric rows: each game once per side, with what it scored and gave up, for the MEASURES that pairs hold."""
+    more = [m for m in MEASURES if f"team1_{m}" in pairs.columns]
     shared = ("game_id", "game_number", "league_code", "season_year", "split_name", "patch_version", "event_date", "game_length_seconds")
     def side(a: int, b: int) -> Column:
-        return F.struct(F.lit(a).alias("slot"), *[F.col(f"team{a}_{c}").alias(n) for c, n in (("key", "team_key"), ("win", "win"), ("kills", "kills"), ("gold", "gold"))], F.col(f"team{b}_key").alias("opponent_key"), F.col(f"team{b}_kills").alias("kills_against"))
+        return F.struct(F.lit(a).alias("slot"), *[F.col(f"team{a}_{c}").alias(n) for c, n in (("key", "team_key"), ("win", "win"), ("kills", "kills"), ("gold", "gold"))], F.col(f"team{b}_key").alias("opponent_key"), F.col(f"team{b}_kills").alias("kills_against"), *[c for m in more for c in (F.col(f"team{a}_{m}").alias(m), F.col(f"team{b}_{m}").alias(f"{m}_against"))])
     return pairs.select(*shared, F.explode(F.array(side(1, 2), side(2, 1))).alias("s")).select(*shared, "s.*")
 
 
@@ -75,6 +80,20 @@ def rolling(rows: DataFrame, measures: list[str], spans: tuple[int, ...] = (5, 1
     return rows.withColumns(cols)
 
 
+def rolling_ahead(played: DataFrame, coming: DataFrame, measures: list[str], spans: tuple[int, ...] = (5, 10, 30)) -> DataFrame:
+    """rolling() for rows without a result: the last n played games before each row's day (0 without any)."""
+    along = W.partitionBy("team_key").orderBy("event_date", "game_number", "game_id")
+    state = {"idx": F.row_number().over(along)}
+    for n in spans:
+        w = along.rowsBetween(-n + 1, 0)
+        state |= {f"games_{n}": F.count("*").over(w)} | {f"{m}_{a}_{n}": f(m).over(w) for m in measures for a, f in (("mean", F.avg), ("var", F.var_pop))}
+    after = played.withColumns(state).select("team_key", *state)
+    both = coming.withColumn("__own", F.lit(True)).unionByName(played.withColumn("__own", F.lit(False)), allowMissingColumns=True)
+    at = both.withColumn("idx", F.sum(F.when(F.col("__own"), 0).otherwise(1)).over(before(["team_key"]))).where("__own").drop("__own")
+    known = at.join(after, ["team_key", "idx"], "left").drop("idx")
+    return known.withColumns({c: F.coalesce(c, F.lit(0)) for c in state if c != "idx"})
+
+
 def numbered(df: DataFrame, order: list[str], out: str = "position", keys: tuple[str, ...] = ()) -> DataFrame:
     """Row number by a total order within the keys (over all rows without any), in no single task.
 
@@ -142,10 +161,12 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
         for g, a, b, won, margin in zip(day["game_id"], day["team1_key"], day["team2_key"], day["team1_win"], day["margin"], strict=True):
             ra, rb = rating.get(a, START), rating.get(b, START)
             expected = 1 / (1 + 10 ** ((rb - ra) / 400))
+            out.append((g, ra, rb, expected))
+            if won != won:  # no result yet: it reads the ratings and moves none
+                continue
             delta = K * (1 + margin) * (won - expected)
             moves[a] = moves.get(a, 0.0) + delta
             moves[b] = moves.get(b, 0.0) - delta
-            out.append((g, ra, rb, expected))
         for k, m in moves.items():
             rating[k] = rating.get(k, START) + m
     frame = pd.DataFrame(out, columns=["game_id", "team1_rating", "team2_rating", "team1_expected"])
@@ -159,5 +180,5 @@ def elo(pairs: DataFrame, pool: str = "league_code") -> DataFrame:
     The recurrence runs through all games of a pool in time order, so a pool is one group; pools
     run in parallel. margin (0 to 1) enlarges a step. A pool's games must fit a task: some 100 bytes each.
     """
-    rows = pairs.select(F.col(pool).alias("pool"), "game_id", "event_date", "team1_key", "team2_key", "team1_win", "margin")
+    rows = pairs.select(F.col(pool).alias("pool"), "game_id", "event_date", "team1_key", "team2_key", F.col("team1_win").cast("double").alias("team1_win"), F.col("margin").cast("double").alias("margin"))
     return rows.groupBy("pool").applyInPandas(_fold, "pool string, game_id string, team1_rating double, team2_rating double, team1_expected double")

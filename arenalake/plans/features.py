@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arenalake.functions import columns as C
 from arenalake.operators import features as X
+from arenalake.operators import history as H
 from arenalake.plans import gold as GP
 from arenalake.plans import history as HP
 from arenalake.plans import reports as RP
@@ -47,11 +48,46 @@ def prematch_features(spark, sf_dir):
     return out.select("game_id", "is_future", "team1_prior_games", "team2_prior_games", "diff_prior_days_since", r4("diff_prior_win_rate"), "h2h_games", r4("h2h_team1_rate"), "label_team1_win")
 
 
+LATER = "2001-01-01"
+
+
+def played_and_coming(spark, sf_dir):
+    """Pairs before LATER, and those from then on without what only a played game has."""
+    pairs = GP.pairs(spark, sf_dir, "nation")
+    later = F.col("event_date") >= F.lit(LATER).cast("date")
+    unknown = [f"team{i}_{m}" for i in (1, 2) for m in ("win", "kills", "deaths", "gold", *H.MEASURES)] + ["game_length_seconds"]
+    kinds = dict(pairs.dtypes)
+    return pairs.where(~later), pairs.where(later).withColumns({c: F.lit(None).cast(kinds[c]) for c in unknown})
+
+
+def assembled(spark, sf_dir):
+    played, coming = played_and_coming(spark, sf_dir)
+    facts = GP.G.player_facts(GP.participants(spark, sf_dir), GP.entrants(spark, sf_dir, "nation"))
+    return X.assembled(played, facts.where(F.col("event_date") < F.lit(LATER).cast("date")), coming)
+
+
+@query(f"""{_PREMATCH.replace("pairs AS (SELECT * REPLACE", GP.S.participants_sql().strip() + ", pairs AS (SELECT * REPLACE", 1)},
+s AS (SELECT game_id, event_date, 1 AS slot, team1_key AS team_key, team1_win AS win, patch_version, split_name FROM pairs UNION ALL SELECT game_id, event_date, 2, team2_key, team2_win, patch_version, split_name FROM pairs),
+pf AS (SELECT s.game_id, s.slot, count(p.game_id) AS n FROM s LEFT JOIN s p ON p.team_key = s.team_key AND p.patch_version IS NOT DISTINCT FROM s.patch_version AND p.event_date < s.event_date AND p.win IS NOT NULL GROUP BY 1, 2),
+sf AS (SELECT s.game_id, s.slot, CASE WHEN count(p.game_id) = 0 THEN 0.5 ELSE sum(p.win) / count(p.game_id) END AS r FROM s LEFT JOIN s p ON p.team_key = s.team_key AND p.split_name IS NOT DISTINCT FROM s.split_name AND p.event_date < s.event_date AND p.win IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT p.*, e.team_key FROM participants p LEFT JOIN entrants e USING (game_id, side) WHERE p.event_date < DATE '{LATER}'),
+ro AS (SELECT game_id, team_key, CASE WHEN lag(roster) OVER r IS NOT NULL THEN len(list_intersect(roster, lag(roster) OVER r)) END AS shared FROM (SELECT game_id, event_date, team_key, list(DISTINCT player_key) AS roster FROM f GROUP BY 1, 2, 3) WINDOW r AS (PARTITION BY team_key ORDER BY event_date, game_id)),
+d AS (SELECT player_key, event_date, count(*) AS n FROM (SELECT DISTINCT game_id, side, player_key, event_date FROM f) GROUP BY 1, 2),
+c AS (SELECT player_key, event_date, coalesce(sum(n) OVER (PARTITION BY player_key ORDER BY event_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM d),
+ex AS (SELECT game_id, team_key, avg(prior) AS m FROM (SELECT DISTINCT game_id, side, team_key, player_key, event_date FROM f) JOIN c USING (player_key, event_date) GROUP BY 1, 2)
+SELECT g.game_id, {_FUTURE} AS is_future, pf.n AS team1_patch_games, {R4.format("x.r - y.r")} AS diff_split_win_rate, ro.shared AS team1_roster_shared, {R4.format("ex.m")} AS team2_mean_experience, team1_win AS label_team1_win
+FROM pairs g JOIN pf ON pf.game_id = g.game_id AND pf.slot = 1 JOIN sf x ON x.game_id = g.game_id AND x.slot = 1 JOIN sf y ON y.game_id = g.game_id AND y.slot = 2
+LEFT JOIN ro ON ro.game_id = g.game_id AND ro.team_key = g.team1_key LEFT JOIN ex ON ex.game_id = g.game_id AND ex.team_key = g.team2_key""")
+def prematch_assembled(spark, sf_dir):
+    """All pre-match feature groups joined; ratings and draft pools have queries of their own."""
+    return assembled(spark, sf_dir).select("game_id", "is_future", "team1_patch_games", r4("diff_split_win_rate"), F.col("team1_roster_shared").cast("long").alias("team1_roster_shared"), r4("team2_mean_experience"), "label_team1_win")
+
+
 @query(f"""{HP.SIDES_SQL}, r AS (SELECT game_id, slot, coalesce(avg(kills) OVER w, 0) AS k, coalesce(avg(kills_against) OVER w, 0) AS a FROM sides WINDOW w AS (PARTITION BY team_key ORDER BY event_date, game_number, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
 SELECT x.game_id, {R4.format("x.k")} AS team1_kills_mean_10, {R4.format("(x.k + y.k) / 2")} AS avg_kills_mean_10, {R4.format("x.a - y.a")} AS diff_kills_against_mean_10, team1_kills + team2_kills AS target_total_kills
 FROM r x JOIN r y ON x.game_id = y.game_id AND x.slot = 1 AND y.slot = 2 JOIN pairs p ON p.game_id = x.game_id""")
 def totals_features(spark, sf_dir):
-    out = X.totals_features(GP.pairs(spark, sf_dir, "nation"))
+    out = X.totals_features(GP.pairs(spark, sf_dir, "nation"), markets=("kills",))
     return out.select("game_id", r4("team1_kills_mean_10"), r4("avg_kills_mean_10"), r4("diff_kills_against_mean_10"), "target_total_kills")
 
 

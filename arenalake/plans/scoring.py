@@ -8,8 +8,13 @@ from arenalake.functions import columns as C
 from arenalake.operators import history as H
 from arenalake.operators import ml as M
 from arenalake.operators import schedules as X
+from arenalake.functions import market
+from arenalake.operators import features as X_FEATURES
+from arenalake.plans import features as FP
 from arenalake.plans import gold as GP
 from arenalake.plans.registry import query
+from arenalake.sources import files
+from arenalake.sources.files import materialise
 from arenalake.sources.standin import table
 
 NOW = "2000-06-01 00:00:00"
@@ -175,6 +180,39 @@ def win_model_predictions(spark, sf_dir):
     return model.transform(rows.where("split = 'test'")).select("game_id", "label", p.alias("p"), (1 / p).alias("fair_odds"))
 
 
+PREMATCH = [
+    f"{p}_{c}" for c in ("prior_games", "prior_win_rate", "prior_days_since", "recent_rate", "streak", "patch_games", "patch_win_rate", "split_games", "split_win_rate", "roster_shared", "mean_experience", "unique_25", "top5_share")
+    for p in ("team1", "team2", "diff")
+] + ["team1_rating", "team2_rating", "diff_rating", "team1_expected", "h2h_games", "h2h_team1_rate"]
+
+
+@query()
+def future_win_scores(spark, sf_dir):
+    """Matches to come: fitted on all played games, saved as a run, loaded by its pointer; unknown leagues are told."""
+    rows = materialise(FP.assembled(spark, sf_dir).select("game_id", "league_code", "is_future", F.col("label_team1_win").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in PREMATCH]), "prematch")
+    played = rows.where("not is_future")
+    seen = sorted(r[0] for r in played.select("league_code").distinct().collect() if r[0])  # leagues, a dimension
+    root = files.scratch_dir(spark, "win-model")
+    M.save_run(M.win_model("logistic", PREMATCH, ["league_code"], "label").fit(played), root, "run", {"leagues": seen, "features": PREMATCH})
+    model, about = M.load_run(root)
+    p = M.probability()
+    scored = model.transform(rows.where("is_future")).withColumn("p", p)
+    return scored.select("game_id", "p", market.fair_odds(F.col("p")).alias("fair_team1"), market.fair_odds(1 - F.col("p")).alias("fair_team2"), F.when(~F.col("league_code").isin(about["leagues"]), "unknown league").alias("warning"))
+
+
+@query()
+def future_kills_quotes(spark, sf_dir):
+    """Matches to come: ridge on total kills, quotes at the default line with the market's overdispersion."""
+    played, coming = FP.played_and_coming(spark, sf_dir)
+    rows = materialise(X_FEATURES.totals_features(played, (10,), ("kills", "kills_against"), ("kills",), coming), "totals")
+    numeric = [c for c in rows.columns if c.startswith(("avg_", "diff_")) and "_mean_" in c] + ["baseline_kills"]
+    cast = rows.select("game_id", "league_code", "is_future", *[F.col(c).cast("double").alias(c) for c in (*numeric, "target_total_kills")])
+    model = M.totals_model("ridge", numeric, ["league_code"], "target_total_kills").fit(cast.where("not is_future"))
+    predicted = model.transform(cast).withColumnRenamed("prediction", "mu_kills")
+    alpha = M.regression_metrics(predicted.where("not is_future"), [], "target_total_kills", "mu_kills").first()["alpha"]
+    return X_FEATURES.model_quotes(predicted.where("is_future"), {"kills": alpha or 0.0}, {"kills": X_FEATURES.LINES["kills"]})
+
+
 @query()
 def win_model_selection(spark, sf_dir):
     return M.select_model(M.evaluate_folds(training_rows(spark, sf_dir), ("logistic", "boosted"), 2, NUMERIC, ["league_code"], "label", trees=5))

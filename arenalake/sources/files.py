@@ -25,6 +25,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write df as Parquet in the shared folder and read it back with the same schema."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of schema in order: missing ones null, others cast; bad values become null."""
     have = set(df.columns)
