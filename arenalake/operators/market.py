@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -52,6 +52,59 @@ def recommend(sides: DataFrame, least_edge: float = 0.03, least_ev: float = 0.02
     return fit.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
+def score_both_sides(sheet: DataFrame, predictions: DataFrame, least_edge: float = 0.0, least_ev: float = 0.0, least_kelly: float = 0.0) -> DataFrame:
+    """Each sheet row with the measures of both sides and the recommended one, in board order; no row is lost.
+
+    sheet: match_id, team1_odds, team2_odds; predictions: match_id, p. A row that can't be scored has
+    score_error and no measures. Both sides are in one row, so nothing is grouped. Recommended
+    rows come first, by EV, edge and match_id.
+    """
+    j = sheet.join(predictions, "match_id", "left")
+    error = (
+        F.when(F.col("team1_odds").isNull() | F.col("team2_odds").isNull(), "missing odds").when((F.col("team1_odds") <= 1) | (F.col("team2_odds") <= 1), "odds must exceed 1")
+        .when(F.col("p").isNull(), "no prediction")
+    )
+
+    def side(i: int, p: Column) -> Column:
+        odds, other = F.col(f"team{i}_odds"), F.col(f"team{3 - i}_odds")
+        edge = p - M.devig(odds, other)
+        return F.struct(M.expected_value(p, odds).alias("ev"), edge.alias("edge"), M.kelly(p, odds).alias("kelly"), p.alias("probability"), F.lit(-i).alias("rank"), F.lit(f"team{i}").alias("selection"), odds.alias("odds"))
+
+    scored = j.withColumn("score_error", error).withColumn("sides", F.when(error.isNull(), F.array(side(1, F.col("p")), side(2, 1 - F.col("p")))))
+    fits = lambda s: (s["ev"] >= least_ev) & (s["edge"] >= least_edge) & (s["kelly"] >= least_kelly)
+    best = scored.withColumn("best", F.array_max(F.filter("sides", fits)))
+    measures = {f"team{i}_{m}_pct": F.col("sides")[i - 1][m] * 100 for i in (1, 2) for m in ("edge", "ev", "kelly")}
+    chosen = {"recommended_selection": F.col("best.selection"), "recommended_odds": F.col("best.odds"), "recommended_ev_pct": F.col("best.ev") * 100, "recommended_edge_pct": F.col("best.edge") * 100}
+    out = best.withColumns({"score_available": F.col("score_error").isNull(), "recommend_bet": F.col("best").isNotNull()} | measures | chosen).drop("sides", "best")
+    return out.orderBy(F.desc("recommend_bet"), F.desc_nulls_last("recommended_ev_pct"), F.desc_nulls_last("recommended_edge_pct"), "match_id")
+
+
+def highlights(recommended: DataFrame, n: int = 5) -> DataFrame:
+    """The n best recommended sides: by EV, edge, then the earlier match."""
+    return recommended.orderBy(F.desc("ev"), F.desc("edge"), "match_time", "match_id").limit(n)
+
+
+def bet_records(proposals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open bets with the columns derived from their odds, and proposals that are refused with the reason.
+
+    proposals: bet_id, odds, stake, and fair_odds or model_probability; the one that is missing comes
+    from the other. Null odds or stakes are refused.
+    """
+    odds, fair, p, stake = (F.col(c) for c in ("odds", "fair_odds", "model_probability", "stake"))
+    no = lambda good: ~F.coalesce(good, F.lit(False))
+    reason = (
+        F.when(no(odds > 1), "odds must exceed 1").when(no(stake > 0), "stake must exceed 0").when(fair.isNull() & p.isNull(), "no fair odds or model probability")
+        .when(fair <= 1, "fair odds must exceed 1").when((p <= 0) | (p >= 1), "model probability must be between 0 and 1")
+    )
+    tested = proposals.withColumn("reason", reason)
+    good = tested.where("reason is null").drop("reason").withColumns({"model_probability": F.coalesce(p, 1 / fair), "fair_odds": F.coalesce(fair, 1 / p)})
+    good = good.withColumns({
+        "status": F.lit("open"), "market_implied_probability": 1 / odds, "edge_probability": p - 1 / odds, "ev_per_unit": p * odds - 1,
+        "potential_payout": stake * odds, "potential_profit": stake * (odds - 1),
+    })
+    return good, tested.where("reason is not null").select("bet_id", "reason")
+
+
 DEDUP_KEYS = ("match_time", "team1_name", "team2_name", "bookmaker", "selection", "league_code", "model_name")
 
 

@@ -39,6 +39,43 @@ def issue_rows(issues: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def quality_issues(entrants: DataFrame, participants: DataFrame, series: DataFrame, reconciled: DataFrame, players: int = 10) -> DataFrame:
+    """The eight kinds of issue as rows issue_type, severity, entity_key, game_id, series_key, issue_detail.
+
+    Games and series are grouped once each, whatever the number of kinds. reconciled holds the
+    series with match_id, wiki_id, score_conflict and whether each source covers their day
+    (official_covered, wiki_covered). A key that was made from a name stands for a missing id.
+    """
+    n = lambda what: F.concat(F.lit(f"Expected {what} rows, found "), F.col("n").cast("string"))
+    kind = lambda name, severity, failing, detail: F.when(failing, F.struct(F.lit(name).alias("issue_type"), F.lit(severity).alias("severity"), detail.alias("issue_detail")))
+
+    def rows(df: DataFrame, key: str, kinds: list[Column]) -> DataFrame:
+        found = df.select(F.col(key).alias("entity_key"), F.explode(F.array_compact(F.array(*kinds))).alias("i"))
+        ids = [(F.col("entity_key") if c == key else F.lit(None).cast("string")).alias(c) for c in ("game_id", "series_key")]
+        return found.select("i.issue_type", "i.severity", "entity_key", *ids, "i.issue_detail")
+
+    games = entrants.groupBy("game_id").agg(F.count("*").alias("n"), F.countDistinct("team_key").alias("teams"))
+    people = participants.groupBy("game_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("player_key") == "playername:unknown", 1)).alias("unknown"))
+    no_id = lambda c: F.col(c).isNull() | F.col(c).startswith("teamname:")
+    parts = [
+        rows(games, "game_id", [
+            kind("game_team_count", "error", F.col("n") != 2, n("2 team")),
+            kind("game_same_team_key_both_sides", "warning", F.col("teams") < 2, F.lit("Both sides have the same team_key.")),
+        ]),
+        rows(people, "game_id", [
+            kind("game_player_count", "error", F.col("n") != players, n(f"{players} player")),
+            kind("game_unknown_player_collisions", "warning", F.col("unknown") > 1, F.lit("Several rows of the game have the unknown player.")),
+        ]),
+        rows(series, "series_key", [kind("series_missing_team_id", "warning", no_id("team1_key") | no_id("team2_key"), F.lit("At least one side has no team id."))]),
+        rows(reconciled, "series_key", [
+            kind("official_series_unmatched", "warning", F.col("official_covered") & F.col("match_id").isNull(), F.lit("Inside official coverage, without official match.")),
+            kind("wiki_series_unmatched", "warning", F.col("wiki_covered") & F.col("wiki_id").isNull(), F.lit("Inside wiki coverage, without wiki match.")),
+            kind("multi_source_score_conflict", "warning", F.col("score_conflict"), F.lit("The wiki has another score.")),
+        ]),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 class PublishBlocked(RuntimeError):
     """An error-level check failed; the pointer to the latest snapshot stays where it was."""
 

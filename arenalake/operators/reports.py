@@ -56,6 +56,19 @@ def head_to_head_summary(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
     )
 
 
+def compare_teams(pairs: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """Two rows for each pair that met: both teams' record and means over their common games. Both sides come from one row of pairs."""
+    side = lambda i: F.struct(F.col(f"team{i}_key").alias("team_key"), F.col(f"team{i}_win").alias("win"), *[F.col(f"team{i}_{m}").alias(m) for m in measures])
+    rows = pairs.select("team1_key", "team2_key", "game_length_seconds", F.explode(F.array(side(1), side(2))).alias("s")).select("team1_key", "team2_key", "game_length_seconds", "s.*")
+    g = rows.groupBy("team1_key", "team2_key", "team_key").agg(F.count("*").alias("games"), F.sum("win").alias("wins"), F.avg("game_length_seconds").alias("mean_length"), *[F.avg(m).alias(f"mean_{m}") for m in measures])
+    return g.withColumn("win_pct", percent(F.col("wins"), F.col("games")))
+
+
+def compare_players(facts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Career rows, side by side, of the wanted players (player_key)."""
+    return career(facts.join(wanted.select("player_key").distinct(), "player_key", "left_semi"), ["player_key"])
+
+
 def participant_head_to_head(facts: DataFrame) -> DataFrame:
     """Participants who met in one game on different sides: games and wins of the first."""
     a = facts.select("game_id", F.col("player_key").alias("p1"), F.col("side").alias("s1"), F.col("win").alias("w1"))

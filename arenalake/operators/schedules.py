@@ -39,6 +39,18 @@ def upcoming_wiki(rows: DataFrame, now: str) -> DataFrame:
     )
 
 
+def upcoming_list(matches: DataFrame, league: str | None = None, most: int | None = None) -> DataFrame:
+    """Upcoming matches by time, league and teams, optionally of one league and the first ones only."""
+    rows = matches if league is None else matches.where(F.lower("league") == league.lower())
+    ordered = rows.orderBy("match_time", "league", "team1", "team2", "match_id")
+    return ordered if most is None else ordered.limit(most)
+
+
+def upcoming_by_league(matches: DataFrame) -> DataFrame:
+    """Matches to come by league, with the first and last time."""
+    return matches.groupBy("league").agg(F.count("*").alias("matches"), F.min("match_time").alias("first_time"), F.max("match_time").alias("last_time"))
+
+
 def team_name(team: Column) -> Column:
     return F.coalesce(first_text(team["name"], team["code"], team["slug"]), F.lit(""))
 

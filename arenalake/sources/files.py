@@ -152,6 +152,30 @@ def latest_snapshot(spark: SparkSession, root: str) -> str:
     return json.loads(_read_text(spark, f"{root}/latest.json"))["path"]
 
 
+def write_scored(board: DataFrame, path: str) -> None:
+    """A scored sheet as CSV with header under path/rows, and its one-row summary as JSON under path/summary.
+
+    The summary counts the rows that were written, so the two agree.
+    """
+    board.write.option("header", True).csv(f"{path}/rows")
+    rows = board.sparkSession.read.schema(board.schema).option("header", True).csv(f"{path}/rows")
+    flag = lambda c: F.count(F.when(c, 1))
+    ev = F.floor(F.sum("team1_ev_pct") * 100 + 0.5) / 100
+    summary = rows.agg(F.count("*").alias("rows"), flag(F.col("score_available")).alias("scored"), flag(F.col("recommend_bet")).alias("recommended"), flag(F.col("score_error") == "missing odds").alias("missing_odds"), ev.alias("team1_ev"))
+    summary.write.json(f"{path}/summary")
+
+
+def write_schedule(matches: DataFrame, path: str) -> None:
+    """A schedule as JSON lines, times as ISO text in the session's zone."""
+    times = {f.name: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ssXXX") for f in matches.schema if f.dataType.typeName() == "timestamp"}
+    matches.withColumns(times).write.json(path)
+
+
+def read_schedule(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A published schedule with its types; a time that can't be read is null."""
+    return spark.read.schema(schema).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX").json(path)
+
+
 def publish(df: DataFrame, name: str) -> None:
     """Create or replace a serving table."""
     df.write.mode("overwrite").saveAsTable(name)

@@ -152,3 +152,39 @@ def test_published_split_and_playoff_rules(spark):
     text = {"2026 First Stand Groups Day 2": ("FST", False), "Season Finals": ("Season Finals", True), "LTA Split 2 Quarters": ("Split 2", True), "Regional Gauntlet": ("FST", True), "Fall Week 1": ("FST", False)}
     rows = spark.createDataFrame(list(text), "string").select("value", C.infer_split(F.col("value"), F.lit("FST")).alias("s"), C.is_playoffs(F.col("value")).alias("p")).collect()
     assert {r.value: (r.s, r.p) for r in rows} == text
+
+
+def test_bet_records_refuse_and_derive(spark):
+    rows = [(1, 2.5, 10.0, None, 0.5), (2, 2.5, 10.0, 2.0, None), (3, 1.0, 10.0, None, 0.5), (4, 2.5, 0.0, None, 0.5), (5, 2.5, 10.0, None, None), (6, 2.5, 10.0, 1.0, None), (7, 2.5, 10.0, None, 1.0), (8, None, 10.0, None, 0.5), (9, 2.5, None, None, 0.5)]
+    good, bad = L.bet_records(spark.createDataFrame(rows, "bet_id int, odds double, stake double, fair_odds double, model_probability double"))
+    got = {r["bet_id"]: r for r in good.collect()}
+    assert set(got) == {1, 2}
+    for r in got.values():
+        assert (r["model_probability"], r["fair_odds"], r["market_implied_probability"], r["edge_probability"], r["ev_per_unit"]) == pytest.approx((0.5, 2.0, 0.4, 0.1, 0.25))
+        assert (r["potential_payout"], r["potential_profit"], r["status"]) == (25.0, 15.0, "open")
+    assert {r["bet_id"]: r["reason"].split(" must")[0] for r in bad.collect()} == {
+        3: "odds", 4: "stake", 5: "no fair odds or model probability", 6: "fair odds", 7: "model probability", 8: "odds", 9: "stake",
+    }
+
+
+def test_scored_sheet_keeps_every_row_and_puts_recommended_first(spark):
+    sheet = spark.createDataFrame([(1, 2.0, 2.0), (2, 3.0, 1.5), (3, None, 2.0), (4, 1.0, 2.0), (5, 1.5, 2.0), (6, 1.9, 1.9)], "match_id int, team1_odds double, team2_odds double")
+    p = spark.createDataFrame([(1, 0.6), (2, 0.5), (3, 0.5), (4, 0.5), (6, 0.5)], "match_id int, p double")
+    got = L.score_both_sides(sheet, p).collect()
+    assert [r["match_id"] for r in got[:2]] == [2, 1] and sorted(r["match_id"] for r in got) == [1, 2, 3, 4, 5, 6]
+    by = {r["match_id"]: r for r in got}
+    assert (by[2]["recommended_selection"], by[2]["recommended_odds"]) == ("team1", 3.0) and by[2]["recommended_ev_pct"] == pytest.approx(50)
+    assert {k: by[k]["score_error"] for k in (3, 4, 5)} == {3: "missing odds", 4: "odds must exceed 1", 5: "no prediction"}
+    assert by[6]["score_available"] and not by[6]["recommend_bet"] and by[3]["team1_ev_pct"] is None
+
+
+def test_all_kinds_of_issue(spark):
+    teams = spark.createDataFrame([("g1", "a"), ("g1", "a"), ("g2", "a")], "game_id string, team_key string")
+    people = spark.createDataFrame([("g1", "playername:unknown")] * 2 + [("g1", f"p{i}") for i in range(8)], "game_id string, player_key string")
+    series = spark.createDataFrame([("s1", "team:1", "teamname:x"), ("s2", "team:1", "team:2")], "series_key string, team1_key string, team2_key string")
+    known = spark.createDataFrame([("s1", None, None, False, True, True), ("s2", "m", "w", True, True, True), ("s3", None, None, False, False, False)], "series_key string, match_id string, wiki_id string, score_conflict boolean, official_covered boolean, wiki_covered boolean")
+    got = sorted((r["issue_type"], r["entity_key"]) for r in Q.quality_issues(teams, people, series, known).collect())
+    assert got == [
+        ("game_same_team_key_both_sides", "g1"), ("game_same_team_key_both_sides", "g2"), ("game_team_count", "g2"), ("game_unknown_player_collisions", "g1"),
+        ("multi_source_score_conflict", "s2"), ("official_series_unmatched", "s1"), ("series_missing_team_id", "s1"), ("wiki_series_unmatched", "s1"),
+    ]
