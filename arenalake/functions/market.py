@@ -34,6 +34,12 @@ def shrink(value: Column, games: Column, prior: Column, weight: float = 8.0) ->
     return (value * games + prior * weight) / (games + weight)
 
 
+def joined_notes(old: Column, new: Column) -> Column:
+    """Notes one after the other; blank ones add nothing, and without any the text is empty."""
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.concat_ws(" | ", filled(old), filled(new))
+
+
 #: Lines above this give no probability.
 HIGHEST_LINE = 100_000
 

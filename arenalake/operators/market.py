@@ -125,9 +125,13 @@ def append_bets(ledger: DataFrame, proposals: DataFrame, stake: float = 1.0) ->
 def settle(bets: DataFrame, settlements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Open bets with their outcome, and settlements that are refused (unknown bet or already settled).
 
-    Outcome is win, loss, push or void; profit is stake x (odds - 1), -stake, or 0.
+    Outcome is win, loss, push or void; profit is stake x (odds - 1), -stake, or 0. Where settlements
+    have settlement_notes, they are joined to the notes of the bet.
     """
     joined = settlements.join(bets, "bet_id", "left")
+    if "settlement_notes" in settlements.columns:
+        old = F.col("notes") if "notes" in bets.columns else F.lit(None).cast("string")
+        joined = joined.withColumn("notes", M.joined_notes(old, F.col("settlement_notes"))).drop("settlement_notes")
     profit = F.when(F.col("outcome") == "win", F.col("stake") * (F.col("odds") - 1)).when(F.col("outcome") == "loss", -F.col("stake")).otherwise(F.lit(0.0))
     good = joined.where("status = 'open' and outcome in ('win', 'loss', 'push', 'void')").withColumns({"profit": profit, "status": F.lit("settled")}).withColumn("roi_pct", F.when(F.col("stake") > 0, F.col("profit") / F.col("stake") * 100))
     reason = F.when(F.col("status").isNull(), "unknown bet").when(F.col("status") != "open", "already settled").otherwise("unknown outcome")

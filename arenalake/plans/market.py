@@ -103,6 +103,15 @@ def ledger_settlement(spark, sf_dir):
     return good.select("bet_id", "outcome", C.rounded(F.col("profit"), 2).alias("profit"))
 
 
+@query(f"""{_BETS}, st AS (SELECT bet_id, status, CASE WHEN bet_id % 2 = 0 THEN ' opened ' END AS a, CASE bet_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE 'closed' END AS b FROM bets)
+SELECT bet_id, CASE WHEN a IS NULL THEN CASE WHEN trim(b) <> '' THEN b ELSE '' END ELSE 'opened' || CASE WHEN trim(b) <> '' THEN ' | closed' ELSE '' END END AS notes FROM st WHERE status = 'open'""")
+def ledger_settlement_notes(spark, sf_dir):
+    k = F.col("bet_id")
+    b = bets(spark, sf_dir).drop("outcome").withColumn("notes", F.when(k % 2 == 0, " opened "))
+    said = F.when(k % 5 == 0, None).when(k % 5 == 1, " ").otherwise("closed")
+    return L.settle(b, b.select("bet_id", F.lit("win").alias("outcome"), said.alias("settlement_notes")))[0].select("bet_id", "notes")
+
+
 @query(f"""{_BETS}, st AS (SELECT bet_id + CASE WHEN bet_id % 5 = 0 THEN 1 ELSE 0 END AS bet_id, CASE WHEN bet_id % 7 = 0 THEN 'maybe' ELSE 'win' END AS outcome FROM bets)
 SELECT st.bet_id, st.outcome, CASE WHEN b.status IS NULL THEN 'unknown bet' WHEN b.status <> 'open' THEN 'already settled' ELSE 'unknown outcome' END AS reason FROM st LEFT JOIN bets b USING (bet_id) WHERE b.status IS NULL OR b.status <> 'open' OR st.outcome = 'maybe'""")
 def ledger_rejects(spark, sf_dir):
