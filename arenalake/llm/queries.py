@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arenalake.llm import mixing, oracle, packing, pstable, quality, secrets, simhash, substrings, topk, toxicity, trie_tokens
+from arenalake.llm import mixing, oracle, packing, periodic, pstable, quality, secrets, simhash, substrings, topk, toxicity, trie_tokens, vantage, whitening
 from arenalake.llm.common import table
 
 #: A public vocabulary of 32,000 pieces.
@@ -56,11 +56,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(table(spark, sf_dir, "documents"), plant=True).drop("collapsed")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_mix_domains, op2_substring_dedup, op3_toxicity, op4_quality, op5_best_fit_packing,
         op6_embedding_dedup, op7_token_counts, op8_exact_top_k, op9_secret_scan, op10_simhash_dedup,
+        op11_vantage_search, op12_periodic_runs, op13_whitening,
     )
 }
 #: The others are beyond SQL (hashes, models, packing); tests hold them against brute force.
