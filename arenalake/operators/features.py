@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from arenalake.functions import columns as C
 from arenalake.functions import market as M
 from arenalake.functions.columns import first_text, infer_split, is_playoffs
 from arenalake.operators import history as H
@@ -16,14 +17,47 @@ from arenalake.operators import reports as R
 LINES = {"kills": 29.5, "dragons": 4.5, "towers": 12.5, "barons": 1.5, "inhibitors": 1.5}
 
 
-def player_experience(facts: DataFrame) -> DataFrame:
-    """Per game and side: mean number of earlier games of its players, and how many have none.
+def player_experience(facts: DataFrame, coming: DataFrame | None = None) -> DataFrame:
+    """Per game and side of the players' earlier games: their mean number, the mean of the players' win rates (0.5
+    without a result), and how many players have none. Games of the same day don't count.
 
-    facts: game_id, side, player_key, event_date. Games of the same day don't count.
+    facts: game_id, side, player_key, event_date, and win if rates are wanted. coming: rosters of games
+    without facts (game_id, side, player_key, event_date); they look back likewise and are seen by none.
     """
-    seen = facts.select("game_id", "side", "player_key", "event_date").distinct()
-    before = seen.withColumn("prior", F.count("*").over(H.before(["player_key"])))
-    return before.groupBy("game_id", "side").agg(F.avg("prior").alias("mean_experience"), F.count(F.when(F.col("prior") == 0, 1)).alias("new_players"))
+    won = F.max("win") if "win" in facts.columns else F.lit(None).cast("int")
+    seen = facts.groupBy("game_id", "side", "player_key", "event_date").agg(won.alias("win")).withColumn("played", F.lit(1))
+    if coming is not None:
+        seen = seen.unionByName(coming.select("game_id", "side", "player_key", "event_date").distinct(), allowMissingColumns=True)
+    w = H.before(["player_key"])
+    rate = C.rate(F.coalesce(F.sum("win").over(w), F.lit(0)), F.count("win").over(w))
+    known = seen.withColumns({"prior": F.count("played").over(w), "rate": rate})
+    return known.groupBy("game_id", "side").agg(
+        F.avg("prior").alias("mean_experience"), F.avg("rate").alias("mean_player_win_rate"), F.count(F.when(F.col("prior") == 0, 1)).alias("new_players")
+    )
+
+
+def rosters_of_coming(rosters: DataFrame, coming: DataFrame, announced: DataFrame | None = None, back: int = 3) -> DataFrame:
+    """Roster of each team of games to come, and what it shares with the team's last rosters: coming's columns with roster,
+    roster_source ('announced', 'last' or null), overlap_previous, overlap_mean.
+
+    rosters: team_key, event_date, series_key, roster of what was played. coming: game_id, team_key, event_date.
+    announced: game_id, team_key, roster. Without an announced roster the last one stands in, and its
+    overlap is the one it had with those before it, as compared with itself it would always be full.
+    """
+    along = W.partitionBy("team_key").orderBy("event_date", "series_key")
+    recent = F.array_compact(F.array(*[F.lag("roster", i).over(along) if i else F.col("roster") for i in range(back)]))
+    state = R.roster_overlap(rosters, back).withColumn("recent", recent)
+    at = H.as_of(state, coming, "team_key", ("event_date", "series_key"), ["roster", "recent", "overlap_previous", "overlap_mean"])
+    if announced is None:
+        return at.withColumn("roster_source", F.when(F.col("roster").isNotNull(), "last")).drop("recent")
+    told = announced.select("game_id", "team_key", F.col("roster").alias("told"))
+    shared = F.transform("recent", lambda r: F.size(F.array_intersect(r, "told")))
+    mean = F.when(F.size("recent") > 0, F.aggregate(shared, F.lit(0.0), lambda x, y: x + y) / F.size("recent"))
+    both, has = at.join(told, ["game_id", "team_key"], "left"), F.col("told").isNotNull()
+    return both.withColumns({
+        "overlap_previous": F.when(has, F.try_element_at(shared, F.lit(1))).otherwise(F.col("overlap_previous")), "overlap_mean": F.when(has, mean).otherwise(F.col("overlap_mean")),
+        "roster_source": F.when(has, "announced").when(F.col("roster").isNotNull(), "last"), "roster": F.coalesce("told", "roster"),
+    }).drop("told", "recent")
 
 
 def prematch(pairs: DataFrame, future: DataFrame | None = None) -> DataFrame:
@@ -45,11 +79,18 @@ def prematch(pairs: DataFrame, future: DataFrame | None = None) -> DataFrame:
     return out.select("game_id", "event_date", "league_code", "team1_key", "team2_key", "is_future", *wide.columns[1:], *diffs, "h2h_games", "h2h_team1_rate", F.col("team1_win").alias("label_team1_win"))
 
 
-def assembled(pairs: DataFrame, facts: DataFrame, future: DataFrame | None = None) -> DataFrame:
-    """prematch() with ratings, form on the patch and in the split, roster overlap, experience and draft pools.
+#: Columns of a side that come from its players and picks, beside the form columns.
+ROSTER_COLUMNS = ("roster_shared", "roster_shared_mean", "mean_experience", "mean_player_win_rate", "new_players", "unique_10", "unique_25", "top5_share", "first_pick_rate_10", "first_pick_rate_25")
+SIDE_COLUMNS = ("patch_games", "patch_win_rate", "split_games", "split_win_rate", *ROSTER_COLUMNS)
+
 
-    facts: game_id, side, team_key, event_date, player_key, champion_name of played games. What only a
-    played game has (players, picks) is null for future rows.
+def assembled(pairs: DataFrame, facts: DataFrame, future: DataFrame | None = None, announced: DataFrame | None = None) -> DataFrame:
+    """prematch() with ratings, form on the patch and in the split, roster overlap, experience, draft pools and first picks.
+
+    facts: game_id, side, team_key, event_date, player_key, champion_name, win of played games. Rows of future
+    have the state of each team's latest played games: its last roster (or the announced one, game_id,
+    team_key, roster) with its players' games so far, and its last picks. team<i>_roster_source says
+    which ('played' for games that were).
     """
     base = prematch(pairs, future)
     rows = pairs if future is None else pairs.unionByName(future, allowMissingColumns=True)
@@ -57,13 +98,28 @@ def assembled(pairs: DataFrame, facts: DataFrame, future: DataFrame | None = Non
     ratings = H.elo(rows.withColumn("margin", margin)).drop("pool").withColumn("diff_rating", F.col("team1_rating") - F.col("team2_rating"))
     sides = H.sides(rows)
     form = H.prior_totals(H.prior_totals(sides, ["team_key", "patch_version"], "patch"), ["team_key", "split_name"], "split")
-    rosters = facts.groupBy(F.col("game_id").alias("series_key"), "event_date", "team_key").agg(F.array_sort(F.collect_set("player_key")).alias("roster"))
-    overlap = R.roster_overlap(rosters).select(F.col("series_key").alias("game_id"), "team_key", F.col("overlap_previous").alias("roster_shared"), F.col("overlap_mean").alias("roster_shared_mean"))
-    players = player_experience(facts).join(facts.select("game_id", "side", "team_key").distinct(), ["game_id", "side"]).drop("side")
-    each = form.join(overlap, ["game_id", "team_key"], "left").join(players, ["game_id", "team_key"], "left").join(R.draft_pool(facts), ["game_id", "team_key"], "left")
-    cols = ["patch_games", "patch_win_rate", "split_games", "split_win_rate", "roster_shared", "roster_shared_mean", "mean_experience", "new_players", "unique_10", "unique_25", "top5_share"]
+    own = facts.where("team_key is not null")
+    rosters = own.groupBy(F.col("game_id").alias("series_key"), "event_date", "team_key").agg(F.array_sort(F.collect_set("player_key")).alias("roster"))
+    overlap = R.roster_overlap(rosters).select(F.col("series_key").alias("game_id"), "team_key", F.col("overlap_previous").alias("roster_shared"), F.col("overlap_mean").alias("roster_shared_mean"), F.lit("played").alias("roster_source"))
+    first = own.groupBy("game_id", "team_key", "event_date").agg(F.max((F.col("side") == "blue").cast("int")).alias("first_pick"))
+    asks = fielded = None
+    if future is not None:
+        asks = H.sides(future).select("game_id", "team_key", "event_date")
+        ahead = rosters_of_coming(rosters, asks, announced)
+        overlap = overlap.unionByName(ahead.select("game_id", "team_key", F.col("overlap_previous").alias("roster_shared"), F.col("overlap_mean").alias("roster_shared_mean"), "roster_source"))
+        # A team stands for a side of a game to come.
+        fielded = ahead.select("game_id", F.col("team_key").alias("side"), "event_date", F.explode("roster").alias("player_key"))
+    players = player_experience(facts, fielded)
+    teams = own.select("game_id", "side", "team_key").distinct()
+    if asks is not None:
+        teams = teams.unionByName(asks.select("game_id", F.col("team_key").alias("side"), "team_key"))
+    players = players.join(teams, ["game_id", "side"]).drop("side")
+    each = form
+    for more in (overlap, players, R.draft_pool(facts, coming=asks), first_pick_rates(first, asks)):
+        each = each.join(more, ["game_id", "team_key"], "left")
+    cols = [*SIDE_COLUMNS, "roster_source"]
     wide = each.groupBy("game_id").agg(*[F.max(F.when(F.col("slot") == i, F.col(c))).alias(f"team{i}_{c}") for i in (1, 2) for c in cols])
-    diffs = {f"diff_{c}": F.col(f"team1_{c}") - F.col(f"team2_{c}") for c in cols}
+    diffs = {f"diff_{c}": F.col(f"team1_{c}") - F.col(f"team2_{c}") for c in SIDE_COLUMNS}
     return base.join(ratings, "game_id").join(wide, "game_id").withColumns(diffs)
 
 
@@ -75,7 +131,7 @@ def totals_features(pairs: DataFrame, spans: tuple[int, ...] = (5, 10, 30), metr
     """Both sides' rolling metrics, averages and differences, targets and trailing baselines of the markets.
 
     Rows without a target go, but for the rows of future, whose targets are null; those look back on
-    the last played games, and their baseline is the mean of the last 400 games of all.
+    the last played games before their day, for the baselines too, however many of them there are.
     """
     rolled = H.rolling(H.sides(pairs), list(metrics), spans).withColumn("is_future", F.lit(False))
     games = pairs.withColumn("is_future", F.lit(False))
@@ -87,9 +143,8 @@ def totals_features(pairs: DataFrame, spans: tuple[int, ...] = (5, 10, 30), metr
     wide = rolled.groupBy("game_id").agg(*[F.max(F.when(F.col("slot") == i, F.col(c))).alias(f"team{i}_{c}") for i in (1, 2) for c in names])
     targets = {f"target_total_{m}": F.col(f"team1_{m}") + F.col(f"team2_{m}") for m in markets}
     out = games.withColumns(targets).where(F.col("is_future") | F.col(f"target_total_{markets[0]}").isNotNull())
-    for m in markets:
-        out = H.baseline(out, f"target_total_{m}").withColumnsRenamed({"baseline_mean": f"baseline_{m}", "baseline_source": f"baseline_{m}_source"})
-        out = out.drop("trailing_mean", "trailing_count", "patch_mean", "patch_count", "league_mean", "league_count")
+    out = H.baselines(out, list(targets))
+    out = out.withColumnsRenamed({f"target_total_{m}_{old}": f"baseline_{m}{new}" for m in markets for old, new in (("baseline", ""), ("source", "_source"))})
     pairwise = {f"avg_{c}": (F.col(f"team1_{c}") + F.col(f"team2_{c}")) / 2 for c in names} | {f"diff_{c}": F.col(f"team1_{c}") - F.col(f"team2_{c}") for c in names}
     kept = [c for m in markets for c in (f"baseline_{m}", f"baseline_{m}_source", f"target_total_{m}")]
     return out.join(wide, "game_id").withColumns(pairwise).select("game_id", "event_date", "league_code", "is_future", *wide.columns[1:], *pairwise, *kept)
@@ -184,7 +239,15 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def first_pick_rate(drafts: DataFrame) -> DataFrame:
-    """Share of a team's earlier games in which it stood on the blue side (which picks first)."""
-    w = W.partitionBy("team_key").orderBy("event_date", "game_id").rowsBetween(W.unboundedPreceding, -1)
-    return drafts.withColumn("first_pick_rate", F.coalesce(F.avg((F.col("side") == "blue").cast("int")).over(w), F.lit(0.5)))
+def first_pick_rates(drafts: DataFrame, coming: DataFrame | None = None, spans: tuple[int, ...] = (10, 25)) -> DataFrame:
+    """Share of a team's last n games before each game's day in which it picked first, 0.5 without any.
+
+    drafts: game_id, team_key, event_date, first_pick (0 or 1). coming: game_id, team_key, event_date of games
+    without a draft. Returns game_id, team_key, first_pick_rate_<n>.
+    """
+    order = ("event_date", "game_id")
+    state = drafts.withColumns({f"first_pick_rate_{n}": F.avg("first_pick").over(W.partitionBy("team_key").orderBy(*order).rowsBetween(-n + 1, 0)) for n in spans})
+    asks = drafts.select("game_id", "team_key", "event_date")
+    asks = asks if coming is None else asks.unionByName(coming.select(*asks.columns))
+    known = H.as_of(state, asks, "team_key", order, [f"first_pick_rate_{n}" for n in spans])
+    return known.select("game_id", "team_key", *[F.coalesce(f"first_pick_rate_{n}", F.lit(0.5)).alias(f"first_pick_rate_{n}") for n in spans])

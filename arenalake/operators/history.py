@@ -94,49 +94,78 @@ def rolling_ahead(played: DataFrame, coming: DataFrame, measures: list[str], spa
     return known.withColumns({c: F.coalesce(c, F.lit(0)) for c in state if c != "idx"})
 
 
-def numbered(df: DataFrame, order: list[str], out: str = "position", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Row number by a total order within the keys (over all rows without any), in no single task.
+#: What a trailing mean is taken over: everything, the row's patch, its league.
+LEVELS = (("trailing", None), ("patch", "patch_version"), ("league", "league_code"))
 
-    Rows are numbered within a day, and days get the count of all earlier days: the only
-    wider window is over one row per key and day. Null keys count as a key.
-    """
-    day = order[0]
-    named = df.withColumns({f"__{k}": F.struct(k) for k in keys})  # a struct is never null, so it can be joined on
-    by = [f"__{k}" for k in keys]
-    per_day = named.groupBy(*by, day).agg(F.count("*").alias("n_day"))
-    earlier = W.partitionBy(*by).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
-    offset = per_day.withColumn("offset", F.coalesce(F.sum("n_day").over(earlier), F.lit(0))).drop("n_day")
-    placed = named.withColumn("in_day", F.row_number().over(W.partitionBy(*by, day).orderBy(*order[1:]))).join(offset, [*by, day])
-    return placed.withColumn(out, F.col("in_day") + F.col("offset")).drop("in_day", "offset", *by)
 
+def trailing_means(games: DataFrame, values: list[str], size: int = 400, levels=LEVELS, order: tuple[str, ...] = ("event_date", "game_number", "game_id")) -> DataFrame:
+    """games with <value>_<level>_mean and _count: mean and number of the last `size` values before each row, at each level.
 
-def trailing(df: DataFrame, order: list[str], value: str, size: int = 400, keys: tuple[str, ...] = (), prefix: str = "trailing") -> DataFrame:
-    """Mean and count of value over the `size` rows of the keys before each row (over all rows without keys).
-
-    Halo buckets: every row stands in its own bucket of `size` rows and in the next one, so a
+    Rows with a value see those before them in the order; rows without one (matches to come) see
+    those of earlier days, add nothing and count nothing, so any number of them looks back on the
+    same last values. All values and levels go through one pass of narrow rows: values are numbered
+    within a day, days get the count of all earlier days (the only wider window is over one row per
+    day), and every value stands in its own bucket of `size` values and in the next, so that a
     bucket holds all that its own rows look back on, and a large key is many buckets. Within a
-    bucket the mean is a difference of two running sums, `size` rows apart.
+    bucket a mean is a difference of two running sums. The last column of `order` names a row.
     """
-    at = numbered(df, order, keys=keys).withColumn("own", F.floor((F.col("position") - 1) / size))
-    halo = at.withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    along = W.partitionBy(*keys, "bucket").orderBy("position")
-    running = along.rowsBetween(W.unboundedPreceding, -1)
-    sums = halo.withColumns({"__s": F.coalesce(F.sum(value).over(running), F.lit(0)), "__n": F.count(value).over(running)})
-    then = {c: F.coalesce(F.lag(c, size).over(along), F.lit(0)) for c in ("__s", "__n")}
-    out = sums.withColumns({"__s": F.col("__s") - then["__s"], "__n": F.col("__n") - then["__n"]}).where("own = bucket")
-    mean = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n"))
-    return out.withColumns({f"{prefix}_mean": mean, f"{prefix}_count": F.col("__n")}).drop("own", "bucket", "position", "__s", "__n")
+    day, name = order[0], order[-1]
+    key = lambda k: F.struct((F.col(k).cast("string") if k else F.lit(None).cast("string")).alias("k"))  # noqa: E731  a struct is never null, so it can be joined on
+    level = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), key(k).alias("key")) for n, k in levels]))
+    value = F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])
+    long = games.select(*order, level.alias("l"), value.alias("vs")).select(*order, "l.*", F.explode("vs").alias("x")).select(*order, "level", "key", "x.*")
+    by = ["level", "key", "name"]
+    per_day = long.groupBy(*by, day).agg(F.count("v").alias("n_day"))
+    earlier = W.partitionBy(*by).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
+    offset = per_day.select(*by, day, F.coalesce(F.sum("n_day").over(earlier), F.lit(0)).alias("earlier"))
+    in_day = F.count("v").over(W.partitionBy(*by, day).orderBy(*order[1:]).rowsBetween(W.unboundedPreceding, -1))
+    at = long.withColumn("in_day", in_day).join(offset, [*by, day])
+    valued = at.where("v is not null").select(*by, name, "v", (F.col("earlier") + F.col("in_day")).alias("seen"))
+    own = F.floor(F.col("seen") / size)
+    halo = valued.withColumn("own", own).withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    along = W.partitionBy(*by, "bucket").orderBy("seen")
+    summed = halo.withColumn("s", F.sum("v").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    back = lambda n: F.coalesce(F.lag("s", n).over(along), F.lit(0.0))
+    state = summed.withColumns({"before": back(1) - back(size + 1), "after": F.col("s") - back(size)}).where("own = bucket")
+    mean = lambda s, n: F.when(n > 0, F.col(s) / n)
+    n_before, n_after = F.least("seen", F.lit(size)), F.least(F.col("seen") + 1, F.lit(size))
+    known = state.select("level", "name", name, mean("before", n_before).alias("m"), n_before.alias("n"))
+    last = state.select(*by, (F.col("seen") + 1).alias("earlier"), mean("after", n_after).alias("m"), n_after.alias("n"))
+    waiting = at.where("v is null").select(*by, name, "earlier").join(last, [*by, "earlier"], "left").select("level", "name", name, "m", F.coalesce("n", F.lit(0)).alias("n"))
+    found = known.unionByName(waiting)
+    this = lambda v, n, c: F.max(F.when((F.col("name") == v) & (F.col("level") == n), F.col(c)))
+    wide = found.groupBy(name).agg(*[this(v, n, c).alias(f"{v}_{n}_{a}") for v in values for n, _ in levels for a, c in (("mean", "m"), ("count", "n"))])
+    return games.join(wide, name)
+
+
+def baselines(games: DataFrame, values: list[str], size: int = 400, enough: int = 50) -> DataFrame:
+    """trailing_means() and, from them, <value>_baseline and <value>_source: the patch's mean if it has enough games, else the league's, else that of all."""
+    out = trailing_means(games, values, size)
+    for v in values:
+        patch, league = F.col(f"{v}_patch_count") >= enough, F.col(f"{v}_league_count") >= enough
+        best = F.when(patch, F.col(f"{v}_patch_mean")).when(league, F.col(f"{v}_league_mean")).otherwise(F.coalesce(f"{v}_trailing_mean", F.lit(0.0)))
+        out = out.withColumns({f"{v}_baseline": best, f"{v}_source": F.when(patch, "patch").when(league, "league").otherwise("global")})
+    return out
 
 
 def baseline(games: DataFrame, value: str, size: int = 400, enough: int = 50) -> DataFrame:
-    """Trailing mean of the patch if it has enough games, else of the league, else of all."""
-    order = ["event_date", "game_number", "game_id"]
-    out = trailing(games, order, value, size)
-    for level, key in (("patch", "patch_version"), ("league", "league_code")):
-        out = trailing(out, order, value, size, (key,), level)
-    best = F.when(F.col("patch_count") >= enough, F.col("patch_mean")).when(F.col("league_count") >= enough, F.col("league_mean")).otherwise(F.coalesce("trailing_mean", F.lit(0.0)))
-    source = F.when(F.col("patch_count") >= enough, "patch").when(F.col("league_count") >= enough, "league").otherwise("global")
-    return out.withColumns({"baseline_mean": best, "baseline_source": source})
+    """baselines() of one value, as trailing_mean, trailing_count (patch_, league_ likewise), baseline_mean and baseline_source."""
+    out = baselines(games, [value], size, enough)
+    named = {f"{value}_{n}_{a}": f"{n}_{a}" for n, _ in LEVELS for a in ("mean", "count")}
+    return out.withColumnsRenamed(named | {f"{value}_baseline": "baseline_mean", f"{value}_source": "baseline_source"})
+
+
+def as_of(state: DataFrame, asks: DataFrame, key: str, order: tuple[str, ...], cols: list[str]) -> DataFrame:
+    """asks with `cols` of the last row of state before each ask's day (nulls if there is none): state carried forward.
+
+    State rows are numbered along `order` (its first column is the day); an ask reads the number
+    that had been reached before its day. asks keep their columns, and need the key and the day.
+    """
+    day = order[0]
+    at = state.withColumn("__i", F.row_number().over(W.partitionBy(key).orderBy(*order))).select(key, "__i", *cols)
+    both = asks.withColumn("__own", F.lit(True)).unionByName(state.select(key, day, F.lit(False).alias("__own")), allowMissingColumns=True)
+    known = both.withColumn("__i", F.sum(F.when(F.col("__own"), 0).otherwise(1)).over(before([key], day))).where("__own")
+    return known.join(at, [key, "__i"], "left").select(*asks.columns, *cols)
 
 
 def recency_weighted(rows: DataFrame, keys: list[str], value: str, as_of: str, days: float) -> DataFrame:

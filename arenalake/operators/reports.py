@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from arenalake.functions.columns import kda, ladder, percent
+from arenalake.operators.history import as_of
 
 ROLE_ORDER = {"top": 1, "jng": 2, "mid": 3, "bot": 4, "sup": 5}
 
@@ -179,15 +180,22 @@ def roster_overlap(rosters: DataFrame, back: int = 3) -> DataFrame:
     return rosters.withColumns({"overlap_previous": known[0], "overlap_mean": mean})
 
 
-def draft_pool(facts: DataFrame, games: int = 25) -> DataFrame:
+def draft_pool(facts: DataFrame, games: int = 25, coming: DataFrame | None = None) -> DataFrame:
     """Per team and game: different champions in the last 10 and `games` games before it, and the share of the five most played.
 
+    coming: game_id, team_key, event_date of games without picks; they look back on the team's last games
+    before their day, and no game looks back on them.
+
     Every pick is sent to the `games` games that look back on it and counted there by champion, so the
     work grows with the picks and no list of picks is searched.
     """
     picks = facts.where("team_key is not null").groupBy("team_key", "event_date", "game_id").agg(F.collect_list("champion_name").alias("picks"))
-    at = picks.withColumn("idx", F.row_number().over(W.partitionBy("team_key").orderBy("event_date", "game_id")))
-    each = at.select("team_key", "idx", F.explode("picks").alias("champion"))
+    numbered = picks.withColumn("idx", F.row_number().over(W.partitionBy("team_key").orderBy("event_date", "game_id")))
+    at = numbered
+    if coming is not None:
+        ahead = as_of(numbered, coming.select("game_id", "team_key", "event_date"), "team_key", ("event_date", "game_id"), ["idx"])
+        at = at.unionByName(ahead.withColumn("idx", F.coalesce("idx", F.lit(0)) + 1), allowMissingColumns=True)
+    each = numbered.select("team_key", "idx", F.explode("picks").alias("champion"))
     sent = each.select("team_key", "champion", F.col("idx"), F.explode(F.sequence(F.lit(1), F.lit(games))).alias("back")).withColumn("idx", F.col("idx") + F.col("back"))
     counted = sent.groupBy("team_key", "idx", "champion").agg(F.count("*").alias("n"), F.min("back").alias("nearest"))
     most = F.aggregate(F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 5), F.lit(0).cast("long"), lambda a, x: a + x)

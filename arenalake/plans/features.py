@@ -21,11 +21,13 @@ def r4(c):
 R4 = "floor(({}) * 10000 + 0.5) / 10000"
 
 
-@query(f"""{GP.P_SQL}, s AS (SELECT DISTINCT game_id, side, player_key, event_date FROM participants), d AS (SELECT player_key, event_date, count(*) AS n FROM s GROUP BY 1, 2),
-c AS (SELECT player_key, event_date, coalesce(sum(n) OVER (PARTITION BY player_key ORDER BY event_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM d)
-SELECT game_id, side, {R4.format("avg(prior)")} AS mean_experience, count(*) FILTER (prior = 0) AS new_players FROM s JOIN c USING (player_key, event_date) GROUP BY 1, 2""")
+@query(f"""{GP.EP_SQL}, s AS (SELECT DISTINCT p.game_id, p.side, p.player_key, p.event_date, e.win FROM participants p LEFT JOIN entrants e ON e.game_id = p.game_id AND e.side = p.side),
+d AS (SELECT player_key, event_date, count(*) AS n, sum(win) AS w, count(win) AS k FROM s GROUP BY 1, 2),
+c AS (SELECT player_key, event_date, coalesce(sum(n) OVER o, 0) AS prior, coalesce(sum(w) OVER o, 0) AS wins, coalesce(sum(k) OVER o, 0) AS known FROM d WINDOW o AS (PARTITION BY player_key ORDER BY event_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT game_id, side, {R4.format("avg(prior)")} AS mean_experience, {R4.format("avg(CASE WHEN known = 0 THEN 0.5 ELSE wins / known END)")} AS mean_player_win_rate, count(*) FILTER (prior = 0) AS new_players FROM s JOIN c USING (player_key, event_date) GROUP BY 1, 2""")
 def player_experience(spark, sf_dir):
-    return X.player_experience(GP.participants(spark, sf_dir)).select("game_id", "side", r4("mean_experience"), "new_players")
+    facts = GP.G.player_facts(GP.participants(spark, sf_dir), GP.entrants(spark, sf_dir))
+    return X.player_experience(facts).select("game_id", "side", r4("mean_experience"), r4("mean_player_win_rate"), "new_players")
 
 
 _FUTURE = "event_date >= DATE '2001-01-01'"
@@ -66,21 +68,70 @@ def assembled(spark, sf_dir):
     return X.assembled(played, facts.where(F.col("event_date") < F.lit(LATER).cast("date")), coming)
 
 
-@query(f"""{_PREMATCH.replace("pairs AS (SELECT * REPLACE", GP.S.participants_sql().strip() + ", pairs AS (SELECT * REPLACE", 1)},
+_LATER_SIDES = f"""{_PREMATCH.replace("pairs AS (SELECT * REPLACE", GP.S.participants_sql().strip() + ", pairs AS (SELECT * REPLACE", 1)},
 s AS (SELECT game_id, event_date, 1 AS slot, team1_key AS team_key, team1_win AS win, patch_version, split_name FROM pairs UNION ALL SELECT game_id, event_date, 2, team2_key, team2_win, patch_version, split_name FROM pairs),
+f AS (SELECT p.*, e.team_key, e.win FROM participants p LEFT JOIN entrants e USING (game_id, side) WHERE p.event_date < DATE '{LATER}')"""
+_LAGS = ", ".join(f"CASE WHEN lag(roster, {i}) OVER r IS NOT NULL THEN len(list_intersect(roster, lag(roster, {i}) OVER r)) END AS o{i}" for i in (1, 2, 3))
+# Games to come all lie after the facts, so a team's state there is that of its last game.
+_ASSEMBLED = f"""{_LATER_SIDES},
 pf AS (SELECT s.game_id, s.slot, count(p.game_id) AS n FROM s LEFT JOIN s p ON p.team_key = s.team_key AND p.patch_version IS NOT DISTINCT FROM s.patch_version AND p.event_date < s.event_date AND p.win IS NOT NULL GROUP BY 1, 2),
 sf AS (SELECT s.game_id, s.slot, CASE WHEN count(p.game_id) = 0 THEN 0.5 ELSE sum(p.win) / count(p.game_id) END AS r FROM s LEFT JOIN s p ON p.team_key = s.team_key AND p.split_name IS NOT DISTINCT FROM s.split_name AND p.event_date < s.event_date AND p.win IS NOT NULL GROUP BY 1, 2),
-f AS (SELECT p.*, e.team_key FROM participants p LEFT JOIN entrants e USING (game_id, side) WHERE p.event_date < DATE '{LATER}'),
-ro AS (SELECT game_id, team_key, CASE WHEN lag(roster) OVER r IS NOT NULL THEN len(list_intersect(roster, lag(roster) OVER r)) END AS shared FROM (SELECT game_id, event_date, team_key, list(DISTINCT player_key) AS roster FROM f GROUP BY 1, 2, 3) WINDOW r AS (PARTITION BY team_key ORDER BY event_date, game_id)),
-d AS (SELECT player_key, event_date, count(*) AS n FROM (SELECT DISTINCT game_id, side, player_key, event_date FROM f) GROUP BY 1, 2),
-c AS (SELECT player_key, event_date, coalesce(sum(n) OVER (PARTITION BY player_key ORDER BY event_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM d),
-ex AS (SELECT game_id, team_key, avg(prior) AS m FROM (SELECT DISTINCT game_id, side, team_key, player_key, event_date FROM f) JOIN c USING (player_key, event_date) GROUP BY 1, 2)
-SELECT g.game_id, {_FUTURE} AS is_future, pf.n AS team1_patch_games, {R4.format("x.r - y.r")} AS diff_split_win_rate, ro.shared AS team1_roster_shared, {R4.format("ex.m")} AS team2_mean_experience, team1_win AS label_team1_win
-FROM pairs g JOIN pf ON pf.game_id = g.game_id AND pf.slot = 1 JOIN sf x ON x.game_id = g.game_id AND x.slot = 1 JOIN sf y ON y.game_id = g.game_id AND y.slot = 2
-LEFT JOIN ro ON ro.game_id = g.game_id AND ro.team_key = g.team1_key LEFT JOIN ex ON ex.game_id = g.game_id AND ex.team_key = g.team2_key""")
+ro AS (SELECT *, (coalesce(o1, 0) + coalesce(o2, 0) + coalesce(o3, 0)) / nullif((o1 IS NOT NULL)::INT + (o2 IS NOT NULL)::INT + (o3 IS NOT NULL)::INT, 0) AS om FROM (
+  SELECT game_id, event_date, team_key, roster, {_LAGS} FROM (SELECT game_id, event_date, team_key, list(DISTINCT player_key) AS roster FROM f WHERE team_key IS NOT NULL GROUP BY 1, 2, 3) WINDOW r AS (PARTITION BY team_key ORDER BY event_date, game_id))),
+last AS (SELECT * FROM ro QUALIFY row_number() OVER (PARTITION BY team_key ORDER BY event_date DESC, game_id DESC) = 1),
+rs AS (SELECT game_id, team_key, o1, om, 'played' AS source FROM ro UNION ALL SELECT s.game_id, s.team_key, l.o1, l.om, CASE WHEN l.roster IS NOT NULL THEN 'last' END FROM s LEFT JOIN last l ON l.team_key = s.team_key WHERE s.event_date >= DATE '{LATER}'),
+ap AS (SELECT DISTINCT game_id, side, player_key, event_date, win FROM f),
+fielded AS (SELECT DISTINCT game_id, team_key, player_key, event_date FROM f WHERE team_key IS NOT NULL UNION ALL SELECT s.game_id, s.team_key, unnest(l.roster), s.event_date FROM s JOIN last l ON l.team_key = s.team_key WHERE s.event_date >= DATE '{LATER}'),
+days AS (SELECT player_key, event_date, count(*) AS n, sum(win) AS w, count(win) AS k FROM ap GROUP BY 1, 2),
+pr AS (SELECT x.game_id, x.team_key, x.player_key, coalesce(sum(n), 0) AS n, coalesce(sum(w), 0) AS w, coalesce(sum(k), 0) AS k FROM fielded x LEFT JOIN days d ON d.player_key = x.player_key AND d.event_date < x.event_date GROUP BY 1, 2, 3),
+ex AS (SELECT game_id, team_key, avg(n) AS m, avg(CASE WHEN k = 0 THEN 0.5 ELSE w / k END) AS r, count(*) FILTER (n = 0) AS fresh FROM pr GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY team_key ORDER BY event_date, game_id) AS i FROM (SELECT team_key, event_date, game_id, list(champion_name) AS picks FROM f WHERE team_key IS NOT NULL GROUP BY 1, 2, 3)),
+ask AS (SELECT team_key, game_id, i FROM n UNION ALL SELECT s.team_key, s.game_id, coalesce(m.i, 0) + 1 FROM s LEFT JOIN (SELECT team_key, max(i) AS i FROM n GROUP BY 1) m ON m.team_key = s.team_key WHERE s.event_date >= DATE '{LATER}'),
+x AS (SELECT team_key, i, unnest(picks) AS c FROM n),
+g25 AS (SELECT a.team_key, a.i, x.c, count(*) AS k, count(*) FILTER (a.i - x.i <= 10) AS k10 FROM (SELECT DISTINCT team_key, i FROM ask) a JOIN x ON x.team_key = a.team_key AND x.i BETWEEN a.i - 25 AND a.i - 1 GROUP BY 1, 2, 3),
+top AS (SELECT *, row_number() OVER (PARTITION BY team_key, i ORDER BY k DESC, c) AS r FROM g25),
+pool AS (SELECT ask.game_id, ask.team_key, coalesce(u10, 0) AS u10, coalesce(u25, 0) AS u25, coalesce(share, 0) AS share FROM ask LEFT JOIN (SELECT team_key, i, count(*) FILTER (k10 > 0) AS u10, count(*) AS u25, sum(k) FILTER (r <= 5) / sum(k) AS share FROM top GROUP BY 1, 2) USING (team_key, i)),
+fp AS (SELECT game_id, team_key, event_date, max((side = 'blue')::INT) AS b FROM f WHERE team_key IS NOT NULL GROUP BY 1, 2, 3),
+fr AS (SELECT game_id, team_key, avg(b) FILTER (r <= 10) AS r10, avg(b) FILTER (r <= 25) AS r25 FROM (SELECT s.game_id, s.team_key, fp.b, row_number() OVER (PARTITION BY s.game_id, s.team_key ORDER BY fp.event_date DESC, fp.game_id DESC) AS r FROM s JOIN fp ON fp.team_key = s.team_key AND fp.event_date < s.event_date) GROUP BY 1, 2),
+each AS (SELECT s.game_id, s.slot, pf.n AS patch_games, sf.r AS split_rate, rs.*, ex.*, pool.*, coalesce(fr.r10, 0.5) AS r10, coalesce(fr.r25, 0.5) AS r25 FROM s JOIN pf USING (game_id, slot) JOIN sf USING (game_id, slot)
+  LEFT JOIN rs USING (game_id, team_key) LEFT JOIN ex USING (game_id, team_key) LEFT JOIN pool USING (game_id, team_key) LEFT JOIN fr USING (game_id, team_key))"""
+
+
+@query(f"""{_ASSEMBLED} SELECT g.game_id, {_FUTURE} AS is_future, a.patch_games AS team1_patch_games, {R4.format("a.split_rate - b.split_rate")} AS diff_split_win_rate, CAST(a.o1 AS BIGINT) AS team1_roster_shared, {R4.format("b.om")} AS team2_roster_shared_mean,
+a.source AS team1_roster_source, {R4.format("b.m")} AS team2_mean_experience, {R4.format("a.r")} AS team1_mean_player_win_rate, CAST(b.fresh AS BIGINT) AS team2_new_players, CAST(a.u10 AS BIGINT) AS team1_unique_10, CAST(b.u25 AS BIGINT) AS team2_unique_25, {R4.format("a.share")} AS team1_top5_share,
+{R4.format("b.r10")} AS team2_first_pick_rate_10, {R4.format("a.r25 - b.r25")} AS diff_first_pick_rate_25, team1_win AS label_team1_win FROM pairs g JOIN each a ON a.game_id = g.game_id AND a.slot = 1 JOIN each b ON b.game_id = g.game_id AND b.slot = 2""")
 def prematch_assembled(spark, sf_dir):
-    """All pre-match feature groups joined; ratings and draft pools have queries of their own."""
-    return assembled(spark, sf_dir).select("game_id", "is_future", "team1_patch_games", r4("diff_split_win_rate"), F.col("team1_roster_shared").cast("long").alias("team1_roster_shared"), r4("team2_mean_experience"), "label_team1_win")
+    """All pre-match feature groups joined, games to come by each team's latest games; ratings have a query of their own."""
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return assembled(spark, sf_dir).select(
+        "game_id", "is_future", "team1_patch_games", r4("diff_split_win_rate"), long("team1_roster_shared"), r4("team2_roster_shared_mean"), "team1_roster_source", r4("team2_mean_experience"), r4("team1_mean_player_win_rate"),
+        long("team2_new_players"), long("team1_unique_10"), long("team2_unique_25"), r4("team1_top5_share"), r4("team2_first_pick_rate_10"), r4("diff_first_pick_rate_25"), "label_team1_win",
+    )
+
+
+_TOTALS = "kills dragons towers barons inhibitors".split()
+_BEFORE = {"patch": "p.patch_version IS NOT DISTINCT FROM g.patch_version", "league": "p.league_code = g.league_code", "global": "true"}
+
+
+def _level_sql(m: str, level: str) -> str:
+    """For every match to come: number and mean of the last 400 values before its day, by looking at them all."""
+    return f"""SELECT game_id, count(*) AS n, avg(v) AS m FROM (SELECT g.game_id, p.v, row_number() OVER (PARTITION BY g.game_id ORDER BY p.event_date DESC, p.game_number DESC, p.game_id DESC) AS r
+    FROM coming g JOIN (SELECT *, team1_{m} + team2_{m} AS v FROM played WHERE team1_{m} + team2_{m} IS NOT NULL) p ON p.event_date < g.event_date AND {_BEFORE[level]}) WHERE r <= 400 GROUP BY 1"""
+
+
+def _coming_sql(m: str) -> str:
+    return f"""SELECT g.game_id, '{m}' AS market, CASE WHEN p.n >= 50 THEN 'patch' WHEN l.n >= 50 THEN 'league' ELSE 'global' END AS source, {R4.format("CASE WHEN p.n >= 50 THEN p.m WHEN l.n >= 50 THEN l.m ELSE coalesce(a.m, 0) END")} AS baseline
+    FROM coming g LEFT JOIN ({_level_sql(m, "patch")}) p USING (game_id) LEFT JOIN ({_level_sql(m, "league")}) l USING (game_id) CROSS JOIN (SELECT avg(v) AS m FROM (SELECT team1_{m} + team2_{m} AS v FROM played WHERE team1_{m} + team2_{m} IS NOT NULL ORDER BY event_date DESC, game_number DESC, game_id DESC LIMIT 400)) a"""
+
+
+@query(f"""{HP._NPAIRS}, played AS (SELECT * FROM pairs WHERE event_date < DATE '{LATER}'), coming AS (SELECT * FROM pairs WHERE event_date >= DATE '{LATER}') {" UNION ALL ".join(map(_coming_sql, _TOTALS))}""")
+def coming_totals_baselines(spark, sf_dir):
+    """Baselines of all five markets for matches to come; none of them changes what the next one looks back on."""
+    played, coming = played_and_coming(spark, sf_dir)
+    games = played.withColumn("ahead", F.lit(False)).unionByName(coming.withColumn("ahead", F.lit(True)))
+    out = H.baselines(games.withColumns({f"total_{m}": F.col(f"team1_{m}") + F.col(f"team2_{m}") for m in _TOTALS}), [f"total_{m}" for m in _TOTALS]).where("ahead")
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("market"), F.col(f"total_{m}_source").alias("source"), F.col(f"total_{m}_baseline").alias("baseline")) for m in _TOTALS]))
+    return out.select("game_id", rows.alias("q")).select("game_id", "q.market", "q.source", C.rounded(F.col("q.baseline"), 4).alias("baseline"))
 
 
 @query(f"""{HP.SIDES_SQL}, r AS (SELECT game_id, slot, coalesce(avg(kills) OVER w, 0) AS k, coalesce(avg(kills_against) OVER w, 0) AS a FROM sides WINDOW w AS (PARTITION BY team_key ORDER BY event_date, game_number, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
@@ -158,9 +209,15 @@ def table_counts(spark, sf_dir):
     return X.table_counts({"entrants": GP.entrants(spark, sf_dir), "participants": GP.participants(spark, sf_dir)})
 
 
-@query(f"{GP.E_SQL} SELECT game_id, team_key, {R4.format('coalesce(avg(CASE WHEN side = ' + chr(39) + 'blue' + chr(39) + ' THEN 1 ELSE 0 END) OVER (PARTITION BY team_key ORDER BY event_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5)')} AS first_pick_rate FROM entrants")
+_RATES = ", ".join(R4.format(f"coalesce(avg(b) FILTER (r <= {n}), 0.5)") + f" AS first_pick_rate_{n}" for n in (10, 25))
+
+
+@query(f"""{HP._NPAIRS}, p AS (SELECT game_id, team_key, event_date, (side = 'blue')::INT AS b FROM entrants)
+SELECT game_id, team_key, {_RATES} FROM (SELECT s.game_id, s.team_key, p.b, row_number() OVER (PARTITION BY s.game_id, s.team_key ORDER BY p.event_date DESC, p.game_id DESC) AS r FROM p s LEFT JOIN p ON p.team_key = s.team_key AND p.event_date < s.event_date) GROUP BY 1, 2""")
 def first_pick_rate(spark, sf_dir):
-    return X.first_pick_rate(GP.entrants(spark, sf_dir)).select("game_id", "team_key", r4("first_pick_rate"))
+    """Share of first picks in the last 10 and 25 games; games of the same day are not seen."""
+    e = GP.entrants(spark, sf_dir, "nation")
+    return X.first_pick_rates(e.select("game_id", "team_key", "event_date", (F.col("side") == "blue").cast("int").alias("first_pick"))).select("game_id", "team_key", r4("first_pick_rate_10"), r4("first_pick_rate_25"))
 
 
 @query(f"""{RP.FACTS_SQL} SELECT count(*) AS rows, count(DISTINCT game_id) AS games, count(DISTINCT player_key) AS players, count(DISTINCT team_key) AS teams, min(event_date) AS first_day, max(event_date) AS last_day FROM facts""")

@@ -181,7 +181,7 @@ def win_model_predictions(spark, sf_dir):
 
 
 PREMATCH = [
-    f"{p}_{c}" for c in ("prior_games", "prior_win_rate", "prior_days_since", "recent_rate", "streak", "patch_games", "patch_win_rate", "split_games", "split_win_rate", "roster_shared", "mean_experience", "unique_25", "top5_share")
+    f"{p}_{c}" for c in ("prior_games", "prior_win_rate", "prior_days_since", "recent_rate", "streak", "patch_games", "patch_win_rate", "split_games", "split_win_rate", "roster_shared", "roster_shared_mean", "mean_experience", "mean_player_win_rate", "new_players", "unique_10", "unique_25", "top5_share", "first_pick_rate_10", "first_pick_rate_25")
     for p in ("team1", "team2", "diff")
 ] + ["team1_rating", "team2_rating", "diff_rating", "team1_expected", "h2h_games", "h2h_team1_rate"]
 
@@ -213,6 +213,32 @@ def future_kills_quotes(spark, sf_dir):
     return X_FEATURES.model_quotes(predicted.where("is_future"), {"kills": alpha or 0.0}, {"kills": X_FEATURES.LINES["kills"]})
 
 
+def totals_rows(spark, sf_dir):
+    """Totals features of played games and of matches to come, all markets, metrics and spans, as a written table."""
+    played, coming = (materialise(df, "pairs") for df in FP.played_and_coming(spark, sf_dir))
+    rows = materialise(X_FEATURES.totals_features(played, future=coming), "totals")
+    return rows.select("game_id", "event_date", "league_code", "is_future", *[F.col(c).cast("double").alias(c) for c, kind in rows.dtypes if kind in ("double", "int", "bigint")])
+
+
+def totals_numeric(rows, market):
+    """What a market's model looks at: pair averages and differences of all rolled means, and the market's baseline."""
+    return [c for c in rows.columns if c.startswith(("avg_", "diff_")) and "_mean_" in c] + [f"baseline_{market}"]
+
+
+@query()
+def future_totals_quotes(spark, sf_dir):
+    """Matches to come: ridge per market on all rolled means, quotes at the default lines with each market's overdispersion."""
+    rows = totals_rows(spark, sf_dir)
+    predicted, alpha = rows, {}
+    for m in X_FEATURES.LINES:  # five fits
+        y = f"target_total_{m}"
+        model = M.totals_model("ridge", totals_numeric(rows, m), ["league_code"], y).fit(rows.where(f"not is_future and {y} is not null"))
+        scored = model.transform(predicted).withColumnRenamed("prediction", f"mu_{m}")
+        alpha[m] = M.regression_metrics(scored.where(f"not is_future and {y} is not null"), [], y, f"mu_{m}").first()["alpha"] or 0.0
+        predicted = scored.select(*predicted.columns, f"mu_{m}")
+    return X_FEATURES.model_quotes(predicted.where("is_future"), alpha)
+
+
 @query()
 def win_model_selection(spark, sf_dir):
     return M.select_model(M.evaluate_folds(training_rows(spark, sf_dir), ("logistic", "boosted"), 2, NUMERIC, ["league_code"], "label", trees=5))

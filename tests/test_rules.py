@@ -109,9 +109,51 @@ def test_publish_gate(spark):
 
 def test_trailing_window_over_all_rows(spark):
     rows = spark.range(300).select((F.lit("2024-01-01").cast("date") + (F.col("id") / 7).cast("int")).alias("event_date"), F.col("id").alias("n"), (F.col("id") * 37 % 101).alias("v"))
-    got = {r.n: r.trailing_mean for r in H.trailing(rows, ["event_date", "n"], "v", 40).collect()}
+    got = {r.n: r for r in H.trailing_means(rows, ["v"], 40, (("all", None),), ("event_date", "n")).collect()}
     v = [i * 37 % 101 for i in range(300)]
-    assert got[0] is None and all(got[i] == pytest.approx(sum(v[max(0, i - 40) : i]) / len(v[max(0, i - 40) : i])) for i in range(1, 300))
+    assert got[0].v_all_mean is None and all(got[i].v_all_mean == pytest.approx(sum(v[max(0, i - 40) : i]) / len(v[max(0, i - 40) : i])) for i in range(1, 300))
+    assert all(got[i].v_all_count == min(i, 40) for i in range(300))
+
+
+def test_a_thousand_games_to_come_have_the_baseline_of_the_first(spark):
+    day = lambda n: (F.lit("2024-01-01").cast("date") + n.cast("int"))
+    i = F.col("id")
+    played = spark.range(100).select(day(i / 3).alias("event_date"), i.alias("game_number"), F.concat(F.lit("G"), i).alias("game_id"), F.lit("P1").alias("patch_version"), F.when(i % 2 == 0, "L").alias("league_code"), F.when(i % 10 != 9, i % 7 + 20).alias("v"), F.lit(3).alias("w"))
+    ahead = spark.range(1000).select(day(F.lit(40) + i / 50).alias("event_date"), (i + 1000).alias("game_number"), F.concat(F.lit("F"), i).alias("game_id"), F.when(i % 4 == 0, "P1").otherwise("P2").alias("patch_version"), F.when(i % 3 == 0, "L").when(i % 3 == 1, "M").alias("league_code"))
+    got = {r.game_id: r for r in H.baselines(played.unionByName(ahead, allowMissingColumns=True), ["v", "w"], 60, 20).collect()}
+    assert len(got) == 1100
+    v = [(n % 7 + 20, n % 2 == 0) for n in range(100) if n % 10 != 9]
+    every, league, none = [x for x, _ in v][-60:], [x for x, even in v if even][-60:], [x for x, even in v if not even][-60:]
+    mean = lambda x: pytest.approx(sum(x) / len(x))
+    for n in range(1000):
+        r = got[f"F{n}"]
+        assert r.v_trailing_mean == mean(every) and r.v_trailing_count == 60 and r.w_trailing_mean == 3
+        want = ("patch", every) if n % 4 == 0 else ("league", league) if n % 3 == 0 else ("global", every) if n % 3 == 1 else ("league", none)
+        assert (r.v_source, r.v_baseline) == (want[0], mean(want[1]))
+    early = {n: [x % 7 + 20 for x in range(n) if x % 10 != 9][-60:] for n in range(1, 100)}
+    for n in range(1, 100):  # a played game without a value looks back on earlier days only
+        known = early[n] if n % 10 != 9 else [x % 7 + 20 for x in range(n - n % 3) if x % 10 != 9][-60:]
+        assert got[f"G{n}"].v_trailing_mean == mean(known)
+
+
+def test_state_carried_forward_to_games_to_come(spark):
+    from arenalake.operators import features as X
+    from arenalake.operators import reports as R
+
+    rows = [("a", 1, "s1", "ABCDE"), ("a", 3, "s2", "ABCDF"), ("a", 3, "s3", "ABCGF"), ("a", 6, "s4", "ABXYZ"), ("b", 2, "s5", "KLMNO")]
+    rosters = spark.createDataFrame([(t, f"2024-01-0{d}", s, list(r)) for t, d, s, r in rows], "team_key string, event_date string, series_key string, roster array<string>").withColumn("event_date", F.to_date("event_date"))
+    coming = spark.createDataFrame([("f1", "a", 4), ("f2", "a", 6), ("f3", "a", 8), ("f4", "b", 2), ("f5", "b", 9), ("f6", "c", 9)], "game_id string, team_key string, d int").select("game_id", "team_key", F.to_date(F.concat(F.lit("2024-01-0"), "d")).alias("event_date"))
+    told = spark.createDataFrame([("f3", "a", list("ABCXQ"))], "game_id string, team_key string, roster array<string>")
+    got = {r.game_id: ("".join(r.roster or []), r.roster_source, r.overlap_previous, r.overlap_mean) for r in X.rosters_of_coming(rosters, coming, told).collect()}
+    # On day 4 and on day 6 itself the last roster is that of s3, which shared 4 with s2 and 3 with s1.
+    assert got == {"f1": ("ABCGF", "last", 4, 3.5), "f2": ("ABCGF", "last", 4, 3.5), "f3": ("ABCXQ", "announced", 3, pytest.approx((3 + 3 + 3) / 3)), "f4": ("", None, None, None), "f5": ("KLMNO", "last", None, None), "f6": ("", None, None, None)}
+    assert X.rosters_of_coming(rosters, coming.limit(0)).count() == 0
+    picks = spark.createDataFrame([(t, f"2024-01-0{d}", s, c) for t, d, s, r in rows for c in r], "team_key string, event_date string, game_id string, champion_name string").withColumn("event_date", F.to_date("event_date"))
+    pool = {r.game_id: (r.unique_10, round(r.top5_share, 4)) for r in R.draft_pool(picks, coming=coming).collect()}
+    assert pool["f1"] == pool["f2"] == (7, round(13 / 15, 4)) and pool["f3"] == (10, round(15 / 20, 4)) and pool["f4"] == (0, 0) and pool["f5"] == (5, 1) and pool["s4"] == (7, round(13 / 15, 4))
+    first = spark.createDataFrame([(s, t, d, i % 2) for i, (t, d, s, _) in enumerate(rows)], "game_id string, team_key string, d int, first_pick int").withColumn("event_date", F.to_date(F.concat(F.lit("2024-01-0"), "d")))
+    rate = {r.game_id: r.first_pick_rate_2 for r in X.first_pick_rates(first, coming, (2,)).collect()}
+    assert rate == {"s1": 0.5, "s2": 0, "s3": 0, "s4": 0.5, "s5": 0.5, "f1": 0.5, "f2": 0.5, "f3": 0.5, "f4": 0.5, "f5": 0, "f6": 0.5}
 
 
 def test_short_names_resolve_by_containment(spark):
