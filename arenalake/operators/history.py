@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from arenalake.functions.columns import rate
+from arenalake.sources.files import materialise, scratch_dir
 
 
 def before(keys: list[str], time: str = "event_date"):
@@ -178,19 +179,36 @@ def recency_weighted(rows: DataFrame, keys: list[str], value: str, as_of: str, d
 
 
 START, K = 1500.0, 32.0
+#: Games of one pool that a task rates at most; more days than that are several periods.
+GAMES_AT_ONCE = 200_000
+_RATED = "pool string, game_id string, team1_rating double, team2_rating double, team1_expected double, team_key string, rating double"
+_RATINGS = "pool string, team_key string, rating double"
+_GAME = ("pool", "game_id", "event_date", "team1_key", "team2_key", "team1_win", "margin")
+
+
+def rating_games(pairs: DataFrame, pool: str = "league_code") -> DataFrame:
+    """The columns of games that ratings read; pool and keys as text, a null pool as a pool of its own. Games without a day go."""
+    text = lambda c, n: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
+    return pairs.where("event_date is not null").select(text(pool, "pool"), F.col("game_id").cast("string").alias("game_id"), "event_date", text("team1_key", "team1_key"), text("team2_key", "team2_key"), F.col("team1_win").cast("double").alias("team1_win"), F.col("margin").cast("double").alias("margin"))
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ratings of one pool. All games of one day read the ratings before it, then all move them."""
+    """Games of a pool and period, and the ratings at its end. All games of one day read the ratings before it, then all move them.
+
+    start1 and start2 are the sides' ratings before the period, null for START.
+    """
     rating: dict[str, float] = {}
     out = []
     pdf = pdf.sort_values(["event_date", "game_id"], kind="stable")
+    for side in ("1", "2"):
+        known = pdf[pdf[f"start{side}"].notna()]
+        rating |= dict(zip(known[f"team{side}_key"], known[f"start{side}"], strict=True))
     for _, day in pdf.groupby("event_date", sort=True):
         moves: dict[str, float] = {}
         for g, a, b, won, margin in zip(day["game_id"], day["team1_key"], day["team2_key"], day["team1_win"], day["margin"], strict=True):
             ra, rb = rating.get(a, START), rating.get(b, START)
             expected = 1 / (1 + 10 ** ((rb - ra) / 400))
-            out.append((g, ra, rb, expected))
+            out.append((g, ra, rb, expected, None, None))
             if won != won:  # no result yet: it reads the ratings and moves none
                 continue
             delta = K * (1 + margin) * (won - expected)
@@ -198,16 +216,80 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
             moves[b] = moves.get(b, 0.0) - delta
         for k, m in moves.items():
             rating[k] = rating.get(k, START) + m
-    frame = pd.DataFrame(out, columns=["game_id", "team1_rating", "team2_rating", "team1_expected"])
+    out += [(None, None, None, None, k, r) for k, r in rating.items()]
+    frame = pd.DataFrame(out, columns=["game_id", "team1_rating", "team2_rating", "team1_expected", "team_key", "rating"])
     frame.insert(0, "pool", pdf["pool"].iloc[0])
     return frame
 
 
-def elo(pairs: DataFrame, pool: str = "league_code") -> DataFrame:
+def _rated_day(games: DataFrame) -> DataFrame:
+    """_fold() of one day by columns and sums, for days with more games of a pool than a task should hold."""
+    ra, rb = (F.coalesce(f"start{i}", F.lit(START)) for i in (1, 2))
+    at = games.withColumns({"team1_rating": ra, "team2_rating": rb}).withColumn("team1_expected", 1 / (1 + F.pow(F.lit(10.0), (F.col("team2_rating") - F.col("team1_rating")) / 400)))
+    delta = F.coalesce(K * (1 + F.col("margin")) * (F.col("team1_win") - F.col("team1_expected")), F.lit(0.0))
+    side = lambda i, d: F.struct(F.col(f"team{i}_key").alias("team_key"), F.col(f"team{i}_rating").alias("r"), d.alias("d"))
+    moved = at.select("pool", F.explode(F.array(side(1, delta), side(2, -delta))).alias("s")).groupBy("pool", "s.team_key").agg((F.max("s.r") + F.sum("s.d")).alias("rating"))
+    none = lambda *names: {n: F.lit(None).cast("string" if n.endswith(("id", "key")) else "double") for n in names}
+    order = [c.split()[0] for c in _RATED.split(", ")]
+    ended = moved.withColumns(none("game_id", "team1_rating", "team2_rating", "team1_expected")).select(*order)
+    return at.withColumns(none("team_key", "rating")).select(*order).unionByName(ended)
+
+
+def rate_period(games: DataFrame, ratings: DataFrame | None, wide: bool = False) -> DataFrame:
+    """Games with the ratings before them (game_id set), and the ratings of their teams at the end (team_key set).
+
+    games: rating_games() of a period that follows all that `ratings` (pool, team_key, rating) come from. A
+    task holds one pool's games of the period; wide: the period is one day, and no task holds a pool.
+    """
+    started = games.select(*_GAME)
+    for i in (1, 2):
+        if ratings is None:
+            started = started.withColumn(f"start{i}", F.lit(None).cast("double"))
+        else:
+            started = started.join(ratings.select("pool", F.col("team_key").alias(f"team{i}_key"), F.col("rating").alias(f"start{i}")), ["pool", f"team{i}_key"], "left")
+    return _rated_day(started) if wide else started.groupBy("pool").applyInPandas(_fold, _RATED)
+
+
+def carried(ratings: DataFrame | None, rated: DataFrame) -> DataFrame:
+    """Ratings of all teams after a period."""
+    new = rated.where("game_id is null").select("pool", "team_key", "rating")
+    return new if ratings is None else new.unionByName(ratings.join(new, ["pool", "team_key"], "left_anti"))
+
+
+def periods(days: list[tuple[object, int]], most: int) -> list[tuple[object, object, bool]]:
+    """(first day, last day, wide) of runs of days with `most` games of a pool at most; a fuller day is a wide period."""
+    out: list[tuple[object, object, bool]] = []
+    held = most + 1
+    for day, n in days:
+        if n > most:
+            out.append((day, day, True))
+            held = most + 1
+        elif held + n > most:
+            out.append((day, day, False))
+            held = n
+        else:
+            out[-1] = (out[-1][0], day, False)
+            held += n
+    return out
+
+
+def elo(pairs: DataFrame, pool: str = "league_code", most: int | None = None) -> DataFrame:
     """Ratings before each game: game_id, pool, both ratings, expected share of the first side.
 
-    The recurrence runs through all games of a pool in time order, so a pool is one group; pools
-    run in parallel. margin (0 to 1) enlarges a step. A pool's games must fit a task: some 100 bytes each.
+    A game reads the ratings before its day, so days follow each other; what follows in one task is one
+    pool's games of a period with `most` of them at most (GAMES_AT_ONCE), whatever the size of the
+    pool. Between periods the ratings lie in the shared folder, one row per team. margin (0 to 1)
+    enlarges a step. Games without a result read ratings and move none; games without a day go.
     """
-    rows = pairs.select(F.col(pool).alias("pool"), "game_id", "event_date", "team1_key", "team2_key", F.col("team1_win").cast("double").alias("team1_win"), F.col("margin").cast("double").alias("margin"))
-    return rows.groupBy("pool").applyInPandas(_fold, "pool string, game_id string, team1_rating double, team2_rating double, team1_expected double")
+    games = materialise(rating_games(pairs, pool), "rating-games")
+    per_day = games.groupBy("event_date", "pool").agg(F.count("*").alias("n")).groupBy("event_date").agg(F.max("n").alias("n"))
+    spans = periods([(r["event_date"], r["n"]) for r in per_day.orderBy("event_date").collect()], most or GAMES_AT_ONCE)  # one row per day
+    cols = ("pool", "game_id", "team1_rating", "team2_rating", "team1_expected")
+    if len(spans) <= 1:
+        return rate_period(games, None, bool(spans) and spans[0][2]).where("game_id is not null").select(*cols)
+    spark, ratings, root = games.sparkSession, None, scratch_dir(games.sparkSession, "rated")
+    for i, (first, last, wide) in enumerate(spans):
+        rate_period(games.where(F.col("event_date").between(F.lit(first), F.lit(last))), ratings, wide).write.parquet(f"{root}/{i}")
+        ratings = materialise(carried(ratings, spark.read.schema(_RATED).parquet(f"{root}/{i}")), "ratings")
+    done = spark.read.schema(_RATED).option("recursiveFileLookup", True).parquet(root)
+    return done.where("game_id is not null").select(*cols)

@@ -8,6 +8,8 @@ from arenalake.functions import columns as C
 from arenalake.operators import history as H
 from arenalake.plans import gold as GP
 from arenalake.plans.registry import query
+from arenalake.sources.files import materialise, scratch_dir
+from arenalake.streaming import jobs
 
 _SIDE = "game_id, game_number, league_code, season_year, split_name, patch_version, event_date, game_length_seconds"
 
@@ -126,7 +128,7 @@ def recency_weighted_form(spark, sf_dir):
     return out.select("team_key", "games", r4("weighted_mean"), r4("weighted_var"))
 
 
-@query(f"""{_NPAIRS.replace('WITH', 'WITH RECURSIVE', 1)},
+_ELO = f"""{_NPAIRS.replace('WITH', 'WITH RECURSIVE', 1)},
 m AS (SELECT *, dense_rank() OVER (PARTITION BY league_code ORDER BY event_date) AS step, least(abs(team1_kills - team2_kills), 10) / 10.0 AS margin FROM pairs),
 e AS (SELECT league_code, step, list({{'g': game_id, 'a': team1_key, 'b': team2_key, 'w': team1_win, 'm': margin}} ORDER BY game_id) AS games FROM m GROUP BY 1, 2),
 r AS (
@@ -140,8 +142,29 @@ r AS (
     FROM r JOIN e ON e.league_code = r.league_code AND e.step = r.step + 1
   )
 )
-SELECT u.g AS game_id, league_code AS pool, floor(u.ra * 100 + 0.5) / 100 AS team1_rating, floor(u.rb * 100 + 0.5) / 100 AS team2_rating FROM (SELECT league_code, unnest(done) AS u FROM r)""")
-def elo_ratings(spark, sf_dir):
+SELECT u.g AS game_id, league_code AS pool, floor(u.ra * 100 + 0.5) / 100 AS team1_rating, floor(u.rb * 100 + 0.5) / 100 AS team2_rating FROM (SELECT league_code, unnest(done) AS u FROM r)"""
+
+
+def rated(spark, sf_dir):
     margin = F.least(F.abs(F.col("team1_kills") - F.col("team2_kills")), F.lit(10)) / 10.0
-    out = H.elo(GP.pairs(spark, sf_dir, "nation").withColumn("margin", margin))
+    return GP.pairs(spark, sf_dir, "nation").withColumn("margin", margin)
+
+
+def _ratings(out):
     return out.select("game_id", "pool", C.rounded(F.col("team1_rating"), 2).alias("team1_rating"), C.rounded(F.col("team2_rating"), 2).alias("team2_rating"))
+
+
+@query(_ELO)
+def elo_ratings(spark, sf_dir):
+    return _ratings(H.elo(rated(spark, sf_dir)))
+
+
+@query(_ELO)
+def online_ratings(spark, sf_dir):
+    """Games land year by year; a run of the stream after each rates them from the ratings the last one left."""
+    games = materialise(H.rating_games(rated(spark, sf_dir)), "games")
+    root = scratch_dir(spark, "online-ratings")
+    for year in range(1995, 2003):
+        games.where(F.year("event_date") == year).write.mode("append").parquet(f"{root}/landed")
+        jobs.rate_landed(spark.readStream.schema(games.schema).parquet(f"{root}/landed"), f"{root}/rated")
+    return _ratings(jobs.landed_ratings(spark, f"{root}/rated"))

@@ -21,7 +21,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="arenalake-"))
+        app = spark.sparkContext.applicationId
+        if app not in _own_dir:
+            _own_dir[app] = tempfile.mkdtemp(prefix="arenalake-")
+        root = _own_dir[app]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -111,6 +114,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders under path; none if it isn't there."""
+    if not _exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if f.isDirectory())
+
+
 def register_views(spark: SparkSession, root: str, names: list[str]) -> list[str]:
     """Temporary views of the Parquet tables under root; absent ones are skipped."""
     found = [n for n in names if _exists(spark, f"{root}/{n}")]

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from arenalake.operators import history as H
+from arenalake.sources import files
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double"
 
 
@@ -91,3 +94,38 @@ def online_ratings(games: DataFrame) -> DataFrame:
     return games.groupBy("pool").transformWithStateInPandas(
         RatingState(), "pool string, game_id string, team1_rating double, team2_rating double", "append", "none"
     )
+
+
+def rate_landed(games: DataFrame, root: str) -> None:
+    """Rates what has landed since the last run: a stream of rating_games() columns, each batch a period.
+
+    Under root lie games/<batch> (games with the ratings before them), ratings/<batch> (one row per team
+    after it), late/<batch> (games of days that were rated already: they move nothing) and the stream's
+    checkpoint. A batch reads the ratings of the batch before it and replaces its own folders, so one that is repeated
+    after a crash gives the same. A task holds one pool's games of the batch; a batch of one day
+    with more than GAMES_AT_ONCE of them is rated by joins and sums.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        earlier = [n for n in (int(f) for f in files.folders(spark, f"{root}/ratings")) if n < number]
+        ratings = spark.read.schema("pool string, team_key string, rating double, last_day date").parquet(f"{root}/ratings/{max(earlier)}") if earlier else None
+        done = ratings.agg(F.max("last_day")).first()[0] if ratings is not None else None
+        rows = files.materialise(batch, "landed")
+        late = F.lit(False) if done is None else F.col("event_date") <= F.lit(done)
+        rows.where(late).write.mode("overwrite").parquet(f"{root}/late/{number}")
+        fresh = rows.where(~late)
+        about = fresh.groupBy("pool").agg(F.count("*").alias("n"), F.min("event_date").alias("a"), F.max("event_date").alias("b")).agg(F.max("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b")).first()
+        wide = about["n"] is not None and about["n"] > H.GAMES_AT_ONCE and about["a"] == about["b"]
+        known = None if ratings is None else ratings.drop("last_day")
+        H.rate_period(fresh, known, wide).write.mode("overwrite").parquet(f"{root}/games/{number}")
+        after = H.carried(known, spark.read.parquet(f"{root}/games/{number}"))
+        after.withColumn("last_day", F.lit(about["b"] or done).cast("date")).write.mode("overwrite").parquet(f"{root}/ratings/{number}")
+
+    refresh(games, f"{root}/checkpoint", write)
+
+
+def landed_ratings(spark: SparkSession, root: str) -> DataFrame:
+    """All games rated so far: game_id, pool, both ratings, expected share."""
+    rows = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/games")
+    return rows.where("game_id is not null").select("game_id", "pool", "team1_rating", "team2_rating", "team1_expected")

@@ -54,3 +54,57 @@ def test_online_ratings_equal_the_fold(spark, tmp_path):
     fold = H.elo(df.withColumn("event_date", F.to_date("day")), "pool")
     rows = lambda x: {r.game_id: (round(r.team1_rating, 6), round(r.team2_rating, 6)) for r in x.collect()}
     assert rows(live) == rows(fold) and len(rows(live)) == 24
+
+
+def landed_games(spark, n=400):
+    """Games of two pools over 40 days, some without a result, day 20 with a quarter of them."""
+    i = F.col("id")
+    day = F.when(i % 4 == 0, 20).otherwise((i * 7 % 40).cast("int"))
+    return spark.range(n).select(F.concat(F.lit("p"), i % 2).alias("league_code"), F.format_string("g%04d", i).alias("game_id"), (F.lit("2024-01-01").cast("date") + day.cast("int")).alias("event_date"), F.concat(F.lit("t"), i * 5 % 11).alias("team1_key"), F.concat(F.lit("t"), 20 + i * 3 % 7).alias("team2_key"), F.when(i % 17 != 0, (i * 13 % 5 < 2).cast("int")).alias("team1_win"), (i % 4 / 10).alias("margin"))
+
+
+def by_game(df):
+    return {r.game_id: (r.pool, round(r.team1_rating, 6), round(r.team2_rating, 6)) for r in df.collect()}
+
+
+def plain_ratings(rows):
+    rating, out = {}, {}
+    for day in sorted({r.event_date for r in rows}):
+        moves = []
+        for r in (r for r in rows if r.event_date == day):
+            a, b = (r.league_code, r.team1_key), (r.league_code, r.team2_key)
+            ra, rb = rating.get(a, 1500.0), rating.get(b, 1500.0)
+            out[r.game_id] = (r.league_code, round(ra, 6), round(rb, 6))
+            if r.team1_win is not None:
+                moves.append((a, b, 32 * (1 + r.margin) * (r.team1_win - 1 / (1 + 10 ** ((rb - ra) / 400)))))
+        for a, b, d in moves:
+            rating[a], rating[b] = rating.get(a, 1500.0) + d, rating.get(b, 1500.0) - d
+    return out
+
+
+def test_ratings_by_period_equal_the_recurrence(spark):
+    games = landed_games(spark)
+    want = plain_ratings(games.collect())
+    assert by_game(H.elo(games)) == want
+    per_day = games.groupBy("league_code", "event_date").count().agg(F.max("count")).first()[0]
+    for most in (60, 12):  # several periods; day 20 is wider than a period
+        spans = H.periods([(r.event_date, r.n) for r in games.groupBy("event_date", "league_code").count().groupBy("event_date").agg(F.max("count").alias("n")).orderBy("event_date").collect()], most)
+        assert len(spans) > 3 and any(wide for *_, wide in spans) == (per_day > most)
+        assert by_game(H.elo(games, most=most)) == want
+    assert H.elo(games.limit(0)).count() == 0
+
+
+def test_landed_games_are_rated_once_and_late_ones_are_told(spark, tmp_path):
+    games = H.rating_games(landed_games(spark))
+    want = plain_ratings(landed_games(spark).collect())
+    root = str(tmp_path)
+    source = lambda: spark.readStream.schema(games.schema).parquet(f"{root}/landed")
+    for a, b in (("2024-01-01", "2024-01-12"), ("2024-01-13", "2024-01-21"), ("2024-01-22", "2024-02-20")):
+        games.where(F.col("event_date").between(a, b)).write.mode("append").parquet(f"{root}/landed")
+        jobs.rate_landed(source(), f"{root}/rated")
+        jobs.rate_landed(source(), f"{root}/rated")  # nothing new
+    assert by_game(jobs.landed_ratings(spark, f"{root}/rated")) == want
+    games.where("game_id < 'g0010'").withColumn("game_id", F.concat(F.lit("late"), "game_id")).write.mode("append").parquet(f"{root}/landed")
+    jobs.rate_landed(source(), f"{root}/rated")
+    assert by_game(jobs.landed_ratings(spark, f"{root}/rated")) == want
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{root}/rated/late").count() == 10
