@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from arenalake.operators import history as H
@@ -31,20 +33,90 @@ def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def latest_per_minute(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def _watermarked(events: DataFrame, delay: str | None) -> DataFrame:
+    return events if delay is None else events.withWatermark("ts", delay)
+
+
+def in_time(events: DataFrame, delay: str) -> DataFrame:
+    """Events that the watermark still takes, each id once: what counted() reports as late is dropped here, row by row.
+
+    The windowed jobs below follow it with delay=None, and then drop nothing more.
+    """
+    return deduplicated(events, delay)
+
+
+def latest_per_minute(events: DataFrame, delay: str | None = "10 minutes") -> DataFrame:
     """Last value per user and minute of event time."""
     last = F.max_by("value", F.struct("ts", "event_id"))
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 minute"), "user_id").agg(last.alias("last_value"), F.count("*").alias("n"))
+    return _watermarked(events, delay).groupBy(F.window("ts", "1 minute"), "user_id").agg(last.alias("last_value"), F.count("*").alias("n"))
 
 
-def rolling_activity(events: DataFrame, span: str = "7 days", step: str = "1 day", delay: str = "1 day") -> DataFrame:
+def rolling_activity(events: DataFrame, span: str = "7 days", step: str = "1 day", delay: str | None = "1 day") -> DataFrame:
     """Events and value per type over sliding windows."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", span, step), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _watermarked(events, delay).groupBy(F.window("ts", span, step), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes", delay: str | None = "1 hour") -> DataFrame:
     """Sessions of users, ended by a gap."""
-    return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _watermarked(events, delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+FRAMES = "game_id string, fetched_at timestamp, frames array<struct<ts:timestamp,blue_gold:bigint,red_gold:bigint,blue_kills:bigint,red_kills:bigint>>"
+
+
+def live_frames(documents: DataFrame) -> DataFrame:
+    """Frames of live-stat documents (FRAMES): game_id, fetched_at, and the frame's columns."""
+    return documents.select("game_id", "fetched_at", F.explode("frames").alias("f")).select("game_id", "fetched_at", "f.*")
+
+
+def live_difference(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Gold and kill difference of the sides per game and minute of event time, by the minute's last frame.
+
+    A frame that is sent again, as long as the watermark takes it, replaces what was fetched before.
+    """
+    last = F.max_by(F.struct("blue_gold", "red_gold", "blue_kills", "red_kills"), F.struct("ts", "fetched_at"))
+    per = frames.withWatermark("ts", delay).groupBy(F.window("ts", "1 minute"), "game_id").agg(last.alias("f"), F.count("*").alias("frames"))
+    return per.select("game_id", "window", "frames", (F.col("f.blue_gold") - F.col("f.red_gold")).alias("gold_diff"), (F.col("f.blue_kills") - F.col("f.red_kills")).alias("kill_diff"))
+
+
+class _Late(StreamingQueryListener):
+    """Rows that the watermark dropped, per run of a query, over all its progress reports."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        self.rows[run] = self.rows.get(run, 0) + sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+
+def counted(stream: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """to_table(), and how many rows the watermark dropped as late, as the progress reports tell.
+
+    Exact where the first stateful step takes rows one by one, as in_time() does; an aggregation
+    reports groups that were formed before it.
+    """
+    spark, late = stream.sparkSession, _Late()
+    spark.streams.addListener(late)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        run = str(query.runId)
+        if not late.ended.setdefault(run, threading.Event()).wait(60):  # reports come after the fact
+            raise TimeoutError("the stream's last report did not arrive")
+    finally:
+        spark.streams.removeListener(late)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows"), late.rows.get(run, 0)
 
 
 def within_lookback(events: DataFrame, now: str, days: int) -> DataFrame:
@@ -53,9 +125,9 @@ def within_lookback(events: DataFrame, now: str, days: int) -> DataFrame:
     return events.withWatermark("ts", f"{days} days").where(F.col("ts") >= cutoff)
 
 
-def refresh(source: DataFrame, checkpoint: str, write) -> None:
+def refresh(source: DataFrame, checkpoint: str, write, mode: str = "append") -> None:
     """Run what is there through write(batch, id), then stop: serving tables by foreachBatch."""
-    query = source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = source.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
