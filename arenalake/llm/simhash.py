@@ -150,7 +150,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of equal rows one stays. Null and blank texts have fingerprint zero, so one of them stays. An
     empty table gives an empty table; a column of docs named like the working column is kept apart.
     """
-    key = F.concat_ws("|", row_key(F.col("doc_id"), F.col("text")), F.hex(F.xxhash64(*docs.columns)))
+    hashed = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]  # maps have no hash
+    key = F.concat_ws("|", row_key(F.col("doc_id"), F.col("text")), F.hex(F.xxhash64(*hashed)))
     keyed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", key.alias("__key"))
     rows, of_class = _grouped(keyed, "__key")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__key")

@@ -32,7 +32,7 @@ def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns[0] == "sequence_id"
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, __key string, score double, words array<string>"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, __key string, score double, words array<string>, m map<string,int>, s struct<a:int,m:map<int,string>>, __p array<struct<x:int>>"
 
 
 def odd_documents():
@@ -42,7 +42,7 @@ def odd_documents():
     texts += [(100 + i, prose(40) + " vilefoo vilebar nastyone vilefoo") for i in range(24)]
     texts += [(1, texts[1][1]), (1, prose(50)), (None, prose(50)), (None, None), (None, texts[3][1]), (200, None), (201, ""), (202, " \t\n ")]
     texts += [(203, prose(9000)), (204, "password=abcdefgh12345678 " + prose(40)), (205, "one"), (206, texts[5][1].upper())]
-    return [(i, t, None if n % 3 else "en", None, None if t is None else len(t), "x", "clash", None, None) for n, (i, t) in enumerate(texts)]
+    return [(i, t, None if n % 3 else "en", None, None if t is None else len(t), "x", "clash", None, None, {"a": n % 2} if n % 4 else None, (n % 3, {1: "x"}), [(1,)] if n % 2 else None) for n, (i, t) in enumerate(texts)]
 
 
 def test_stages_with_odd_rows_against_plain_python(spark, tmp_path):
