@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arenalake.operators.quality import PublishBlocked
 
 _own_dir: dict[str, str] = {}
 
@@ -141,23 +143,68 @@ def _read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def write_snapshot(tables: dict[str, DataFrame], root: str, snapshot_id: str, gate=None) -> dict:
-    """Immutable snapshot: Parquet tables, a JSON manifest with row counts, then the pointer, last.
+def _rename_into(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that is there whole or not at all: written beside its place, then renamed."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    _write_text(spark, beside, text)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (beside, path))
+    system = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(old, False)
+    if not system.rename(new, old):
+        raise OSError(f"{path} could not be written")
 
-    gate, if given, is called with the manifest before the pointer moves and may raise.
+
+#: Name to (severity, failing condition, threshold percent), over the rows of one table.
+Checks = dict[str, tuple[str, Column, float]]
+
+
+def _observed(df: DataFrame, name: str, path: str, checks: Checks) -> tuple[int, list[dict]]:
+    """Writes a table and returns its number of rows and check rows, all from the one pass that writes it.
+
+    Metrics come from the writing stage, whose tasks count once each, also if one of them is repeated.
+    """
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    metrics = [F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, 1)).alias(f"check_{i}") for i, (_, c, _) in enumerate(checks.values())]]
+    df.observe(seen, *metrics).write.mode("errorifexists").parquet(path)
+    got = seen.get
+    out = []
+    for i, (check, (severity, _, threshold)) in enumerate(checks.items()):
+        failing = got[f"check_{i}"]
+        pct = math.floor(failing * 10000 / got["rows"] + 0.5) / 100 if got["rows"] else 0.0
+        out.append({"table_name": name, "check_name": check, "severity": severity, "failing": failing, "total": got["rows"], "failing_pct": pct, "threshold_pct": float(threshold), "passed": pct <= threshold})
+    return got["rows"], out
+
+
+def write_snapshot(tables: dict[str, DataFrame], root: str, snapshot_id: str, gate=None, checks: dict[str, Checks] | None = None) -> dict:
+    """Immutable snapshot: Parquet tables, a JSON manifest with row counts, a validation report, then the pointer, last.
+
+    Counts and checks (by table) are observed while a table is written; none is read again. A failed check of
+    severity 'error' raises PublishBlocked, and gate, if given, is called with the manifest and may
+    raise; either way the report is there and the pointer stays where it was.
     """
     spark = next(iter(tables.values())).sparkSession
     base = f"{root}/snapshots/{snapshot_id}"
+    counts, report = {}, []
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{base}/{name}")
-    manifest = {"snapshot_id": snapshot_id, "tables": {n: spark.read.parquet(f"{base}/{n}").count() for n in tables}}
+        counts[name], rows = _observed(df, name, f"{base}/{name}", (checks or {}).get(name, {}))
+        report += rows
+    failed = [r["check_name"] for r in report if not r["passed"]]
+    manifest = {"snapshot_id": snapshot_id, "tables": counts, "validation": {"total_checks": len(report), "failed_checks": len(failed), "failed_check_names": sorted(failed)}}
     _write_text(spark, f"{base}/manifest.json", json.dumps(manifest))
+    _write_text(spark, f"{base}/validation_report.json", "\n".join(json.dumps(r) for r in report))
+    if stop := sorted(r["check_name"] for r in report if not r["passed"] and r["severity"] == "error"):
+        raise PublishBlocked(", ".join(stop))
     if gate is not None:
         gate(manifest)
-    _write_text(spark, f"{root}/latest.json", json.dumps({"snapshot_id": snapshot_id, "path": base}))
+    _rename_into(spark, f"{root}/latest.json", json.dumps({"snapshot_id": snapshot_id, "path": base}))
     return manifest
 
 
+def validation_report(spark: SparkSession, snapshot: str) -> DataFrame:
+    """The check rows of a snapshot, by its path."""
+    return spark.read.schema("table_name string, check_name string, severity string, failing bigint, total bigint, failing_pct double, threshold_pct double, passed boolean").json(f"{snapshot}/validation_report.json")
+
+
 def latest_snapshot(spark: SparkSession, root: str) -> str:
     """Path of the snapshot that the pointer names."""
     return json.loads(_read_text(spark, f"{root}/latest.json"))["path"]
@@ -187,9 +234,27 @@ def read_schedule(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ssXXX").json(path)
 
 
-def publish(df: DataFrame, name: str) -> None:
-    """Create or replace a serving table."""
-    df.write.mode("overwrite").saveAsTable(name)
+def publish(df: DataFrame, name: str, root: str) -> str:
+    """Create or replace a serving table: a new folder of its own, then the view that names it, replaced at once.
+
+    Readers that planned before go on with the folder they know; others see the old rows or the new
+    ones, never a part. (Plain Spark has no catalog whose tables can be replaced atomically.) Returns the folder.
+    """
+    path = f"{root}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    df.sparkSession.sql(f"CREATE OR REPLACE VIEW `{name}` AS SELECT * FROM parquet.`{path}`")
+    return path
+
+
+def expire(spark: SparkSession, name: str, root: str, keep: int = 2) -> list[str]:
+    """Removes the folders of a serving table but for the last `keep`; returns the names of those that went."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = sorted(((f.getModificationTime(), f.getPath().getName()) for f in system.listStatus(p)), reverse=True)
+    gone = [n for _, n in listed[keep:]]
+    for n in gone:
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{n}"), True)
+    return gone
 
 
 def land(df: DataFrame, path: str, data_type: str, source: str, fetched_at: Column) -> None:
@@ -213,3 +278,90 @@ def read_landing(spark: SparkSession, path: str, schema: str, data_type: str | N
 def pending_years(years: DataFrame, progress: DataFrame) -> DataFrame:
     """Years that the progress table doesn't call complete."""
     return years.join(progress.where("complete").select("year"), "year", "left_anti")
+
+
+def years_landed(spark: SparkSession, root: str) -> list[int]:
+    """Years whose landing is recorded as complete."""
+    if not _exists(spark, f"{root}/progress"):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/progress")
+    names = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+
+def land_year(rows: DataFrame, root: str, year: int) -> None:
+    """Rows replace the folder of their year; then the year is recorded, by one rename.
+
+    A year that is landed again is taken off the record first, so that readers never see half of it. A crash
+    between the two leaves the year off the record: it is landed again, and nothing else is.
+    """
+    spark = rows.sparkSession
+    record = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/progress/{year}.json")
+    record.getFileSystem(spark._jsc.hadoopConfiguration()).delete(record, False)
+    rows.write.mode("overwrite").parquet(f"{root}/rows/year={year}")
+    _rename_into(spark, f"{root}/progress/{year}.json", json.dumps({"year": year, "complete": True}))
+
+
+def land_pending(spark: SparkSession, root: str, years: list[int], fetch) -> list[int]:
+    """Lands the years that the record lacks, one after the other, by fetch(year); returns them."""
+    done = set(years_landed(spark, root))
+    todo = [y for y in years if y not in done]
+    for year in todo:
+        land_year(fetch(year), root, year)
+    return todo
+
+
+def read_landed_years(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Rows of the years on record, with their year; others are not read."""
+    done = years_landed(spark, root)
+    if not done:
+        return spark.createDataFrame([], f"{schema}, year int")
+    return spark.read.schema(f"{schema}, year int").parquet(f"{root}/rows").where(F.col("year").isin(done))
+
+
+# Wiki feeds: the feed's field, our column, its type, and whether a row is nothing without it.
+# Names of the published feeds.
+WIKI = {
+    "player_games": (
+        ("GameId", "game_id", "string", True), ("MatchId", "match_id", "string", False), ("DateTime UTC", "played_at", "timestamp", True), ("Tournament", "tournament", "string", False), ("Link", "player_link", "string", True),
+        ("Name", "player_name", "string", False), ("Team", "team_name", "string", False), ("Champion", "champion_name", "string", False), ("Role", "role", "string", False), ("Side", "side", "int", False), ("PlayerWin", "win", "flag", False),
+        ("Kills", "kills", "int", False), ("Deaths", "deaths", "int", False), ("Assists", "assists", "int", False), ("CS", "cs", "int", False), ("Gold", "gold", "int", False), ("DamageToChampions", "damage", "int", False), ("VisionScore", "vision_score", "int", False),
+    ),
+    "profiles": (
+        ("ID", "player_id", "string", True), ("Player", "player_page", "string", False), ("Name", "full_name", "string", False), ("NationalityPrimary", "nationality", "string", False), ("Birthdate", "birthdate", "date", False),
+        ("Team", "team_name", "string", False), ("Role", "role", "string", False), ("IsRetired", "retired", "flag", False), ("Residency", "residency", "string", False),
+    ),
+    "matches": (
+        ("MatchId", "match_id", "string", True), ("DateTime UTC", "match_time", "timestamp", True), ("Team1", "team1", "string", False), ("Team2", "team2", "string", False), ("Winner", "winner", "int", False), ("Team1Score", "team1_score", "int", False),
+        ("Team2Score", "team2_score", "int", False), ("BestOf", "best_of", "int", False), ("Tournament", "tournament", "string", False), ("MatchDay", "match_day", "string", False),
+    ),
+}
+
+
+def _typed(field: Column, kind: str) -> Column:
+    x = F.nullif(F.trim(field), F.lit(""))
+    if kind == "flag":
+        low = F.lower(x)
+        return F.when(low.isin("yes", "1", "true"), True).when(low.isin("no", "0", "false"), False)
+    return x if kind == "string" else x.try_cast(kind)
+
+
+def read_wiki(spark: SparkSession, path: str, feed: str) -> tuple[DataFrame, DataFrame]:
+    """Typed rows of a wiki feed of WIKI, and rejects (source_file, reason, record).
+
+    Files are JSON lists of rows whose values are text. A file that is no JSON is one reject; a row that lacks a
+    field it needs, or has a value that is not of its type, is one reject with the first such reason, and
+    is not among the rows. Fields that the feed doesn't have are ignored.
+    """
+    fields = WIKI[feed]
+    schema = T.StructType([T.StructField(f, T.StringType()) for f, *_ in fields] + [T.StructField("_corrupt", T.StringType())])
+    raw = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    raw = raw.withColumn("source_file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    blank = lambda f: F.nullif(F.trim(F.col(f"`{f}`")), F.lit("")).isNull()
+    reasons = [F.when(F.col("_corrupt").isNotNull(), F.lit("not JSON"))]
+    reasons += [F.when(blank(f), F.lit(f"{c} is missing")) for f, c, _, needed in fields if needed]
+    reasons += [F.when(~blank(f) & _typed(F.col(f"`{f}`"), kind).isNull(), F.lit(f"{c} is no {kind}")) for f, c, kind, _ in fields if kind != "string"]
+    told = raw.withColumn("reason", F.coalesce(*reasons))
+    rows = told.where("reason is null").select(*[_typed(F.col(f"`{f}`"), kind).alias(c) for f, c, kind, _ in fields], "source_file")
+    record = F.coalesce("_corrupt", F.to_json(F.struct(*[F.col(f"`{f}`") for f, *_ in fields])))
+    return rows, told.where("reason is not null").select("source_file", "reason", record.alias("record"))

@@ -78,3 +78,67 @@ def test_live_frames(spark, tmp_path):
 def test_years_to_fetch(spark):
     progress = spark.createDataFrame([(2023, True), (2024, False)], "year int, complete boolean")
     assert [r.year for r in files.pending_years(spark.createDataFrame([(2023,), (2024,), (2025,)], "year int"), progress).orderBy("year").collect()] == [2024, 2025]
+
+
+def test_report_is_written_and_a_failing_check_leaves_the_pointer(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, None), (None, "d")], "id int, name string")
+    checks = {"t": {"no_id": ("error", F.col("id").isNull(), 30.0), "no_name": ("warning", F.col("name").isNull(), 10.0)}}
+    made = files.write_snapshot({"t": rows, "u": rows.limit(0)}, root, "s1", checks=checks | {"u": {"any": ("error", F.col("id") > 0, 0)}})
+    assert made == {"snapshot_id": "s1", "tables": {"t": 4, "u": 0}, "validation": {"total_checks": 3, "failed_checks": 1, "failed_check_names": ["no_name"]}}
+    strict = {"t": {"no_id": ("error", F.col("id").isNull(), 20.0)}}
+    with pytest.raises(Q.PublishBlocked, match="no_id"):
+        files.write_snapshot({"t": rows}, root, "s2", checks=strict)
+    assert files.latest_snapshot(spark, root).endswith("s1")
+    told = files.validation_report(spark, f"{root}/snapshots/s2").collect()
+    assert [(r.check_name, r.failing, r.total, r.failing_pct, r.passed) for r in told] == [("no_id", 1, 4, 25.0, False)]
+
+
+def test_a_crash_between_rows_and_record_repeats_the_year_alone(spark, tmp_path, monkeypatch):
+    root, asked = str(tmp_path), []
+
+    def fetch(year):
+        asked.append(year)
+        return spark.range(year - 2020).toDF("id")
+
+    real = files._rename_into
+
+    def broken(s, path, text):
+        if path.endswith("2023.json") and asked.count(2023) == 1:
+            raise KeyboardInterrupt
+        real(s, path, text)
+
+    monkeypatch.setattr(files, "_rename_into", broken)
+    with pytest.raises(KeyboardInterrupt):
+        files.land_pending(spark, root, [2022, 2023, 2024], fetch)
+    rows = lambda: {r.year: r.n for r in files.read_landed_years(spark, root, "id bigint").groupBy("year").agg(F.count("*").alias("n")).collect()}
+    assert files.years_landed(spark, root) == [2022] and rows() == {2022: 2}  # rows of 2023 are there, and not seen
+    assert files.land_pending(spark, root, [2022, 2023, 2024], fetch) == [2023, 2024]
+    assert asked == [2022, 2023, 2023, 2024] and rows() == {2022: 2, 2023: 3, 2024: 4}
+    files.land_year(spark.range(9).toDF("id"), root, 2022)
+    assert rows()[2022] == 9 and files.land_pending(spark, root, [2022], fetch) == []
+    assert files.read_landed_years(spark, str(tmp_path / "none"), "id bigint").count() == 0
+
+
+def test_serving_table_is_replaced_whole(spark, tmp_path):
+    root = str(tmp_path)
+    files.publish(spark.range(3).toDF("a"), "served", root)
+    old = spark.table("served")
+    files.publish(spark.range(5).select(F.col("id").alias("a"), F.lit("x").alias("b")), "served", root)
+    assert old.count() == 3 and spark.table("served").count() == 5 and spark.table("served").columns == ["a", "b"]
+    with pytest.raises(Exception):
+        files.publish(spark.range(2).select(F.raise_error(F.lit("broken")).alias("a")), "served", root)
+    assert spark.table("served").count() == 5
+    files.publish(spark.range(1).toDF("a"), "served", root)
+    assert len(files.expire(spark, "served", root, 1)) >= 2 and spark.table("served").count() == 1
+    spark.sql("DROP VIEW served")
+
+
+def test_wiki_rows_and_rejects(spark, tmp_path):
+    good = {"ID": "p1", "Name": " Ann ", "Birthdate": "2000-02-29", "IsRetired": "No", "More": "x"}
+    (tmp_path / "1.json").write_text(json.dumps([good, good | {"ID": ""}, good | {"ID": "p2", "Birthdate": "soon"}, good | {"ID": "p3", "Birthdate": "", "IsRetired": "Yes"}], indent=2))
+    (tmp_path / "2.json").write_text('[{"ID": "p4", "Na')
+    (tmp_path / "3.json").write_text("[]")
+    rows, rejects = files.read_wiki(spark, str(tmp_path), "profiles")
+    assert sorted((r.player_id, r.full_name, str(r.birthdate), r.retired, r.team_name) for r in rows.collect()) == [("p1", "Ann", "2000-02-29", False, None), ("p3", "Ann", "None", True, None)]
+    assert sorted((r.source_file, r.reason) for r in rejects.collect()) == [("1.json", "birthdate is no date"), ("1.json", "player_id is missing"), ("2.json", "not JSON")]
