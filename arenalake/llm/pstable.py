@@ -144,14 +144,13 @@ def embedding_components(vectors: DataFrame, planned: int | None = None) -> Data
 
     Vectors of cosine 0.95 or more are linked where at least one hash table puts them into one
     bucket; vectors of different lengths never are. Vectors that are null, zero, empty, or hold
-    null or non-finite components link with nothing, as do rows with a null vec_id. Rows that
-    repeat a vec_id count as one vector, the least of them. Equal vectors (by 128 bits of hash)
+    null or non-finite components link with nothing, as do rows with a null vec_id, which all stay.
+    Rows that repeat a vec_id count as one vector, the least of them. Equal vectors (by 128 bits of hash)
     are one class with a size, so copies never meet in pairs. Extra columns are ignored. planned:
     the number of vectors that the tables are laid out for, the classes' own if None.
     """
-    one = vectors.select("vec_id", "embedding").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    fine = usable() & F.col("vec_id").isNotNull()
-    one = materialise(one.withColumn("h", F.when(fine, F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit("second"), "embedding").alias("b")))), "vectors")
+    one = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    one = materialise(one.withColumn("h", F.when(usable(), F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit("second"), "embedding").alias("b")))), "vectors")
     classes = one.where("h is not null").groupBy("h").agg(F.min(F.struct("vec_id", "embedding")).alias("m"), F.count("*").alias("size"))
     classes = materialise(classes.select("h", F.col("m.vec_id").alias("vec_id"), F.col("m.embedding").alias("embedding"), "size", F.size("m.embedding").alias("d")), "classes")
     total = classes.count()
@@ -186,4 +185,5 @@ def embedding_components(vectors: DataFrame, planned: int | None = None) -> Data
     known = one.where("h is not null").select("vec_id", "h")
     linked = join_apart(known, of_class, ["h"], "n", hot_limit(total)).select("vec_id", "n_links", "component_id")
     alone = one.where("h is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    nameless = vectors.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).unionByName(nameless).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -254,7 +254,7 @@ def _runs_of(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 "key": key, "covered": covered, "first": first, "size": size,
             })
 
-    return docs.select("doc_id", "th", "text").mapInPandas(runs, "doc_id bigint, th int, key bigint, covered bigint, first int, size int")
+    return docs.select("doc_id", "th", "text").mapInPandas(runs, "doc_id bigint, th bigint, key bigint, covered bigint, first int, size int")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -348,12 +348,28 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     Words are maximal runs without ASCII white space, unchanged. A word goes if a window of 50
     words over it also starts in a document with a smaller doc_id; windows are judged on the
     input. Null text has no words; texts of under 50 words keep all. Repeated rows (one doc_id)
-    don't remove from each other. A row with a null doc_id neither loses words nor takes any.
+    don't remove from each other; equal ones are searched once, however many there are. A row with a null doc_id neither loses words nor takes any.
     Extra columns are ignored.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     base = base.where("doc_id is not null")
-    ranges = covered_ranges(base).groupBy("doc_id", "th").agg(F.collect_set(F.struct("frm", "to", "words")).alias("ranges"))
-    done = base.join(ranges, ["doc_id", "th"], "left").select("doc_id", _keep("text", "ranges").alias("k"))
+    again = materialise(base.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    size = again.agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    ranges = covered_ranges(once(base, again) if size[0] else base)
+    ranges = ranges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("frm", "to", "words")).alias("ranges"))
+    limit = hot_limit(size[2] or 0)
+    if (size[1] or 0) > limit:  # rows of such a key stay where they are: a thousand keys at most
+        hot = F.broadcast(again.where(F.col("n") > limit).select("doc_id", "th"))
+        apart = base.join(hot, ["doc_id", "th"], "left_semi").join(F.broadcast(ranges.join(hot, ["doc_id", "th"], "left_semi")), ["doc_id", "th"], "left")
+        found = apart.unionByName(base.join(hot, ["doc_id", "th"], "left_anti").join(ranges, ["doc_id", "th"], "left"))
+    else:
+        found = base.join(ranges, ["doc_id", "th"], "left")
+    done = found.select("doc_id", _keep("text", "ranges").alias("k"))
     alone = docs.where("doc_id is null").select("doc_id", _keep("text", F.lit(None).cast("array<struct<frm:bigint,to:bigint,words:bigint>>")).alias("k"))
     return done.unionByName(alone).select("doc_id", "k.*")
+
+
+def once(base: DataFrame, again: DataFrame) -> DataFrame:
+    """base with one row of each (doc_id, th); again: those that are repeated. Only repeated rows are dealt anew."""
+    keys = ["doc_id", "th"]
+    return base.join(again.select(*keys), keys, "left_anti").unionByName(base.join(again.select(*keys), keys, "left_semi").dropDuplicates(keys))

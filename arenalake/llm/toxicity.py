@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import pickle
 import uuid
@@ -13,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +84,7 @@ class Vocabulary:
         self.cache = _Hits(self.base)
 
     def terms(self, text: str | None) -> np.ndarray:
-        if len(self.cache) > 200_000:
+        if len(self.cache) > 50_000:
             self.cache.clear()
         counts = Counter(chain.from_iterable(map(self.cache.__getitem__, (text or "").split())))
         if not counts:
@@ -116,8 +118,8 @@ class BlockMaxIndex:
         doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
         df = np.bincount(term, minlength=n_terms)
         scale = (np.log((1 + len(ids)) / (1 + df)) + 1) * (1.0 if strength is None else strength)
-        norm = np.sqrt(np.bincount(doc, scale[term] ** 2, minlength=len(rows)))
         weight = scale[term]
+        norm = np.sqrt(np.bincount(doc, weight**2, minlength=len(rows)))
         weight /= norm[doc]
         column = np.full(n_terms, -1, np.int64)
         often = np.argsort(-df, kind="stable")[:DENSE]
@@ -129,9 +131,11 @@ class BlockMaxIndex:
         dense[doc[held], column[term[held]]] = weight[held]
         dense = dense.reshape(blocks, BLOCK, len(often))
         term, doc, weight = term[~held], doc[~held], weight[~held]
-        along = np.argsort(term, kind="stable")
         start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=n_terms))))
-        return cls(ids, labels, scale, column, start, doc[along].astype(np.intp), weight[along], dense, dense.max(axis=1))
+        along = np.argsort(term, kind="stable").astype(np.int32)
+        del term, held
+        doc = doc[along]
+        return cls(ids, labels, scale, column, start, doc, weight[along], dense, dense.max(axis=1))
 
     def _normed(self, terms: np.ndarray) -> np.ndarray:
         raw = self.scale[terms]
@@ -242,6 +246,10 @@ def _model(name: str, data: bytes) -> ToxicityModel:
     if name not in _built:
         _built.clear()
         _built[name] = ToxicityModel.unpacked(data)
+        # What building it took goes back to the system; else a worker holds it as long as it lives.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
     return _built[name]
 
 
@@ -320,18 +328,23 @@ def score_column(docs: DataFrame, labels: DataFrame) -> Column:
     model = spark.sparkContext.broadcast(data)  # bounded by EXAMPLES and the words of a text
     evidence = T.ArrayType(T.StructType().add("doc_id", T.LongType()).add("toxic", T.IntegerType()).add("cosine", T.DoubleType()))
 
-    @F.pandas_udf(T.StructType().add("score", T.DoubleType()).add("evidence", evidence))
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = T.StructType().add("score", T.DoubleType()).add("evidence", evidence)
+    arrow = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())])))])
+
+    @F.arrow_udf(kind)
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = _model(name, model.value) if model.value is not None else None
         for batch in texts:
-            if m is None:
-                yield pd.DataFrame({"score": [0.0] * len(batch), "evidence": [[] for _ in batch]})
-                continue
             out = []
-            for share, at, cosine in m.votes([m.vocabulary.terms(t) for t in batch]):
-                seen = zip(m.index.ids[at[:3]].tolist(), m.index.labels[at[:3]].tolist(), cosine[:3].tolist(), strict=True)
-                out.append((m.calibrated(share), [dict(zip(("doc_id", "toxic", "cosine"), e, strict=True)) for e in seen]))
-            yield pd.DataFrame(out, columns=["score", "evidence"])
+            for begin in range(0, len(batch), AT_ONCE):  # a batch's texts stay in Arrow, a few are strings at a time
+                some = batch.slice(begin, AT_ONCE).to_pylist()
+                if m is None:
+                    out += [{"score": 0.0, "evidence": []} for _ in some]
+                    continue
+                for share, at, cosine in m.votes([m.vocabulary.terms(t) for t in some]):
+                    seen = zip(m.index.ids[at[:3]].tolist(), m.index.labels[at[:3]].tolist(), cosine[:3].tolist(), strict=True)
+                    out.append({"score": m.calibrated(share), "evidence": [dict(zip(("doc_id", "toxic", "cosine"), e, strict=True)) for e in seen]})
+            yield pa.array(out, arrow)
 
     return scored(F.col("text"))
 

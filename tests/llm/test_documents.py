@@ -73,10 +73,25 @@ def test_substring_keys_may_be_hot(spark, texts, monkeypatch):
     assert sorted(map(repr, plain)) == sorted(map(repr, substrings.dedup_substrings(frame(spark, texts)).drop("kept").collect()))
 
 
+def test_repeated_rows_are_searched_once(spark, monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(prose(rng, 60))
+    sizes = set()
+    monkeypatch.setattr(substrings, "hot_limit", lambda rows: 30)  # 80 rows of a key stay apart
+    for n in (1, 20, 80):
+        df = spark.createDataFrame([(3, text)] * n + [(7, text)] * n + [(9, text[:100])] * 2, "doc_id long, text string").repartition(5)
+        base = df.withColumn("th", F.xxhash64("text"))
+        again = base.groupBy("doc_id", "th").count().where("count > 1")
+        sizes.add(substrings.covered_ranges(substrings.once(base, again)).count())
+        got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup_substrings(df).collect())
+        assert got == sorted([(3, 60, 0)] * n + [(7, 60, 60)] * n + [(9, len(text[:100].split()), 0)] * 2)
+    assert len(sizes) == 1
+
+
 def test_substrings_decided_by_the_index_alone(spark, texts, monkeypatch):
     # Neither grouping equal passages, nor shards, nor the split of a crowded key changes what goes.
     want = sorted(map(repr, substrings.dedup_substrings(frame(spark, texts)).drop("kept").collect()))
-    base = frame(spark, [x for x in texts if x[0] is not None and x[1] is not None]).withColumn("th", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    base = frame(spark, [x for x in texts if x[0] is not None and x[1] is not None]).withColumn("th", F.xxhash64("text"))
     starts = lambda rows: sorted({(r.doc_id, r.th, a) for r in rows for a in range(r.frm, r.to)})
     together = starts(substrings.covered_ranges(base).collect())
     monkeypatch.setattr(substrings, "SHARD_ROWS", 6)

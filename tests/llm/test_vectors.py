@@ -36,8 +36,9 @@ def test_embedding_links_against_brute_force(spark, rows):
     ids = sorted(vecs)
     unit = np.array([vecs[i] / np.linalg.norm(vecs[i]) for i in ids])
     link = unit @ unit.T >= 0.95
-    got = {r.vec_id: r for r in pstable.embedding_components(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert set(got) == {r[0] for r in rows}
+    found = pstable.embedding_components(spark.createDataFrame([*rows, (None, None, 0, 1, "clash")], SCHEMA)).collect()
+    got = {r.vec_id: r for r in found}
+    assert set(got) == {r[0] for r in rows} and len(found) == len(got) + 1  # rows without an id all stay
     true, found = link.sum() - len(ids), sum(got[i].n_links for i in ids)
     assert 0.9 * true <= found <= true and true > 40
     comp = {i: min(ids[j] for j in np.flatnonzero(link[n])) for n, i in enumerate(ids)}
