@@ -76,7 +76,7 @@ def prematch(pairs: DataFrame, future: DataFrame | None = None) -> DataFrame:
     diffs = {f"diff_{c}": F.col(f"team1_{c}") - F.col(f"team2_{c}") for c in cols}
     base = H.head_to_head(rows)
     out = base.join(wide, "game_id").withColumns(diffs)
-    return out.select("game_id", "event_date", "league_code", "team1_key", "team2_key", "is_future", *wide.columns[1:], *diffs, "h2h_games", "h2h_team1_rate", F.col("team1_win").alias("label_team1_win"))
+    return out.select("game_id", "event_date", "league_code", "split_name", "patch_version", "team1_key", "team2_key", "is_future", *wide.columns[1:], *diffs, "h2h_games", "h2h_team1_rate", F.col("team1_win").alias("label_team1_win"))
 
 
 #: Columns of a side that come from its players and picks, beside the form columns.

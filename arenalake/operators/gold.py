@@ -129,6 +129,35 @@ def tournament_phases(series: DataFrame) -> DataFrame:
     return s.withColumn("phase", phase).drop("last_playoff")
 
 
+def competition_phases(series: DataFrame, international: list[str]) -> DataFrame:
+    """Phase of each series, by one rule for international tournaments and one for leagues: series with from_end, days_from_end, phase.
+
+    International: by place and distance from the tournament's end and the number of games. Leagues: playoffs
+    by place from the end of the split; a null split is a split. Places follow date, games and key, latest first.
+    """
+    last = F.max("event_date").over(W.partitionBy("league_code", "season_year"))
+    s = series.withColumns({"days_from_end": F.datediff(last, "event_date"), "same_day": F.count("*").over(W.partitionBy("league_code", "season_year", "event_date"))})
+    order = (F.desc("event_date"), F.desc("games"), F.desc("series_key"))
+    abroad = F.coalesce(F.col("league_code").isin(international), F.lit(False))
+    games, days, place = F.col("games"), F.col("days_from_end"), F.col("from_end")
+    tournament = (
+        F.when((place == 1) & (games >= 3), "Final").when((days == 0) & (F.col("same_day") == 1), "Final").when(place.isin(2, 3) & (games >= 3) & (days <= 10), "Semifinal")
+        .when(place.between(4, 8) & (games >= 3) & (days <= 20), "Quarterfinal").when((games <= 2) & (F.col("same_day") >= 2), "Swiss/Groups").when(days > 25, "Play-in").otherwise("Group Stage")
+    )
+    playoffs = F.col("playoffs") == 1
+    league = F.when(playoffs & (place == 1) & (games >= 3), "Final").when(playoffs & place.isin(2, 3) & (games >= 3), "Semifinal").when(playoffs, "Playoffs").otherwise("Regular Season")
+    world = s.where(abroad).withColumn("from_end", F.row_number().over(W.partitionBy("league_code", "season_year").orderBy(*order))).withColumn("phase", tournament)
+    home = s.where(~abroad).withColumn("from_end", F.row_number().over(W.partitionBy("league_code", "season_year", "split_name").orderBy(*order))).withColumn("phase", league)
+    return world.unionByName(home)
+
+
+def series_sides(series: DataFrame) -> DataFrame:
+    """Team-centric rows of series: each once per side, with win (null for a draw), games won and played."""
+    shared = ("series_key", "league_code", "season_year", "event_date", "games")
+    side = lambda a, b: F.struct(F.lit(a).alias("slot"), F.col(f"team{a}_key").alias("team_key"), F.col(f"team{b}_key").alias("opponent_key"), (F.col("winner_key") == F.col(f"team{a}_key")).cast("int").alias("win"), F.col(f"team{a}_wins").alias("games_won"))
+    return series.select(*shared, F.explode(F.array(side(1, 2), side(2, 1))).alias("s")).select(*shared, "s.*")
+
+
 def champions_of(series: DataFrame) -> DataFrame:
     """Winner and runner-up of the last series of each league and season, with the score from the winner's side."""
     w = W.partitionBy("league_code", "season_year").orderBy(F.desc("event_date"), F.desc("series_key"))

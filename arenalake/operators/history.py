@@ -110,18 +110,20 @@ def trailing_means(games: DataFrame, values: list[str], size: int = 400, levels=
     bucket holds all that its own rows look back on, and a large key is many buckets. Within a
     bucket a mean is a difference of two running sums. The last column of `order` names a row.
     """
-    day, name = order[0], order[-1]
+    at_, name = [f"__o{i}" for i in range(len(order))], order[-1]
+    day, row = at_[0], at_[-1]  # columns of games keep out of the way of the working columns
     key = lambda k: F.struct((F.col(k).cast("string") if k else F.lit(None).cast("string")).alias("k"))  # noqa: E731  a struct is never null, so it can be joined on
     level = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), key(k).alias("key")) for n, k in levels]))
     value = F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])
-    long = games.select(*order, level.alias("l"), value.alias("vs")).select(*order, "l.*", F.explode("vs").alias("x")).select(*order, "level", "key", "x.*")
+    narrow = games.select(*[F.col(c).alias(o) for c, o in zip(order, at_, strict=True)], level.alias("l"), value.alias("vs"))
+    long = narrow.select(*at_, "l.*", F.explode("vs").alias("x")).select(*at_, "level", "key", "x.*")
     by = ["level", "key", "name"]
     per_day = long.groupBy(*by, day).agg(F.count("v").alias("n_day"))
-    earlier = W.partitionBy(*by).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
-    offset = per_day.select(*by, day, F.coalesce(F.sum("n_day").over(earlier), F.lit(0)).alias("earlier"))
-    in_day = F.count("v").over(W.partitionBy(*by, day).orderBy(*order[1:]).rowsBetween(W.unboundedPreceding, -1))
+    previous = W.partitionBy(*by).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
+    offset = per_day.select(*by, day, F.coalesce(F.sum("n_day").over(previous), F.lit(0)).alias("earlier"))
+    in_day = F.count("v").over(W.partitionBy(*by, day).orderBy(*at_[1:]).rowsBetween(W.unboundedPreceding, -1))
     at = long.withColumn("in_day", in_day).join(offset, [*by, day])
-    valued = at.where("v is not null").select(*by, name, "v", (F.col("earlier") + F.col("in_day")).alias("seen"))
+    valued = at.where("v is not null").select(*by, row, "v", (F.col("earlier") + F.col("in_day")).alias("seen"))
     own = F.floor(F.col("seen") / size)
     halo = valued.withColumn("own", own).withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
     along = W.partitionBy(*by, "bucket").orderBy("seen")
@@ -130,12 +132,12 @@ def trailing_means(games: DataFrame, values: list[str], size: int = 400, levels=
     state = summed.withColumns({"before": back(1) - back(size + 1), "after": F.col("s") - back(size)}).where("own = bucket")
     mean = lambda s, n: F.when(n > 0, F.col(s) / n)
     n_before, n_after = F.least("seen", F.lit(size)), F.least(F.col("seen") + 1, F.lit(size))
-    known = state.select("level", "name", name, mean("before", n_before).alias("m"), n_before.alias("n"))
+    known = state.select("level", "name", row, mean("before", n_before).alias("m"), n_before.alias("n"))
     last = state.select(*by, (F.col("seen") + 1).alias("earlier"), mean("after", n_after).alias("m"), n_after.alias("n"))
-    waiting = at.where("v is null").select(*by, name, "earlier").join(last, [*by, "earlier"], "left").select("level", "name", name, "m", F.coalesce("n", F.lit(0)).alias("n"))
+    waiting = at.where("v is null").select(*by, row, "earlier").join(last, [*by, "earlier"], "left").select("level", "name", row, "m", F.coalesce("n", F.lit(0)).alias("n"))
     found = known.unionByName(waiting)
     this = lambda v, n, c: F.max(F.when((F.col("name") == v) & (F.col("level") == n), F.col(c)))
-    wide = found.groupBy(name).agg(*[this(v, n, c).alias(f"{v}_{n}_{a}") for v in values for n, _ in levels for a, c in (("mean", "m"), ("count", "n"))])
+    wide = found.groupBy(F.col(row).alias(name)).agg(*[this(v, n, c).alias(f"{v}_{n}_{a}") for v in values for n, _ in levels for a, c in (("mean", "m"), ("count", "n"))])
     return games.join(wide, name)
 
 

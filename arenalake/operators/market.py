@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from arenalake.functions import market as M
+from arenalake.operators.schedules import optional_bool
 
-#: Accepted headers of a market sheet, normalised, by canonical column.
+# Columns of a market sheet, the headers that stand for each (the first one present counts), and what must be there.
 HEADERS = {
-    "match_time": ("match_time", "start_time", "time", "kickoff"), "league_code": ("league_code", "league", "competition"),
-    "team1_name": ("team1_name", "team1", "home_team"), "team2_name": ("team2_name", "team2", "away_team"),
-    "team1_odds": ("team1_odds", "home_odds", "odds1"), "team2_odds": ("team2_odds", "away_odds", "odds2"), "bookmaker": ("bookmaker", "book"),
+    "match_id": ("match_id", "id"), "match_time": ("match_time", "start_time", "kickoff_time", "commence_time", "date_time"), "league": ("league", "competition", "tournament_league"),
+    "event_name": ("event_name", "event", "tournament", "competition_name"), "phase_label": ("phase_label", "phase", "stage", "round"),
+    "team1": ("team1", "home_team", "team_a", "participant1", "selection1"), "team2": ("team2", "away_team", "team_b", "participant2", "selection2"),
+    "team1_odds": ("team1_odds", "odds_team1", "home_odds", "team_a_odds", "odds1"), "team2_odds": ("team2_odds", "odds_team2", "away_odds", "team_b_odds", "odds2"),
+    "best_of": ("best_of", "bo", "series_best_of"), "patch": ("patch", "patch_version"), "league_code": ("league_code",), "split_name": ("split_name", "split"),
+    "playoffs": ("playoffs", "is_playoffs"), "bookmaker": ("bookmaker", "sportsbook", "book"), "stake": ("stake", "unit_stake", "bet_size"), "notes": ("notes", "comment", "memo"),
 }
-REQUIRED = ("team1_name", "team2_name", "team1_odds", "team2_odds")
+REQUIRED = ("match_time", "team1", "team2", "team1_odds", "team2_odds")
+#: Type of the columns that aren't text.
+SHEET_TYPES = {"team1_odds": "double", "team2_odds": "double", "best_of": "double", "stake": "double"}
 
 
-def conform_sheet(sheet: DataFrame) -> DataFrame:
-    """Sheet with canonical columns: headers are matched in lower case with '_' for other characters.
+def conform_sheet(sheet: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A sheet of text or typed columns with all columns of HEADERS, and its rejects (the same columns and a reason).
 
-    Missing optional columns are null; a missing required one raises ValueError.
+    Headers are matched in lower case with '_' for other characters. Missing optional columns are null;
+    a missing required one, or neither league nor league_code, raises ValueError. Numbers that can't be
+    read are null; a playoffs flag that can't be read rejects the row.
     """
-    import re
-
-    known = {re.sub(r"[^a-z0-9]+", "_", c.lower()).strip("_"): c for c in sheet.columns}
+    known = {re.sub(r"[^a-z0-9]+", "_", c.strip().lower()).strip("_"): c for c in sheet.columns}
     picked = {name: next((known[a] for a in options if a in known), None) for name, options in HEADERS.items()}
     if missing := [n for n in REQUIRED if picked[n] is None]:
         raise ValueError("missing columns: " + ", ".join(missing))
-    return sheet.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(n) for n, c in picked.items()])
+    if picked["league"] is None and picked["league_code"] is None:
+        raise ValueError("missing columns: league or league_code")
+    text = sheet.select(*[(F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")).alias(n) for n, c in picked.items()])
+    flag, bad = optional_bool(F.col("playoffs"))
+    typed = text.withColumns({"__bad": F.coalesce(bad, F.lit(False)), "playoffs": flag} | {n: F.trim(n).try_cast(t) for n, t in SHEET_TYPES.items()})
+    reject = typed.where("__bad").drop("__bad").withColumn("reason", F.lit("playoffs flag can't be read"))
+    return typed.where("not __bad").drop("__bad"), reject
 
 
 def evaluate_sides(market: DataFrame) -> DataFrame:
@@ -113,13 +127,23 @@ def _folded(df: DataFrame) -> DataFrame:
     return df.withColumns(keys | {"__odds": F.round("odds", 4)})
 
 
-def append_bets(ledger: DataFrame, proposals: DataFrame, stake: float = 1.0) -> DataFrame:
-    """Proposals that aren't open in the ledger yet, once each, as open bets. Keys are compared in lower case, odds to 4 places."""
+def append_bets(ledger: DataFrame, proposals: DataFrame, stake: float = 1.0, prefix: str | None = None) -> DataFrame:
+    """Proposals that aren't open in the ledger yet, once each, as open bets. Keys are compared in lower case, odds to 4 places.
+
+    A stake that isn't above 0 becomes `stake`. With prefix, notes say where the bets come from: the prefix,
+    the proposal's notes and its recommendation_reason, as far as there are any.
+    """
+    if stake <= 0:
+        raise ValueError("stake must exceed 0")
     keys = [f"__{k}" for k in DEDUP_KEYS] + ["__odds"]
     open_bets = _folded(ledger.where("status = 'open'")).select(*keys).distinct()
     once = _folded(proposals).withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("bet_id"))).where("r = 1").drop("r")
     fresh = once.join(open_bets, keys, "left_anti").drop(*keys)
-    return fresh.withColumns({"stake": F.coalesce("stake", F.lit(stake)), "status": F.lit("open")})
+    out = fresh.withColumns({"stake": F.when(F.col("stake") > 0, F.col("stake")).otherwise(F.lit(stake)), "status": F.lit("open")})
+    if prefix is None:
+        return out
+    told = [F.col(c) if c in out.columns else F.lit(None).cast("string") for c in ("notes", "recommendation_reason")]
+    return out.withColumn("notes", M.joined_notes(M.joined_notes(F.lit(prefix), told[0]), told[1]))
 
 
 def settle(bets: DataFrame, settlements: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -53,3 +53,28 @@ def source_metadata(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def prob_win_board(matches: DataFrame, winner: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches with their winner market, and totals markets, as two flat tables; what failed is a row with its error.
+
+    matches: match_id and anything else. winner: match_id, p, warnings (array), error (null where p is). totals: match_id,
+    market, line, mean, over, error (market null where a match has none). A match that is missing in winner or
+    totals has the error 'not scored'.
+    """
+    w = winner.select("match_id", "p", F.col("warnings").alias("__w"), F.col("error").alias("__e"), F.lit(True).alias("__scored"))
+    quoted = totals.groupBy("match_id").agg(F.count("market").alias("__markets"), F.max("error").alias("__t"))
+    p, missing = F.col("p"), F.lit("not scored")
+    winner_error = F.when(p.isNull(), F.coalesce("__e", missing))
+    totals_error = F.when(F.coalesce("__markets", F.lit(0)) == 0, F.coalesce("__t", missing))
+    board = matches.join(w, "match_id", "left").join(quoted, "match_id", "left").withColumns({
+        "winner_available": p.isNotNull(), "winner_error": winner_error, "team1_win_prob": p, "team2_win_prob": 1 - p, "team1_fair_odds": M.fair_odds(p), "team2_fair_odds": M.fair_odds(1 - p),
+        "favorite": F.when(p >= 0.5, "team1").when(p < 0.5, "team2"), "favorite_prob_pct": F.greatest(p, 1 - p) * 100, "totals_available": totals_error.isNull(), "totals_error": totals_error,
+        "warnings_json": F.to_json(F.array_distinct(F.array_compact(F.concat(F.coalesce("__w", F.array().cast("array<string>")), F.array(winner_error, totals_error))))),
+    }).drop("p", "__w", "__e", "__scored", "__markets", "__t")
+    over = F.col("over")
+    flat = totals.where("market is not null").select(
+        "match_id", F.col("market").alias("market_key"), "line", F.col("mean").alias("predicted_mean"), over.alias("over_prob"), (1 - over).alias("under_prob"),
+        M.fair_odds(over).alias("over_fair_odds"), M.fair_odds(1 - over).alias("under_fair_odds"),
+    )
+    return board, flat.join(matches.select("match_id"), "match_id", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arenalake.functions import columns as C
 from arenalake.operators import market as L
+from arenalake.operators import pages as P
 from arenalake.operators import quality as Q
 from arenalake.operators import reconcile as R
 from arenalake.operators import reports as O
@@ -164,3 +165,73 @@ def quality_issues(spark, sf_dir):
     covered = R.attach_coverage(R.reconciliation(base, official, wiki), o).withColumnRenamed("covered", "official_covered")
     covered = covered.withColumn("wiki_covered", F.coalesce(F.col("event_date").between(first, last), F.lit(False)))
     return Q.quality_issues(GP.entrants(spark, sf_dir), people, GP.series(spark, sf_dir), covered)
+
+
+# A bookmaker's sheet as CSV with headers of its own, from orders.
+
+_SHEETS = """s AS (SELECT o_orderkey AS k, o_orderdate, CASE o_orderkey % 9 WHEN 0 THEN 'maybe' WHEN 1 THEN '' WHEN 2 THEN 'No' ELSE 'TRUE' END AS flag, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (12 + o_orderkey % 30) / 10.0 END::DOUBLE AS odds FROM orders)"""
+
+
+def sheets(spark, sf_dir):
+    k = F.col("o_orderkey")
+    s = lambda c: c.cast("string")
+    flag = F.when(k % 9 == 0, "maybe").when(k % 9 == 1, "").when(k % 9 == 2, "No").otherwise("TRUE")
+    rows = table(spark, sf_dir, "orders").select(
+        s(k).alias("ID"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Kickoff Time"), F.col("o_orderpriority").alias("Competition"), F.lit("Cup").alias("Tournament"), F.lit("Week 1").alias("Stage"), F.concat(F.lit("A"), s(k)).alias("Home Team"), F.concat(F.lit("B"), s(k)).alias("Away Team"),
+        F.when(k % 7 == 0, "n/a").otherwise(s((12 + k % 30) / 10)).alias("Home Odds"), F.lit("2.5").alias("Odds (Team2)"), F.lit("3").alias("BO"), flag.alias("Is Playoffs"), F.lit("Book").alias("Sportsbook"), F.lit("1.5").alias("Unit-Stake"), F.lit("m").alias("Memo"), F.lit("x").alias("Other"),
+    )
+    path = files.scratch_dir(spark, "sheet")
+    rows.withColumnRenamed("Odds (Team2)", "odds team2").write.option("header", True).csv(path)
+    return L.conform_sheet(files.read_box_scores(spark, [path]))
+
+
+@query(f"""WITH {_SHEETS} SELECT CAST(k AS VARCHAR) AS match_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS match_time, 'Cup' AS event_name, 'Week 1' AS phase_label, 'A' || k AS team1, 'B' || k AS team2, odds AS team1_odds, 2.5::DOUBLE AS team2_odds, 3.0::DOUBLE AS best_of, CAST(NULL AS VARCHAR) AS patch,
+CASE flag WHEN 'TRUE' THEN true WHEN 'No' THEN false END AS playoffs, 'Book' AS bookmaker, 1.5::DOUBLE AS stake, 'm' AS notes FROM s WHERE flag <> 'maybe'""")
+def market_sheet(spark, sf_dir):
+    """A sheet read from CSV and brought to the published columns."""
+    return sheets(spark, sf_dir)[0].select("match_id", "match_time", "event_name", "phase_label", "team1", "team2", "team1_odds", "team2_odds", "best_of", "patch", "playoffs", "bookmaker", "stake", "notes")
+
+
+@query(f"WITH {_SHEETS} SELECT CAST(k AS VARCHAR) AS match_id, 'playoffs flag can''t be read' AS reason FROM s WHERE flag = 'maybe'")
+def market_sheet_rejects(spark, sf_dir):
+    return sheets(spark, sf_dir)[1].select("match_id", "reason")
+
+
+@query("""SELECT o_orderkey AS bet_id, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 ELSE 2 END::DOUBLE AS stake, 'from the sheet' || CASE WHEN o_orderkey % 3 = 0 THEN ' | own note' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE ' | edge' END AS notes FROM orders""")
+def recommended_bets(spark, sf_dir):
+    """Recommendations appended to an empty ledger: stake default, notes from prefix, note and reason."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("bet_id"), (k % 4).cast("double").alias("stake"), F.lit(1.5).alias("odds"), F.lit("open").alias("status"), k.cast("string").alias("match_time"), *[F.lit("x").alias(c) for c in L.DEDUP_KEYS if c != "match_time"],
+        F.when(k % 3 == 0, " own note ").otherwise("").alias("notes"), F.when(k % 5 != 0, "edge").alias("recommendation_reason"),
+    )
+    return L.append_bets(rows.limit(0), rows, 2.0, "from the sheet").select("bet_id", "stake", "notes")
+
+
+# Probabilities and totals quotes of matches to come, flat, with what failed.
+
+_BOARDS = """w AS (SELECT o_orderkey AS match_id, CASE WHEN o_orderkey % 5 > 0 THEN (1 + o_orderkey % 63) / 64.0 END::DOUBLE AS p, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown team' END AS error, CASE WHEN o_orderkey % 4 = 0 THEN ['patch not seen'] ELSE [] END AS warnings FROM orders WHERE o_orderkey % 7 > 0),
+t AS (SELECT o_orderkey AS match_id, unnest(CASE WHEN o_orderkey % 3 > 0 THEN ['kills', 'towers'] ELSE [NULL] END) AS market, CASE WHEN o_orderkey % 3 = 0 THEN 'no history' END AS error, (1 + o_orderkey % 15) / 16.0::DOUBLE AS over FROM orders WHERE o_orderkey % 11 > 0),
+m AS (SELECT o_orderkey AS match_id, o_orderpriority AS league FROM orders WHERE o_orderkey % 2 = 0),
+b AS (SELECT m.*, p, CASE WHEN p IS NULL THEN coalesce(w.error, 'not scored') END AS winner_error, warnings, CASE WHEN coalesce(q.n, 0) = 0 THEN coalesce(q.error, 'not scored') END AS totals_error FROM m LEFT JOIN w USING (match_id) LEFT JOIN (SELECT match_id, count(market) AS n, max(error) AS error FROM t GROUP BY 1) q USING (match_id))"""
+
+
+def _board_tables(spark, sf_dir):
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    none = F.lit(None).cast("string")
+    winner = o.where(k % 7 > 0).select(k.alias("match_id"), F.when(k % 5 > 0, (1 + k % 63) / 64.0).alias("p"), F.when(k % 4 == 0, F.array(F.lit("patch not seen"))).otherwise(F.array().cast("array<string>")).alias("warnings"), F.when(k % 5 == 0, "unknown team").alias("error"))
+    market = F.explode(F.when(k % 3 > 0, F.array(F.lit("kills"), F.lit("towers"))).otherwise(F.array(none)))
+    totals = o.where(k % 11 > 0).select(k.alias("match_id"), market.alias("market"), F.lit(9.5).alias("line"), F.lit(9.0).alias("mean"), ((1 + k % 15) / 16.0).alias("over"), F.when(k % 3 == 0, "no history").alias("error"))
+    return P.prob_win_board(o.where(k % 2 == 0).select(k.alias("match_id"), F.col("o_orderpriority").alias("league")), winner, totals)
+
+
+@query(f"""WITH {_BOARDS} SELECT match_id, league, p IS NOT NULL AS winner_available, winner_error, floor(p * 100000 + 0.5) / 100000 AS team1_win_prob, floor(100000 / (1 - p) + 0.5) / 100000 AS team2_fair_odds, CASE WHEN p >= 0.5 THEN 'team1' WHEN p < 0.5 THEN 'team2' END AS favorite, totals_error IS NULL AS totals_available, totals_error,
+'[' || array_to_string(list_transform(list_filter(list_concat(coalesce(warnings, []), [winner_error, CASE WHEN totals_error IS DISTINCT FROM winner_error THEN totals_error END]), lambda x: x IS NOT NULL), lambda x: '"' || x || '"'), ',') || ']' AS warnings_json FROM b""")
+def prob_win_matches(spark, sf_dir):
+    r = lambda c: C.rounded(F.col(c), 5).alias(c)
+    return _board_tables(spark, sf_dir)[0].select("match_id", "league", "winner_available", "winner_error", r("team1_win_prob"), r("team2_fair_odds"), "favorite", "totals_available", "totals_error", "warnings_json")
+
+
+@query(f"WITH {_BOARDS} SELECT match_id, market AS market_key, 9.5::DOUBLE AS line, over AS over_prob, floor(100000 / (1 - over) + 0.5) / 100000 AS under_fair_odds FROM t JOIN m USING (match_id) WHERE market IS NOT NULL")
+def prob_win_totals(spark, sf_dir):
+    return _board_tables(spark, sf_dir)[1].select("match_id", "market_key", "line", "over_prob", C.rounded(F.col("under_fair_odds"), 5).alias("under_fair_odds"))

@@ -154,6 +154,21 @@ def tournament_phases(spark, sf_dir):
     return G.tournament_phases(series(spark, sf_dir)).select("series_key", "from_end", "same_day", "phase")
 
 
+_ABROAD = ["BUILDING", "MACHINERY"]
+_PLACED = f"""{SERIES_SQL}, q AS (SELECT *, 'Q' || quarter(event_date) AS split_name, max(event_date) OVER (PARTITION BY league_code, season_year) - event_date AS days_from_end, count(*) OVER (PARTITION BY league_code, season_year, event_date) AS same_day FROM series),
+abroad AS (SELECT *, row_number() OVER (PARTITION BY league_code, season_year ORDER BY event_date DESC, games DESC, series_key DESC) AS r FROM q WHERE league_code IN ('BUILDING', 'MACHINERY')),
+home AS (SELECT *, row_number() OVER (PARTITION BY league_code, season_year, split_name ORDER BY event_date DESC, games DESC, series_key DESC) AS r FROM q WHERE league_code NOT IN ('BUILDING', 'MACHINERY'))"""
+
+
+@query(f"""{_PLACED} SELECT series_key, CAST(days_from_end AS INT) AS days_from_end, CASE WHEN r = 1 AND games >= 3 THEN 'Final' WHEN days_from_end = 0 AND same_day = 1 THEN 'Final' WHEN r IN (2, 3) AND games >= 3 AND days_from_end <= 10 THEN 'Semifinal'
+WHEN r BETWEEN 4 AND 8 AND games >= 3 AND days_from_end <= 20 THEN 'Quarterfinal' WHEN games <= 2 AND same_day >= 2 THEN 'Swiss/Groups' WHEN days_from_end > 25 THEN 'Play-in' ELSE 'Group Stage' END AS phase FROM abroad
+UNION ALL SELECT series_key, CAST(days_from_end AS INT), CASE WHEN playoffs = 1 AND r = 1 AND games >= 3 THEN 'Final' WHEN playoffs = 1 AND r IN (2, 3) AND games >= 3 THEN 'Semifinal' WHEN playoffs = 1 THEN 'Playoffs' ELSE 'Regular Season' END FROM home""")
+def competition_phases(spark, sf_dir):
+    """Phases by the rule of international tournaments for two leagues and by that of leagues for the others."""
+    s = series(spark, sf_dir).withColumn("split_name", F.concat(F.lit("Q"), F.quarter("event_date").cast("string")))
+    return G.competition_phases(s, _ABROAD).select("series_key", "days_from_end", "phase")
+
+
 @query(f"""{SERIES_SQL} SELECT league_code, season_year, event_date, winner_key AS champion_key, CASE WHEN winner_key = team1_key THEN team2_key ELSE team1_key END AS runner_up_key, score
 FROM series WHERE winner_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY league_code, season_year ORDER BY event_date DESC, series_key DESC) = 1""")
 def season_champions(spark, sf_dir):

@@ -72,6 +72,21 @@ def recent_form_and_streak(spark, sf_dir):
     return H.recent_and_streak(sides(spark, sf_dir)).select("game_id", "team_key", "n_prior", r4("recent_rate"), F.col("streak").cast("int").alias("streak"))
 
 
+_SERIES_SIDES = f"""{GP.SERIES_SQL}, ss AS (SELECT series_key, event_date, team1_key AS team_key, CASE WHEN winner_key IS NOT NULL THEN (winner_key = team1_key)::INT END AS win FROM series UNION ALL SELECT series_key, event_date, team2_key, CASE WHEN winner_key IS NOT NULL THEN (winner_key = team2_key)::INT END FROM series),
+prior AS (SELECT s.series_key, s.team_key, p.win, p.event_date, row_number() OVER (PARTITION BY s.series_key, s.team_key ORDER BY p.event_date DESC, p.series_key DESC) AS back FROM ss s JOIN ss p ON p.team_key = s.team_key AND p.event_date < s.event_date AND p.win IS NOT NULL),
+summed AS (SELECT series_key, team_key, count(*) AS n, sum(win) AS w, max(event_date) AS last, sum(win) FILTER (back <= 5) AS w5, arg_min(win, back) AS last_win, min(back) FILTER (win = 1) AS first_win, min(back) FILTER (win = 0) AS first_loss FROM prior GROUP BY 1, 2)"""
+
+
+@query(f"""{_SERIES_SIDES} SELECT s.series_key, s.team_key, coalesce(n, 0) AS prior_series, CAST(coalesce(w, 0) AS BIGINT) AS prior_series_wins, {ROUND.format("CASE WHEN n IS NULL THEN 0.5 ELSE w / n END")} AS prior_series_win_rate, CAST(s.event_date - last AS INT) AS days_since_last_series,
+{ROUND.format("CASE WHEN n IS NULL THEN 0.5 ELSE w5 / least(n, 5) END")} AS recent5_series_win_rate, CAST(CASE WHEN n IS NULL THEN 0 WHEN last_win = 1 THEN coalesce(first_loss - 1, n) ELSE -coalesce(first_win - 1, n) END AS INT) AS series_streak FROM ss s LEFT JOIN summed USING (series_key, team_key)""")
+def series_prior_form(spark, sf_dir):
+    """Prior totals, last five and streak at the grain of series; draws look back like others and are seen by none."""
+    rows = GP.G.series_sides(GP.series(spark, sf_dir)).withColumns({"game_id": F.col("series_key"), "game_number": F.lit(0)})
+    out = H.recent_and_streak(H.prior_totals(rows, ["team_key"], "prior_series"))
+    names = {"prior_series_games": "prior_series", "prior_series_days_since": "days_since_last_series", "recent_rate": "recent5_series_win_rate", "streak": "series_streak"}
+    return out.withColumnsRenamed(names).select("series_key", "team_key", "prior_series", "prior_series_wins", r4("prior_series_win_rate"), "days_since_last_series", r4("recent5_series_win_rate"), F.col("series_streak").cast("int").alias("series_streak"))
+
+
 _NPAIRS = f"WITH {GP.S.entrants_sql('nation')},{GP.B.PAIRS_SQL}"
 
 

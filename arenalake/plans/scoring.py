@@ -115,6 +115,35 @@ def optional_flags(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", value.alias("flag"), bad.alias("rejected"))
 
 
+# What a match page says, from the assembled features of played games and games to come.
+
+_TITLES = tuple(t for t in M.SIGNALS if t != "Base rating edge")
+_SIGNAL_SQL = {
+    "Recent form": ("(x.rr - y.rr) * 100", 10, "least(a.n, 5) + least(b.n, 5) >= 4"), "Long-run form": ("(x.pr - y.pr) * 100", 8, "a.n + b.n >= 12"), "Patch fit": ("(x.patch_rate - y.patch_rate) * 100", 8, "x.patch_games + y.patch_games >= 4"),
+    "Split fit": ("(x.split_rate - y.split_rate) * 100", 8, "x.split_games + y.split_games >= 4"), "Head-to-head": ("(CASE WHEN h.n = 0 THEN 0.5 ELSE h.w / h.n END - 0.5) * 100", 10, "h.n >= 2"),
+    "Roster continuity": ("x.om - y.om", 1, "abs(x.om - y.om) > 0.01"), "Roster stability": ("-(x.fresh - y.fresh)", 1, "abs(x.fresh - y.fresh) > 0.01"),
+}
+_STRUCTS = ", ".join(f"CASE WHEN {gate} AND ({diff}) IS NOT NULL THEN {{'o': -round(abs({diff}) / {scale}.0, 9), 'i': {i}, 't': '{t}', 's': CASE WHEN ({diff}) >= 0 THEN 1 ELSE 2 END}} END" for i, (t, (diff, scale, gate)) in enumerate(_SIGNAL_SQL.items()))
+
+
+@query(f"""{FP._ASSEMBLED}, rate AS (SELECT s.game_id, s.slot, count(p.game_id) AS n, coalesce(sum(p.win), 0) AS w, count(p.game_id) FILTER (p.patch_version IS NOT DISTINCT FROM s.patch_version) AS pn, coalesce(sum(p.win) FILTER (p.patch_version IS NOT DISTINCT FROM s.patch_version), 0) AS pw,
+  count(p.game_id) FILTER (p.split_name IS NOT DISTINCT FROM s.split_name) AS sn FROM s LEFT JOIN s p ON p.team_key = s.team_key AND p.event_date < s.event_date AND p.win IS NOT NULL GROUP BY 1, 2),
+num AS (SELECT s.*, g.game_number FROM s JOIN pairs g USING (game_id)),
+rec AS (SELECT game_id, slot, avg(win) AS rr FROM (SELECT s.game_id, s.slot, p.win, row_number() OVER (PARTITION BY s.game_id, s.slot ORDER BY p.event_date DESC, p.game_number DESC, p.game_id DESC) AS r FROM s JOIN num p ON p.team_key = s.team_key AND p.event_date < s.event_date AND p.win IS NOT NULL) WHERE r <= 5 GROUP BY 1, 2),
+side2 AS (SELECT each.game_id, each.slot, om, fresh, split_rate, rate.sn AS split_games, rate.pn AS patch_games, CASE WHEN rate.pn = 0 THEN 0.5 ELSE rate.pw / rate.pn END AS patch_rate, CASE WHEN rate.n = 0 THEN 0.5 ELSE rate.w / rate.n END AS pr, coalesce(rr, 0.5) AS rr FROM each JOIN rate ON rate.game_id = each.game_id AND rate.slot = each.slot LEFT JOIN rec ON rec.game_id = each.game_id AND rec.slot = each.slot),
+t AS (SELECT g.game_id, g.team1_key, g.team2_key, x.pr - y.pr AS gap, [z.t || ':' || z.s FOR z IN list_sort(list_filter([{_STRUCTS}], lambda q: q IS NOT NULL))[1:4]] AS said
+  FROM pairs g JOIN form a ON a.game_id = g.game_id AND a.team_key = g.team1_key JOIN form b ON b.game_id = g.game_id AND b.team_key = g.team2_key JOIN h ON h.game_id = g.game_id JOIN side2 x ON x.game_id = g.game_id AND x.slot = 1 JOIN side2 y ON y.game_id = g.game_id AND y.slot = 2)
+SELECT game_id, array_to_string(said, ',') AS signals, CASE WHEN abs(gap) * 100 >= 28 THEN 'High conviction' WHEN abs(gap) * 100 >= 16 THEN 'Solid edge' WHEN abs(gap) * 100 <= 8 THEN 'Fragile read' ELSE 'Leaning favorite' END AS confidence_label,
+CASE WHEN gap >= 0 THEN team1_key ELSE team2_key END || CASE WHEN len(said) > 0 THEN ' projects as the favorite mainly through ' || lower(array_to_string([split_part(z, ':', 1) FOR z IN said[1:2]], ', ')) || '.' ELSE ' projects as the favorite on the current prematch inputs.' END AS summary FROM t""")
+def match_explanations(spark, sf_dir):
+    """Seven of the eight published signals (ratings have SQL of their own) from real columns, confidence by the gap in win rates, and the summary."""
+    rows = FP.assembled(spark, sf_dir).where("diff_prior_win_rate is not null")
+    round_ = {c: F.round(c, 11) for c in ("diff_recent_rate", "diff_prior_win_rate", "diff_patch_win_rate", "diff_split_win_rate", "h2h_team1_rate", "diff_roster_shared_mean")}  # differences of like rates may differ in the last bit
+    out = M.explain_matches(rows.withColumns(round_), 0.5 + F.col("diff_prior_win_rate") / 2, titles=_TITLES)
+    told = F.transform("signals", lambda s: F.concat(s["title"], F.lit(":"), F.when(s["side"] == "team1", "1").otherwise("2")))
+    return out.select("game_id", F.array_join(told, ",").alias("signals"), "confidence_label", "summary")
+
+
 # Splits and metrics over the prior-form table.
 
 _SCORED = f"""WITH {GP.S.entrants_sql('nation')},{GP.B.PAIRS_SQL},
@@ -139,6 +168,13 @@ def expanding_folds(spark, sf_dir):
     return M.expanding_folds(scored(spark, sf_dir), 5).groupBy("segment").agg(F.count("*").alias("n"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"))
 
 
+@query(f"""{_SCORED}, d AS (SELECT event_date, row_number() OVER (ORDER BY event_date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT event_date FROM scored))
+SELECT CASE WHEN i <= greatest(floor(n * (1 - 0.15)), 1) THEN 'train' ELSE 'test' END AS split, count(*) AS n, min(event_date) AS first_day, max(event_date) AS last_day FROM scored JOIN d USING (event_date) GROUP BY 1""")
+def holdout_split(spark, sf_dir):
+    s = M.holdout_by_days(scored(spark, sf_dir), 0.15)
+    return s.groupBy("split").agg(F.count("*").alias("n"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"))
+
+
 def _round5(*cols):
     return [C.rounded(F.col(c), 5).alias(c) for c in cols]
 
@@ -174,7 +210,7 @@ NUMERIC = ["team1_prior_games", "team2_prior_games", "team1_prior_win_rate", "te
 @query()
 def win_model_predictions(spark, sf_dir):
     """Refit on train and validation, probabilities and fair odds for the test window."""
-    rows = M.calendar_split(training_rows(spark, sf_dir), "1999-01-01", "2000-01-01").persist()
+    rows = materialise(M.calendar_split(training_rows(spark, sf_dir), "1999-01-01", "2000-01-01"), "training")
     model = M.win_model("logistic", NUMERIC, ["league_code"], "label").fit(rows.where("split <> 'test'"))
     p = M.probability()
     return model.transform(rows.where("split = 'test'")).select("game_id", "label", p.alias("p"), (1 / p).alias("fair_odds"))
@@ -186,18 +222,35 @@ PREMATCH = [
 ] + ["team1_rating", "team2_rating", "diff_rating", "team1_expected", "h2h_games", "h2h_team1_rate"]
 
 
+def prematch_rows(spark, sf_dir):
+    """Assembled features of played games and games to come, as a written table of doubles with its categories."""
+    rows = FP.assembled(spark, sf_dir).select("game_id", "event_date", "league_code", "split_name", "patch_version", "team1_key", "team2_key", "is_future", F.col("label_team1_win").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in PREMATCH])
+    return materialise(rows.withColumn("split_name", F.coalesce("split_name", "league_code")), "prematch")
+
+
 @query()
 def future_win_scores(spark, sf_dir):
-    """Matches to come: fitted on all played games, saved as a run, loaded by its pointer; unknown leagues are told."""
-    rows = materialise(FP.assembled(spark, sf_dir).select("game_id", "league_code", "is_future", F.col("label_team1_win").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in PREMATCH]), "prematch")
+    """Matches to come: fitted on all played games, saved as a run, loaded by its pointer. A split that the model hasn't
+    seen counts as the league; what it hasn't seen is told."""
+    rows = prematch_rows(spark, sf_dir)
     played = rows.where("not is_future")
-    seen = sorted(r[0] for r in played.select("league_code").distinct().collect() if r[0])  # leagues, a dimension
+    seen = {c: sorted(r[0] for r in played.select(c).distinct().collect() if r[0]) for c in ("league_code", "split_name", "patch_version")}  # dimensions
+    teams = played.select(F.explode(F.array("team1_key", "team2_key")).alias("team")).distinct()
     root = files.scratch_dir(spark, "win-model")
-    M.save_run(M.win_model("logistic", PREMATCH, ["league_code"], "label").fit(played), root, "run", {"leagues": seen, "features": PREMATCH})
+    M.save_run(M.win_model("logistic", PREMATCH, ["league_code", "split_name"], "label").fit(played), root, "run", seen | {"features": PREMATCH})
     model, about = M.load_run(root)
     p = M.probability()
-    scored = model.transform(rows.where("is_future")).withColumn("p", p)
-    return scored.select("game_id", "p", market.fair_odds(F.col("p")).alias("fair_team1"), market.fair_odds(1 - F.col("p")).alias("fair_team2"), F.when(~F.col("league_code").isin(about["leagues"]), "unknown league").alias("warning"))
+    coming = rows.where("is_future")
+    for i in (1, 2):
+        coming = coming.join(teams.select(F.col("team").alias(f"team{i}_key"), F.lit(True).alias(f"known{i}")), f"team{i}_key", "left")
+    split = M.known_or(F.col("split_name"), about["split_name"], F.col("league_code"))
+    told = F.array_compact(F.array(
+        F.when(split != F.col("split_name"), F.concat(F.lit("split "), "split_name", F.lit(" not seen, league taken"))), F.when(~split.isin(about["split_name"]), F.concat(F.lit("split "), split, F.lit(" not seen"))),
+        F.when(F.col("known1").isNull(), F.concat("team1_key", F.lit(" not seen"))), F.when(F.col("known2").isNull(), F.concat("team2_key", F.lit(" not seen"))),
+        F.when(~F.col("league_code").isin(about["league_code"]), F.concat(F.lit("league "), "league_code", F.lit(" not seen"))), F.when(~F.col("patch_version").isin(about["patch_version"]), F.concat(F.lit("patch "), "patch_version", F.lit(" not seen"))),
+    ))
+    scored = model.transform(coming.withColumns({"warnings": told, "split_name": split})).withColumn("p", p)
+    return scored.select("game_id", "p", market.fair_odds(F.col("p")).alias("fair_team1"), market.fair_odds(1 - F.col("p")).alias("fair_team2"), F.array_join("warnings", "; ").alias("warnings"))
 
 
 @query()
@@ -239,18 +292,39 @@ def future_totals_quotes(spark, sf_dir):
     return X_FEATURES.model_quotes(predicted.where("is_future"), alpha)
 
 
+#: Boosted trees of the registered evaluations, as published.
+TREES = 300
+KINDS, FOLDS = ("logistic", "boosted"), 3
+
+
+def fold_rows(spark, sf_dir):
+    """Metrics of both kinds of win model on every fold, over the assembled features of played games."""
+    rows = prematch_rows(spark, sf_dir).where("not is_future").select("game_id", "event_date", "league_code", "split_name", "label", *PREMATCH)
+    return M.evaluate_folds(rows, KINDS, FOLDS, PREMATCH, ["league_code"], "label", TREES)
+
+
 @query()
 def win_model_selection(spark, sf_dir):
-    return M.select_model(M.evaluate_folds(training_rows(spark, sf_dir), ("logistic", "boosted"), 2, NUMERIC, ["league_code"], "label", trees=5))
+    """Both kinds of win model by their mean metrics over the folds, best first, with what they rest on."""
+    folds = materialise(fold_rows(spark, sf_dir), "fold-metrics")
+    return folds.join(M.select_model(folds).select("model", "place", F.col("log_loss").alias("mean_log_loss")), "model")
+
+
+@query()
+def win_model_holdout(spark, sf_dir):
+    """Refit on train and validation: holdout metrics of each kind of model and league, from the written predictions."""
+    rows = M.calendar_split(prematch_rows(spark, sf_dir).where("not is_future"), "1999-01-01", "2000-01-01").select("game_id", "event_date", "split", "league_code", "label", *PREMATCH)
+    kept = M.save_evaluation(M.holdout_predictions(rows, KINDS, PREMATCH, ["league_code"], "label", TREES), files.scratch_dir(spark, "run"))
+    return kept["league_metrics"].unionByName(kept["metrics"].withColumn("league_code", F.lit("all")))
 
 
 @query()
 def totals_model_predictions(spark, sf_dir):
-    g = H.rolling(H.sides(GP.pairs(spark, sf_dir, "nation")), ["kills", "kills_against"], (5, 10)).withColumn("y", F.col("kills").cast("double"))
-    features = [f"{m}_mean_{n}" for m in ("kills", "kills_against") for n in (5, 10)]
-    cut = M.calendar_split(g.select("event_date", "league_code", "y", *features), "1999-01-01", "2000-01-01").persist()
-    model = M.totals_model("ridge", features, ["league_code"], "y").fit(cut.where("split <> 'test'"))
-    return M.regression_metrics(model.transform(cut.where("split = 'test'")), ["league_code"], "y", "prediction")
+    """Ridge and boosted trees for all five targets on all rolled means: metrics of the test window per market and model."""
+    rows = M.calendar_split(totals_rows(spark, sf_dir).where("not is_future"), "1999-01-01", "2000-01-01")
+    targets = {f"target_total_{m}": totals_numeric(rows, m) for m in X_FEATURES.LINES}
+    predicted = M.totals_predictions(rows, targets, ("ridge", "boosted"), ["league_code"], TREES)
+    return M.regression_metrics(predicted.where("split = 'test'"), ["market", "model"], "y", "mu")
 
 
 @query(f"""{_SCORED}, t AS (SELECT *, abs(p - 0.5) * 200 AS gap, (y % 13)::DOUBLE AS spread FROM scored) SELECT game_id, CASE WHEN gap >= 28 AND spread <= 4 THEN 'High conviction' WHEN gap >= 16 AND spread <= 7.5 THEN 'Solid edge' WHEN gap <= 8 OR spread >= 10 THEN 'Fragile read' ELSE 'Leaning favorite' END AS tier,

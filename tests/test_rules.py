@@ -88,10 +88,28 @@ def test_settlement_profit(spark):
 
 
 def test_sheet_headers(spark):
-    sheet = spark.createDataFrame([("t", "L", "A", "B", 1.5, 2.5)], ["Start Time", "Competition", "Home Team", "Away Team", "Home Odds", "Away Odds"])
-    assert L.conform_sheet(sheet).first().asDict() == {"match_time": "t", "league_code": "L", "team1_name": "A", "team2_name": "B", "team1_odds": 1.5, "team2_odds": 2.5, "bookmaker": None}
+    sheet = spark.createDataFrame([("t", "L", "A", "B", 1.5, 2.5, "y", "x"), ("t", "L", "A", "B", 1.5, 2.5, "perhaps", "5")], ["Start Time", "Competition", "Home Team", "Away Team", "Home Odds", "Away  Odds!", " is playoffs", "BO"])
+    rows, rejects = L.conform_sheet(sheet)
+    got = {k: v for k, v in rows.first().asDict().items() if v is not None}
+    assert got == {"match_time": "t", "league": "L", "team1": "A", "team2": "B", "team1_odds": 1.5, "team2_odds": 2.5, "playoffs": True} and set(rows.columns) == set(L.HEADERS)
+    assert [(r.best_of, r.reason) for r in rejects.collect()] == [(5.0, "playoffs flag can't be read")] and rows.count() == 1
     with pytest.raises(ValueError, match="team2_odds"):
-        L.conform_sheet(sheet.drop("Away Odds"))
+        L.conform_sheet(sheet.drop("Away  Odds!"))
+    with pytest.raises(ValueError, match="league"):
+        L.conform_sheet(sheet.drop("Competition"))
+    assert L.conform_sheet(sheet.limit(0))[0].count() == 0
+
+
+def test_eight_signals_with_their_samples(spark):
+    from arenalake.operators import ml
+
+    cols = "team1_key string, team2_key string, team1_expected double, diff_recent_rate double, diff_prior_win_rate double, diff_patch_win_rate double, diff_split_win_rate double, h2h_team1_rate double, h2h_games long, diff_roster_shared_mean double, diff_new_players long, " + ", ".join(f"team{i}_{c} long" for i in (1, 2) for c in ("prior_games", "patch_games", "split_games"))
+    rows = [("a", "b", 0.7, -0.1, 0.2, 0.5, 0.5, 1.0, 2, 1.5, -3, 6, 1, 4, 6, 2, 0), ("a", "b", None, 0.9, 0.9, 0.9, 0.9, 0.9, 1, None, None, 1, 1, 1, 1, 1, 1)]
+    got = ml.explain_matches(spark.createDataFrame(rows, cols), F.lit(0.65), F.lit(7.0)).collect()
+    # Scores: rating 2.5, recent 1.0, long-run 2.5, split 6.25, pair 5, continuity 1.5, stability 3; no patch sample.
+    assert [(s.title, s.side, s.strength, round(s.size, 6)) for s in got[0].signals] == [("Split fit", "team1", "Strong", 50), ("Head-to-head", "team1", "Strong", 50), ("Roster stability", "team1", "Strong", 3), ("Base rating edge", "team1", "Strong", 20)]
+    assert got[0].summary == "a projects as the favorite mainly through split fit, head-to-head." and got[0].confidence_label == "Solid edge" and got[0].agreement_label == "High disagreement"
+    assert got[1].signals == [] and got[1].summary == "a projects as the favorite on the current prematch inputs."
 
 
 def test_folds_are_strictly_ordered(spark):
