@@ -11,6 +11,7 @@ from arenalake.functions import market as M
 from arenalake.functions.columns import first_text, infer_split, is_playoffs
 from arenalake.operators import history as H
 from arenalake.operators import reports as R
+from arenalake.operators.schedules import infer_patch
 
 #: Default lines of the totals markets.
 # Fixed values, as published.
@@ -187,14 +188,16 @@ def match_context(matches: DataFrame, aliases: DataFrame) -> DataFrame:
     """League code (explicit, slug or alias, else the name), split, playoffs and best-of of a match.
 
     matches: match_id, league, slug, league_code, split_name, phase, best_of. aliases: slug, code.
-    Explicit values override inferred ones; best_of is 3 unless given, and at least 1.
+    Explicit values override inferred ones; best_of is 3 unless given, and at least 1. Matches with a column
+    patch get a patch_version: their own, else the latest seen.
     """
     text = F.concat_ws(" ", "phase", "league")
-    known = matches.join(F.broadcast(aliases.withColumnRenamed("code", "alias_code")), "slug", "left")
+    own = infer_patch(matches) if "patch" in matches.columns else matches
+    known = own.join(F.broadcast(aliases.withColumnRenamed("code", "alias_code")), "slug", "left")
     code = first_text(F.col("league_code"), F.col("alias_code"), F.upper("league"))
     return known.select(
         "match_id", code.alias("league_code"), F.coalesce(first_text(F.col("split_name")), infer_split(text, code)).alias("split_name"), is_playoffs(text).alias("playoffs"),
-        F.greatest(F.coalesce("best_of", F.lit(3)), F.lit(1)).alias("best_of"),
+        F.greatest(F.coalesce("best_of", F.lit(3)), F.lit(1)).alias("best_of"), *([F.col("patch").alias("patch_version")] if own is not matches else []),
     )
 
 

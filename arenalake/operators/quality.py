@@ -28,6 +28,16 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def unique_grains(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """One row per table: keys, those that occur more than once, their percent, passed. tables: name to (rows, key columns)."""
+    parts = []
+    for name, (df, keys) in tables.items():
+        counted = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.count(F.when(F.col("n") > 1, 1)).alias("failing"))
+        parts.append(counted.select(F.lit(name).alias("table_name"), "*"))
+    pct = F.when(F.col("keys") == 0, F.lit(0.0)).otherwise(F.floor(F.col("failing") * 10000 / F.col("keys") + 0.5) / 100)
+    return reduce(DataFrame.unionByName, parts).withColumns({"failing_pct": pct, "passed": F.col("failing") == 0})
+
+
 def same_key_both_sides(participants: DataFrame) -> DataFrame:
     """Participants who appear on both sides of one game."""
     return participants.groupBy("game_id", "player_key").agg(F.countDistinct("side").alias("sides")).where("sides > 1")

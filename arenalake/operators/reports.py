@@ -16,6 +16,12 @@ def role_order(role: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_ORDER.items() for x in kv]), role), F.lit(9))
 
 
+def lineups(participants: DataFrame) -> DataFrame:
+    """Players of each game and side in the order of roles, unknown roles last, then by participant."""
+    listed = F.array_sort(F.collect_list(F.struct(role_order(F.col("role")).alias("o"), "participant_id", "player_key")))
+    return participants.groupBy("game_id", "side").agg(F.transform(listed, lambda p: p["player_key"]).alias("lineup"))
+
+
 def exact_mean(value: Column) -> Column:
     """Mean of values in whole thousandths: such sums are exact, so their order doesn't matter."""
     return F.avg(F.floor(value * 1000 + 0.5)) / 1000

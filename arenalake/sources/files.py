@@ -90,11 +90,37 @@ def read_nested_json(spark: SparkSession, path: str, schema: T.StructType | str,
 
 def read_schedule_payload(spark: SparkSession, path: str, row: T.StructType) -> DataFrame:
     """A schedule that is a list of rows, or an object with a list under `rows`."""
-    listed = spark.read.schema(T.StructType([*row.fields, T.StructField("rows", T.ArrayType(row))])).option("multiLine", True).json(path)
+    listed = spark.read.schema(T.StructType([*row.fields, T.StructField("rows", T.ArrayType(row))])).option("multiLine", True).option("recursiveFileLookup", True).json(path)
     flat = listed.where("rows is null").select(*[F.col(f"`{c}`") for c in row.names])
     return flat.unionByName(listed.where("rows is not null").select(F.explode("rows").alias("r")).select("r.*"))
 
 
+# Official feeds: the feed's field, our column, its type. Names of the published feeds.
+OFFICIAL = {
+    "leagues": (("id", "official_league_id", "string"), ("slug", "official_league_slug", "string"), ("name", "official_league_name", "string"), ("region", "official_region", "string"), ("image_url", "official_image_url", "string"), ("priority", "official_priority", "int")),
+    "tournaments": (("id", "official_tournament_id", "string"), ("slug", "official_tournament_slug", "string"), ("name", "official_tournament_name", "string"), ("league_id", "official_league_id", "string"), ("start_date", "official_start_time", "timestamp"), ("end_date", "official_end_time", "timestamp")),
+}
+
+
+def read_official(spark: SparkSession, path: str, feed: str) -> DataFrame:
+    """Leagues or tournaments of the official feed, typed: JSON objects or lists of them; what can't be read is null; league slugs in lower case."""
+    schema = T.StructType([T.StructField(f, T.StringType()) for f, *_ in OFFICIAL[feed]])
+    rows = read_nested_json(spark, path, schema, multi_line=True)
+    typed = rows.select(*[F.col(f).try_cast(kind).alias(c) if kind != "string" else F.col(f).alias(c) for f, c, kind in OFFICIAL[feed]])
+    return typed.withColumn("official_league_slug", F.lower("official_league_slug")) if feed == "leagues" else typed
+
+
+# Columns of a wiki schedule.
+WIKI_SCHEDULE = ("MatchId", "Team1", "Team2", "Winner", "Team1Score", "Team2Score", "DateTime_UTC", "BestOf", "OverviewPage", "ShownName", "Patch", "Round", "Phase", "Tab", "MatchDay")
+
+
+def read_wiki_schedule(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of wiki schedules, a list or an object with `rows`: the columns of WIKI_SCHEDULE as text; a column that a file lacks is null."""
+    feed = lambda c: "DateTime UTC" if c == "DateTime_UTC" else c
+    row = T.StructType([T.StructField(feed(c), T.StringType()) for c in WIKI_SCHEDULE])
+    return read_schedule_payload(spark, path, row).select(*[F.col(f"`{feed(c)}`").alias(c) for c in WIKI_SCHEDULE])
+
+
 def read_live_frames(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Live-stat documents as frames and as events."""
     schema = "game_id string, frames array<struct<ts:timestamp,blue_gold:bigint,red_gold:bigint>>, events array<struct<ts:timestamp,type:string,team:string>>"
