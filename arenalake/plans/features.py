@@ -11,6 +11,7 @@ from arenalake.plans import gold as GP
 from arenalake.plans import history as HP
 from arenalake.plans import reports as RP
 from arenalake.plans.registry import query
+from arenalake.sources.files import materialise
 from arenalake.sources.standin import table
 
 
@@ -63,9 +64,10 @@ def played_and_coming(spark, sf_dir):
 
 
 def assembled(spark, sf_dir):
-    played, coming = played_and_coming(spark, sf_dir)
-    facts = GP.G.player_facts(GP.participants(spark, sf_dir), GP.entrants(spark, sf_dir, "nation"))
-    return X.assembled(played, facts.where(F.col("event_date") < F.lit(LATER).cast("date")), coming)
+    """All feature groups, from written pairs and facts, as a dozen branches read them."""
+    played, coming = (materialise(df, "pairs") for df in played_and_coming(spark, sf_dir))
+    facts = GP.G.player_facts(GP.participants(spark, sf_dir), GP.entrants(spark, sf_dir, "nation")).where(F.col("event_date") < F.lit(LATER).cast("date"))
+    return X.assembled(played, materialise(facts.select("game_id", "side", "team_key", "event_date", "player_key", "champion_name", "win"), "facts"), coming)
 
 
 _LATER_SIDES = f"""{_PREMATCH.replace("pairs AS (SELECT * REPLACE", GP.S.participants_sql().strip() + ", pairs AS (SELECT * REPLACE", 1)},

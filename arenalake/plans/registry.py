@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries.
-MODULES = ("gold", "reconcile", "history", "market", "reports", "scoring", "streams", "features", "files", "pages", "boards", "bundles")
+MODULES = ("gold", "reconcile", "history", "market", "reports", "scoring", "streams", "features", "files", "pages", "boards", "bundles", "boxscores")
 FLAGSHIP = "prior_form_head_to_head"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
