@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -61,6 +62,13 @@ def hot_limit(rows: int) -> int:
     return max(1000, rows // 1000)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system; else a worker, or the driver, holds it as long as it lives."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

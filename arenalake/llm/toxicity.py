@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import math
 import pickle
 import uuid
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arenalake.llm.common import materialise
+from arenalake.llm.common import give_back, materialise
 
 #: Labelled examples kept per class, the ones with the smallest hash of their doc_id (bounded sample).
 EXAMPLES = {1: 2000, 0: 4000}
@@ -84,7 +83,7 @@ class Vocabulary:
         self.cache = _Hits(self.base)
 
     def terms(self, text: str | None) -> np.ndarray:
-        if len(self.cache) > 50_000:
+        if len(self.cache) > 200_000:
             self.cache.clear()
         counts = Counter(chain.from_iterable(map(self.cache.__getitem__, (text or "").split())))
         if not counts:
@@ -246,10 +245,7 @@ def _model(name: str, data: bytes) -> ToxicityModel:
     if name not in _built:
         _built.clear()
         _built[name] = ToxicityModel.unpacked(data)
-        # What building it took goes back to the system; else a worker holds it as long as it lives.
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
     return _built[name]
 
 
@@ -300,6 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
     if not terms:
         return None
     strength = np.maximum(np.abs(z), LEAST_STRENGTH)
+    del held, pos, neg, p, z
     vocabulary = Vocabulary(terms)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -312,13 +309,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
     # Examples whose strongest terms are alike share blocks, so that bounds differ.
     heaviest = [(r[np.argsort(-strength[r], kind="stable")[:4]]).tolist() for r in lists]
     order = sorted(range(len(lists)), key=lambda i: (heaviest[i], i))
-    ids, y, lists = ids[order], y[order], [lists[i] for i in order]
+    ids, y, lists = ids[order], y[order], [lists[i].copy() for i in order]
+    del found, heaviest
+    give_back()
     index = BlockMaxIndex.build(ids, y, lists, len(terms), strength)
     model = ToxicityModel(vocabulary, index, float(share), n[1] / (n[0] + n[1]), 1.0, 0.0)
     votes = np.array([v[0] for v in model.votes(lists, ids)])
     weight = np.where(y > 0, share / n[1], (1 - share) / n[0]) * len(y)
     model.slope, model.shift = _platt(votes, y, weight)
-    return model.packed(terms, strength, lists)
+    data = model.packed(terms, strength, lists)
+    del model, index, vocabulary, held_terms, lists, terms
+    give_back()
+    return data
 
 
 def score_column(docs: DataFrame, labels: DataFrame) -> Column:
