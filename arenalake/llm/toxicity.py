@@ -66,8 +66,13 @@ class _Hits(dict):
         return _Hits, (self.base,)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        base = self.base
-        hits = self[word] = tuple([base[f] for f in terms_of(word) if f in base])
+        """terms_of() looked up; most new words are numbers and names without a kept term, so this is kept short."""
+        get, w = self.base.get, word.lower().strip(STRIP)
+        found = [get(w)] if w else []
+        for n in PREFIXES:
+            if len(w) > n:
+                found.append(get(w[:n] + "~"))
+        hits = self[word] = tuple([f for f in found if f is not None])
         return hits
 
 
@@ -154,11 +159,11 @@ class BlockMaxIndex:
             full[i, at[at >= 0]] = w[at >= 0]
             rare, w = terms[at < 0], w[at < 0]
             begin, n = self.start[rare], self.start[rare + 1] - self.start[rare]
-            lists = [slice(a, b) for a, b in zip(begin.tolist(), (begin + n).tolist(), strict=True)]
-            if lists:
-                weight = np.concatenate([self.weight[x] for x in lists])
-                weight *= np.repeat(w, n)
-                part[i] = np.bincount(np.concatenate([self.doc[x] for x in lists]), weight, minlength=part.shape[1])
+            at = np.arange(int(n.sum()))
+            at += np.repeat(begin - (np.cumsum(n) - n), n)  # the lists one after the other
+            weight = self.weight[at]
+            weight *= np.repeat(w, n)
+            part[i] = np.bincount(self.doc[at], weight, minlength=part.shape[1])
         return part, full
 
     def nearest_of(self, queries: list, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
