@@ -345,13 +345,14 @@ def read_landed_years(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, year int").parquet(f"{root}/rows").where(F.col("year").isin(done))
 
 
-# Wiki feeds: the feed's field, our column, its type, and whether a row is nothing without it.
+# Wiki feeds: the feed's field, our column, its type, and whether a row is nothing without it; keys first, then in the feed's order.
 # Names of the published feeds.
 WIKI = {
     "player_games": (
         ("GameId", "game_id", "string", True), ("MatchId", "match_id", "string", False), ("DateTime UTC", "played_at", "timestamp", True), ("Tournament", "tournament", "string", False), ("Link", "player_link", "string", True),
-        ("Name", "player_name", "string", False), ("Team", "team_name", "string", False), ("Champion", "champion_name", "string", False), ("Role", "role", "string", False), ("Side", "side", "int", False), ("PlayerWin", "win", "flag", False),
+        ("Name", "player_name", "string", False), ("Team", "team_name", "string", False), ("Champion", "champion_name", "string", False), ("Role", "role", "string", False),
         ("Kills", "kills", "int", False), ("Deaths", "deaths", "int", False), ("Assists", "assists", "int", False), ("CS", "cs", "int", False), ("Gold", "gold", "int", False), ("DamageToChampions", "damage", "int", False), ("VisionScore", "vision_score", "int", False),
+        ("Side", "side", "int", False), ("PlayerWin", "win", "flag", False),
     ),
     "profiles": (
         ("ID", "player_id", "string", True), ("Player", "player_page", "string", False), ("Name", "full_name", "string", False), ("NationalityPrimary", "nationality", "string", False), ("Birthdate", "birthdate", "date", False),
@@ -376,8 +377,9 @@ def read_wiki(spark: SparkSession, path: str, feed: str) -> tuple[DataFrame, Dat
     """Typed rows of a wiki feed of WIKI, and rejects (source_file, reason, record).
 
     Files are JSON lists of rows whose values are text. A file that is no JSON is one reject; a row that lacks a
-    field it needs, or has a value that is not of its type, is one reject with the first such reason, and
-    is not among the rows. Fields that the feed doesn't have are ignored.
+    field it needs, or has a value that is not of its type, is one reject with the first such reason (missing
+    fields before bad values, each in the order of WIKI), and is not among the rows. Fields that the feed
+    doesn't have are ignored.
     """
     fields = WIKI[feed]
     schema = T.StructType([T.StructField(f, T.StringType()) for f, *_ in fields] + [T.StructField("_corrupt", T.StringType())])

@@ -142,3 +142,12 @@ def test_wiki_rows_and_rejects(spark, tmp_path):
     rows, rejects = files.read_wiki(spark, str(tmp_path), "profiles")
     assert sorted((r.player_id, r.full_name, str(r.birthdate), r.retired, r.team_name) for r in rows.collect()) == [("p1", "Ann", "2000-02-29", False, None), ("p3", "Ann", "None", True, None)]
     assert sorted((r.source_file, r.reason) for r in rejects.collect()) == [("1.json", "birthdate is no date"), ("1.json", "player_id is missing"), ("2.json", "not JSON")]
+
+
+def test_wiki_row_with_several_faults_has_the_first_reason(spark, tmp_path):
+    good = {"GameId": "g", "DateTime UTC": "2024-01-01 00:00:00", "Link": "Ann", "Side": "1", "PlayerWin": "Yes", "Kills": "3"}
+    bad = [{"Link": "both", "Kills": "n/a", "PlayerWin": "maybe"}, {"Link": "flag", "PlayerWin": "maybe"}, {"Link": "side", "Side": "left", "PlayerWin": "maybe"}, {"Link": "all", "GameId": " ", "Kills": "n/a", "PlayerWin": "maybe"}]
+    (tmp_path / "1.json").write_text(json.dumps([good, *[good | b for b in bad]]))
+    rows, rejects = files.read_wiki(spark, str(tmp_path), "player_games")
+    assert [(r.player_link, r.side, r.win, r.kills) for r in rows.collect()] == [("Ann", 1, True, 3)]
+    assert sorted((json.loads(r.record)["Link"], r.reason) for r in rejects.collect()) == [("all", "game_id is missing"), ("both", "kills is no int"), ("flag", "win is no flag"), ("side", "side is no int")]
