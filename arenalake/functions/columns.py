@@ -66,6 +66,15 @@ def rate(part: Column, whole: Column, neutral: float = 0.5) -> Column:
     return F.when(F.coalesce(whole, F.lit(0)) == 0, F.lit(neutral)).otherwise(part / whole)
 
 
+def whole_variance(value: Column) -> Column:
+    """Aggregate: population variance of integers, from their exact count, sum and sum of squares, so that the order
+    in which rows meet can't move its last digits; null without values."""
+    x = value.cast("bigint")
+    exact = lambda c: c.cast("decimal(19,0)")
+    n, total, squares = exact(F.count(x)), exact(F.sum(x)), F.sum(exact(x * x))
+    return (n * squares - total * total).cast("double") / F.nullif(n * n, F.lit(0)).cast("double")
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Percent to one decimal, half up on the scaled value; 0 without rows."""
     return F.when(F.coalesce(whole, F.lit(0)) == 0, F.lit(0.0)).otherwise(F.floor(part * 1000 / whole + 0.5) / 10)

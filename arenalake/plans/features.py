@@ -152,7 +152,7 @@ q AS ({" UNION ALL ".join(f"SELECT match_id, games, '{m}' AS market, {x} AS line
 SELECT match_id, market, line::DOUBLE AS line, {R4.format("(mean * games + prior * 8) / (games + 8)")} AS mean, floor((variance * games + prior * 8) / (games + 8) * 100 + 0.5) / 100 AS variance, CASE WHEN games < 10 THEN 'small sample' END AS warning FROM q""")
 def totals_quotes(spark, sf_dir):
     e = GP.entrants(spark, sf_dir)
-    s = e.groupBy(F.concat_ws(":", "league_code", "team_key").alias("match_id")).agg(F.count("*").alias("games"), *[x for m in _M for x in ((F.avg(m) * 2).alias(f"{m}_mean"), (F.var_pop(m) * 2).alias(f"{m}_var"))])
+    s = e.groupBy(F.concat_ws(":", "league_code", "team_key").alias("match_id")).agg(F.count("*").alias("games"), *[x for m in _M for x in ((F.avg(m) * 2).alias(f"{m}_mean"), (C.whole_variance(F.col(m)) * 2).alias(f"{m}_var"))])
     out = X.totals_quotes(s.withColumns({f"{m}_prior": F.lit(x) for m, x in X.LINES.items()}))
     return out.select("match_id", "market", "line", r4("mean"), C.rounded(F.col("variance"), 2).alias("variance"), "warning")
 

@@ -80,6 +80,19 @@ def test_devig_kelly_and_totals(spark):
     assert r.a + r.b == pytest.approx(1) and r.k == 0 and r.bad is None and r.o == pytest.approx(0.337373, abs=1e-5)
 
 
+def test_variance_on_a_rounding_tie_is_the_same_in_any_order(spark, monkeypatch):
+    from arenalake.plans import features as P
+
+    towers = [0] * 4 + [1] * 4 + [2] * 5 + [3] * 3 + [4] + [5] * 3 + [6] + [7] * 2 + [8] * 2 + [9] * 2 + [10] * 3 + [11] * 2
+    for order in (towers, towers[::-1], towers[::2] + towers[1::2]):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(order)], "i int, towers int").coalesce(1)
+        e = rows.select(F.lit("L").alias("league_code"), F.lit("t").alias("team_key"), "towers", *[F.lit(None).cast("int").alias(m) for m in ("kills", "dragons", "barons")], F.lit(3).alias("inhibitors"))
+        monkeypatch.setattr(P.GP, "entrants", lambda *_, e=e: e)
+        got = {r.market: (r["mean"], r.variance) for r in P.totals_quotes(spark, "").collect()}
+        # (2 * 13552 / 1024 * 32 + 12.5 * 8) / 40 is 23.675.
+        assert got == {"kills": (None, None), "dragons": (None, None), "barons": (None, None), "towers": (9.9, 23.68), "inhibitors": (5.1, 0.3)}
+
+
 def test_settlement_profit(spark):
     bets = spark.createDataFrame([(1, 10.0, 1.42, "open"), (2, 5.0, 2.0, "settled")], "bet_id int, stake double, odds double, status string")
     good, bad = L.settle(bets, spark.createDataFrame([(1, "win"), (2, "win"), (3, "loss")], "bet_id int, outcome string"))
