@@ -77,24 +77,38 @@ def model_core(reconciled: DataFrame, leagues: list[str]) -> DataFrame:
     )
 
 
+def _held(texts: DataFrame, column: str, wholes: DataFrame, whole: str) -> DataFrame:
+    """Pairs of texts and the wholes that they hold: the texts' substrings, of the lengths that wholes have, met by equality."""
+    sizes = wholes.agg(F.collect_set(F.length(whole)).alias("sizes"))  # one row: as many numbers as names have lengths
+    c = F.col(column)
+    cut = F.flatten(F.transform("sizes", lambda n: F.transform(F.when(n <= F.length(c), F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, n))))
+    return texts.join(F.broadcast(sizes)).select(column, F.explode(F.array_distinct(cut)).alias(whole)).join(wholes, whole)
+
+
 def resolve_names(queries: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
     """Free-text names to entities: exact key, alias, then containment either way.
 
     queries: query_id, name; known: entity_key, name. Containment joins the distinct substrings
     of each name with the whole names of the other side, so it is exact at every length. Status is exact, alias, contains, ambiguous or
     unknown; an ambiguous name has no entity.
+
+    All of it runs over the distinct names, and a name keeps the smallest and the largest entity of a step only (it is
+    ambiguous if they differ), so a name that many queries have and that is part of every known one costs one row for each of these.
     """
     q = queries.withColumn("norm", normalise(F.col("name"))).drop("name")
-    k = known.select("entity_key", normalise(F.col("name")).alias("k_norm")).distinct()
-    exact = q.join(k, q.norm == k.k_norm).select("query_id", "entity_key", F.lit(1).alias("step"))
-    alias = q.join(aliases, q.norm == aliases["alias"]).join(k, F.col("canonical") == F.col("k_norm")).select("query_id", "entity_key", F.lit(2).alias("step"))
-    parts = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n))))))
-    names, whole = q.where("norm <> ''").select("norm").distinct(), k.where("k_norm <> ''").select("k_norm").distinct()
-    inner = names.select("norm", parts(F.col("norm")).alias("k_norm")).join(whole, "k_norm")
-    outer = whole.select("k_norm", parts(F.col("k_norm")).alias("norm")).join(names, "norm")
-    met = inner.unionByName(outer).distinct()
-    near = q.join(met, "norm").join(k, "k_norm").select("query_id", "entity_key", F.lit(3).alias("step")).distinct()
-    found = exact.unionByName(alias).unionByName(near)
-    best = found.withColumn("first", F.min("step").over(W.partitionBy("query_id"))).where("step = first").groupBy("query_id", "step").agg(F.countDistinct("entity_key").alias("n"), F.min("entity_key").alias("entity_key"))
-    name = F.when(F.col("n") > 1, "ambiguous").when(F.col("step") == 1, "exact").when(F.col("step") == 2, "alias").when(F.col("step") == 3, "contains").otherwise("unknown")
-    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.when(F.col("n") == 1, F.col("entity_key")).alias("entity_key"), name.alias("status"))
+    k = known.select("entity_key", normalise(F.col("name")).alias("k_norm")).groupBy("k_norm").agg(F.min("entity_key").alias("low"), F.max("entity_key").alias("high"))
+    names = q.select("norm").distinct()
+    told, whole = names.where("norm <> ''"), k.where("k_norm <> ''").select("k_norm")
+    exact = names.join(k, names["norm"] == k["k_norm"]).select("norm", F.lit(1).alias("step"), "low", "high")
+    alias = names.join(aliases, names["norm"] == aliases["alias"]).join(k, F.col("canonical") == F.col("k_norm")).select("norm", F.lit(2).alias("step"), "low", "high")
+    met = _held(told, "norm", whole, "k_norm").unionByName(_held(whole, "k_norm", told, "norm"))
+    near = met.join(k, "k_norm").select("norm", F.lit(3).alias("step"), "low", "high")
+
+    def first_step(df: DataFrame, key: str) -> DataFrame:
+        steps = df.groupBy(key, "step").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        return steps.groupBy(key).agg(F.min(F.struct("step", "low", "high")).alias("best")).select(key, "best.*")
+
+    found = first_step(exact.unionByName(alias).unionByName(near), "norm")
+    best = first_step(q.join(found, "norm"), "query_id")
+    name = F.when(F.col("low") < F.col("high"), "ambiguous").when(F.col("step") == 1, "exact").when(F.col("step") == 2, "alias").when(F.col("step") == 3, "contains").otherwise("unknown")
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("entity_key"), name.alias("status"))
