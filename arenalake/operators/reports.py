@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from arenalake.functions.columns import kda, ladder, percent
-from arenalake.operators.history import as_of
 
 ROLE_ORDER = {"top": 1, "jng": 2, "mid": 3, "bot": 4, "sup": 5}
 
@@ -186,26 +189,56 @@ def roster_overlap(rosters: DataFrame, back: int = 3) -> DataFrame:
     return rosters.withColumns({"overlap_previous": known[0], "overlap_mean": mean})
 
 
-def draft_pool(facts: DataFrame, games: int = 25, coming: DataFrame | None = None) -> DataFrame:
+#: Games of a team that a task of draft pools goes through at once.
+POOL_GAMES = 20_000
+
+
+def _pools(games: int, block: int):
+    """Function of one team's block of games, with the games before it that its first ones look back on: the counts before each row."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "asks"], ascending=[True, False], kind="stable")  # a game to come before the game of its number
+        first = int(pdf["block"].iloc[0]) * block + 1  # of the rows that are this block's own
+        held: Counter = Counter()
+        last: deque = deque()
+        out = []
+        for game, at, asks, picks in zip(pdf["game_id"], pdf["at"], pdf["asks"], pdf["picks"], strict=True):
+            while last and last[0][0] < at - games:
+                for c in last.popleft()[1]:
+                    held[c] -= 1
+                    if not held[c]:
+                        del held[c]
+            if at >= first:
+                near = Counter(c for n, chosen in islice(reversed(last), 10) if n >= at - 10 for c in chosen)
+                total = sum(held.values())
+                out.append((game, len(near), len(held), sum(sorted(held.values(), reverse=True)[:5]) / total if total else 0.0))
+            if not asks:
+                chosen = [] if picks is None else list(picks)
+                held.update(chosen)
+                last.append((at, chosen))
+        made = pd.DataFrame(out, columns=["game_id", "unique_10", "unique_25", "top5_share"])
+        made.insert(0, "team_key", pdf["team_key"].iloc[0])
+        return made
+
+    return count
+
+
+def draft_pool(facts: DataFrame, games: int = 25, coming: DataFrame | None = None, block: int = POOL_GAMES) -> DataFrame:
     """Per team and game: different champions in the last 10 and `games` games before it, and the share of the five most played.
 
     coming: game_id, team_key, event_date of games without picks; they look back on the team's last games
     before their day, and no game looks back on them.
 
-    Every pick is sent to the `games` games that look back on it and counted there by champion, so the
-    work grows with the picks and no list of picks is searched.
+    A team's games are numbered and dealt in blocks of `block` games; the last `games` of a block also go to the
+    next one, so a task holds a block, and every pick is sent once or twice.
     """
-    picks = facts.where("team_key is not null").groupBy("team_key", "event_date", "game_id").agg(F.collect_list("champion_name").alias("picks"))
-    numbered = picks.withColumn("idx", F.row_number().over(W.partitionBy("team_key").orderBy("event_date", "game_id")))
-    at = numbered
+    own = facts.where("team_key is not null")
+    rows = own.groupBy("team_key", "event_date", "game_id").agg(F.collect_list("champion_name").alias("picks")).withColumn("asks", F.lit(False))
     if coming is not None:
-        ahead = as_of(numbered, coming.select("game_id", "team_key", "event_date"), "team_key", ("event_date", "game_id"), ["idx"])
-        at = at.unionByName(ahead.withColumn("idx", F.coalesce("idx", F.lit(0)) + 1), allowMissingColumns=True)
-    each = numbered.select("team_key", "idx", F.explode("picks").alias("champion"))
-    sent = each.select("team_key", "champion", F.col("idx"), F.explode(F.sequence(F.lit(1), F.lit(games))).alias("back")).withColumn("idx", F.col("idx") + F.col("back"))
-    counted = sent.groupBy("team_key", "idx", "champion").agg(F.count("*").alias("n"), F.min("back").alias("nearest"))
-    most = F.aggregate(F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 5), F.lit(0).cast("long"), lambda a, x: a + x)
-    seen = counted.groupBy("team_key", "idx").agg(F.count_if(F.col("nearest") <= 10).alias("u10"), F.count("*").alias("u25"), (most / F.sum("n")).alias("top5"))
-    return at.join(seen, ["team_key", "idx"], "left").select(
-        "team_key", "game_id", F.coalesce("u10", F.lit(0)).cast("int").alias("unique_10"), F.coalesce("u25", F.lit(0)).cast("int").alias("unique_25"), F.coalesce("top5", F.lit(0.0)).alias("top5_share")
-    )
+        rows = rows.unionByName(coming.select("team_key", "event_date", "game_id", F.lit(None).cast("array<string>").alias("picks"), F.lit(True).alias("asks")))
+    # Games to come stand before the games of their day, and read the number that has been reached.
+    along = W.partitionBy("team_key").orderBy("event_date", F.desc("asks"), "game_id").rowsBetween(W.unboundedPreceding, 0)
+    numbered = rows.withColumn("at", F.count(F.when(~F.col("asks"), 1)).over(along) + F.col("asks").cast("int"))
+    home, place = F.floor((F.col("at") - 1) / block), (F.col("at") - 1) % block
+    dealt = numbered.withColumn("block", F.explode(F.when(~F.col("asks") & (place >= block - games), F.array(home, home + 1)).otherwise(F.array(home))))
+    return dealt.select("team_key", "game_id", "picks", "asks", "at", "block").groupBy("team_key", "block").applyInPandas(_pools(games, block), "team_key string, game_id string, unique_10 int, unique_25 int, top5_share double")

@@ -25,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
+#: Bytes of the files of a dimension table that is sent to all executors whole, so that what joins it isn't dealt once more.
+SMALL_BYTES = 16 << 20
+
+
+def small(dimension: DataFrame) -> DataFrame:
+    """A dimension table, marked for a broadcast if its files are small."""
+    read = dimension._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(read.apply(i).stats().sizeInBytes())) for i in range(read.size()))
+    return F.broadcast(dimension) if size <= SMALL_BYTES else dimension
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items numbered anew inside their order, with the dimensions a competition row needs."""
     t = lambda n: table(spark, sf_dir, n)
@@ -35,6 +46,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         "o_orderkey", F.to_date("o_orderdate").alias("event_date"), F.col("c_mktsegment").alias("league_code")
     )
+    suppliers = small(suppliers)
     rn = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_ORDER))
     return (
         t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
