@@ -125,11 +125,11 @@ _BAD_GAME = "CASE WHEN k % 31 = 0 THEN 'game_id is missing' WHEN k % 37 = 0 THEN
 
 
 def _landed(spark, rows, page, name):
-    """Rows as JSON lists, one file a page."""
+    """Rows as JSON lists, one file a page, compressed: the names of the fields stand in every row."""
     root = files.scratch_dir(spark, name)
     lists = rows.withColumn("page", page).groupBy("page").agg(F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list("json")), F.lit("]")).alias("text"))  # 500 ids, a few rows each
     cut = F.when(F.col("page") == 1, F.substring("text", 1, 40)).otherwise(F.col("text"))
-    lists.select("page", cut.alias("text")).write.partitionBy("page").text(root)
+    lists.select("page", cut.alias("text")).write.partitionBy("page").option("compression", "gzip").text(root)
     return root
 
 
